@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epsgrid.llm import line_dedup, token_files
+from epsgrid.llm import decontaminate, line_dedup, near_dup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": token_files.op3,
+    "op5_near_duplicates": near_dup.op5,
+    "op9_decontaminate": decontaminate.op9,
     "op10_line_dedup": line_dedup.op10,
 }
 
 SQL: dict[str, str] = {
+    "op9_decontaminate": decontaminate.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
