@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epsgrid.llm import decontaminate, language, line_dedup, near_dup, token_files
+from epsgrid.llm import decontaminate, language, line_dedup, near_dup, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": quality.op1,
     "op3_token_files": token_files.op3,
     "op5_near_duplicates": near_dup.op5,
     "op8_language": language.op8,
