@@ -52,3 +52,13 @@ def stage(df: DataFrame, label: str, compression: str = "zstd", conf: dict[str,
     with settings(spark, _STAGING_CONF | (conf or {})):
         df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """As ``stage``, in buckets of ``key``, so that a join on it does not move the table again."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"epsgrid_{label.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
+    with settings(spark, _STAGING_CONF):
+        df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").option("compression", "uncompressed").saveAsTable(name)
+    return spark.table(name)
