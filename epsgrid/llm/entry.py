@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epsgrid.llm import decontaminate, language, line_dedup, near_dup, quality, token_files
+from epsgrid.llm import decontaminate, language, line_dedup, media, near_dup, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1,
     "op3_token_files": token_files.op3,
     "op5_near_duplicates": near_dup.op5,
+    "op7_media_chunks": media.op7,
     "op8_language": language.op8,
     "op9_decontaminate": decontaminate.op9,
     "op10_line_dedup": line_dedup.op10,
