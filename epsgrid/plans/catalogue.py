@@ -1,14 +1,256 @@
-"""Every query of the engine by name, with the SQL that gives the same rows."""
+"""Every query of the engine by name, with the SQL that gives the same rows.
+
+The queries run over whole driver tables, read as points; the SQL is DuckDB's and states each
+operator anew from its definition.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from epsgrid.functions import scalars as S
+from epsgrid.operators import clusters as C
+from epsgrid.operators import graph as G
+from epsgrid.operators import neighbors as N
+from epsgrid.operators.components import connected_components
+from epsgrid.sources import sinks
+from epsgrid.sources.blobs import blobs, standardise
+from epsgrid.sources.points import from_dataframe, parse_lines, rejected_lines
+from epsgrid.staging import stage
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+@dataclass(frozen=True)
+class Source:
+    """A driver table as points, with parameters that give clusters of all kinds."""
+
+    table: str
+    id: str
+    x: str
+    y: str
+    sql_x: str
+    sql_y: str
+    eps: float
+    min_pts: int
+
+    def points(self, spark: SparkSession, sf_dir: str, double_precision: bool = False) -> DataFrame:
+        return from_dataframe(spark.read.parquet(f"{sf_dir}/{self.table}.parquet"), self.id, F.expr(self.x), F.expr(self.y), double_precision)
+
+    def sql(self, kind: str = "FLOAT") -> str:
+        return f"p AS MATERIALIZED (SELECT {self.id} AS id, CAST({self.sql_x} AS {kind}) AS x, CAST({self.sql_y} AS {kind}) AS y FROM {self.table})"
+
+
+EMBEDDINGS = Source("embeddings", "vec_id", "embedding[0]", "embedding[1]", "embedding[1]", "embedding[2]", 0.03, 8)
+CUSTOMER = Source("customer", "c_custkey", "c_acctbal / 1000", "c_nationkey", "c_acctbal / 1000", "c_nationkey", 0.3, 3)
+PART = Source("part", "p_partkey", "p_size", "p_retailprice - 900", "p_size", "p_retailprice - 900", 2.0, 7)
+EVENTS = Source("events", "event_id", "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz)) / 86400000000D", "value / 10", "(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 86400000000::DOUBLE", "value / 10", 0.3, 10)
+
+
+def _edges(s: Source, eps: float | None = None) -> str:
+    """Neighbour pairs; the bound on x only spares work."""
+    e = s.eps if eps is None else eps
+    return f"""e AS MATERIALIZED (
+  SELECT a.id AS u, b.id AS v FROM p a JOIN p b
+    ON a.id <> b.id AND b.x BETWEEN a.x - CAST({2 * e + 1e-3} AS FLOAT) AND a.x + CAST({2 * e + 1e-3} AS FLOAT)
+   AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= CAST({e} AS FLOAT) * CAST({e} AS FLOAT))"""
+
+
+def _core(s: Source, min_pts: int | None = None) -> str:
+    return f"""deg AS MATERIALIZED (SELECT p.id, count(e.v) AS num_nbs FROM p LEFT JOIN e ON e.u = p.id GROUP BY p.id),
+core AS MATERIALIZED (SELECT id, num_nbs FROM deg WHERE num_nbs >= {s.min_pts if min_pts is None else min_pts}),
+ce AS MATERIALIZED (SELECT e.u, e.v FROM e JOIN core a ON a.id = e.u JOIN core b ON b.id = e.v)"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+_COMPONENTS = """cc(id, lab) USING KEY (id) AS (
+  SELECT id, id FROM core
+  UNION
+  SELECT ce.v, min(cc.lab) FROM cc JOIN ce ON ce.u = cc.id JOIN recurring.cc r ON r.id = ce.v WHERE cc.lab < r.lab GROUP BY ce.v),
+num AS (SELECT lab, row_number() OVER (ORDER BY lab) - 1 AS cluster_id FROM (SELECT DISTINCT lab FROM cc) t),
+cl AS MATERIALIZED (SELECT cc.id, cc.lab AS root, num.cluster_id FROM cc JOIN num USING (lab))"""
+
+
+def _border(rule: str) -> str:
+    return f"""bd AS (SELECT e.u AS id, {'min' if rule == 'first' else 'max'}(cl.cluster_id) AS cluster_id
+  FROM e JOIN cl ON cl.id = e.v WHERE e.u NOT IN (SELECT id FROM core) GROUP BY e.u),
+lab AS (SELECT p.id, CASE WHEN cl.id IS NOT NULL THEN 'Core' WHEN bd.id IS NOT NULL THEN 'Border' ELSE 'Noise' END AS membership,
+  CAST(coalesce(cl.cluster_id, bd.cluster_id, -1) AS BIGINT) AS cluster_id
+  FROM p LEFT JOIN cl ON cl.id = p.id LEFT JOIN bd ON bd.id = p.id)"""
+
+
+def _with(s: Source, *ctes: str, eps: float | None = None) -> str:
+    return f"WITH RECURSIVE {', '.join([s.sql(), *([_edges(s, eps)] if ctes and ctes[0] != '-' else []), *[c for c in ctes if c not in ('', '-')]])} "
+
+
+def _all(s: Source, rule: str = "first", min_pts: int | None = None, eps: float | None = None) -> str:
+    return _with(s, _core(s, min_pts), _COMPONENTS, _border(rule), eps=eps)
+
+
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def _add(name: str, sql: str | None, query: Query) -> None:
+    QUERIES[name] = query
+    if sql is not None:
+        SQL[name] = sql
+
+
+def _on(source: Source, build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: build(source.points(spark, d))
+
+
+def _edge_query(source: Source, build: Callable[[DataFrame, DataFrame], DataFrame], strategy: str = "grid") -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        points = source.points(spark, d)
+        return build(points, stage(N.neighbors(points, source.eps, strategy), "edges"))
+
+    return run
+
+
+def _labels(source: Source, rule: str = "first", strategy: str = "cells", eps: float | None = None, min_pts: int | None = None) -> Query:
+    return lambda spark, d: C.dbscan(source.points(spark, d), source.eps if eps is None else eps, source.min_pts if min_pts is None else min_pts, rule, strategy)
+
+
+E = EVENTS
+W = repr(N.grid_width(E.eps))
+_CELLS = f"c AS (SELECT CAST(floor(x::DOUBLE / {W}) AS BIGINT) AS cx, CAST(floor(y::DOUBLE / {W}) AS BIGINT) AS cy, count(*) AS n FROM p GROUP BY 1, 2)"
+
+# scans, sources and sinks
+_add("scan_points", _with(E) + "SELECT id, x, y FROM p", _on(E, lambda p: p))
+_add("scan_points_double", "SELECT event_id AS id, " + f"CAST({E.sql_x} AS DOUBLE) AS x, CAST({E.sql_y} AS DOUBLE) AS y FROM events", lambda spark, d: E.points(spark, d, True))
+_add("parse_point_lines", _with(CUSTOMER) + "SELECT id, CAST(printf('%.6f', x::DOUBLE) AS FLOAT) AS x, CAST(printf('%.6f', y::DOUBLE) AS FLOAT) AS y FROM p", _on(CUSTOMER, lambda p: parse_lines(sinks.point_lines(p))))
+_add(
+    "rejected_lines",
+    "SELECT kind, count(*) AS n FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN 'point' WHEN 1 THEN 'header' ELSE 'rejected' END AS kind FROM customer) t GROUP BY kind",
+    lambda spark, d: rejected_lines(spark.read.parquet(f"{d}/customer.parquet").selectExpr("case c_custkey % 3 when 0 then concat(c_custkey, ' 1.5  2') when 1 then cast(c_custkey as string) else concat(c_custkey, ' 1') end as value")),
+)
+_add("point_lines", _with(CUSTOMER) + "SELECT id, printf('%d %.6f %.6f', id, x::DOUBLE, y::DOUBLE) AS value FROM p", _on(CUSTOMER, sinks.point_lines))
+_add("label_lines", _all(CUSTOMER) + "SELECT id, CAST(cluster_id AS VARCHAR) AS value FROM lab", lambda spark, d: sinks.label_lines(_labels(CUSTOMER)(spark, d)))
+_add(
+    "scatter_layers",
+    _all(CUSTOMER) + "SELECT p.id, x, y, cluster_id, CASE membership WHEN 'Core' THEN 'large' WHEN 'Border' THEN 'small' ELSE 'black' END AS layer FROM p JOIN lab USING (id)",
+    lambda spark, d: sinks.scatter_layers(CUSTOMER.points(spark, d), _labels(CUSTOMER)(spark, d)),
+)
+_add("blobs", None, lambda spark, d: blobs(spark, 2000))
+
+# projections and scalar functions
+_add("l1_norm", _with(E) + "SELECT id, abs(x) + abs(y) AS l1 FROM p", _on(E, lambda p: p.select("id", S.l1_norm(F.col("x"), F.col("y")).alias("l1"))))
+_add(
+    "squared_distance",
+    _with(PART) + "SELECT id, (x - CAST(25 AS FLOAT)) * (x - CAST(25 AS FLOAT)) + (y - CAST(0.5 AS FLOAT)) * (y - CAST(0.5 AS FLOAT)) AS d2 FROM p",
+    _on(PART, lambda p: p.select("id", S.squared_distance(F.col("x"), F.col("y"), F.lit(25).cast("float"), F.lit(0.5).cast("float")).alias("d2"))),
+)
+_add("squared_radius", "SELECT r_regionkey AS id, CAST(0.3 AS FLOAT) * CAST(0.3 AS FLOAT) AS r2 FROM region", lambda spark, d: spark.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").alias("id"), S.squared_radius(0.3).alias("r2")))
+_add("cell_of_point", _with(E) + f"SELECT id, CAST(floor(x::DOUBLE / {W}) AS BIGINT) AS cx, CAST(floor(y::DOUBLE / {W}) AS BIGINT) AS cy FROM p", _on(E, lambda p: p.select("id", S.cell(F.col("x"), N.grid_width(E.eps)).alias("cx"), S.cell(F.col("y"), N.grid_width(E.eps)).alias("cy"))))
+_add(
+    "standardize",
+    _with(CUSTOMER) + "SELECT id, round((x::DOUBLE - (SELECT avg(x::DOUBLE) FROM p)) / (SELECT stddev_pop(x::DOUBLE) FROM p), 4) AS x, round((y::DOUBLE - (SELECT avg(y::DOUBLE) FROM p)) / (SELECT stddev_pop(y::DOUBLE) FROM p), 4) AS y FROM p",
+    _on(CUSTOMER, lambda p: standardise(p).select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))),
+)
+_add(
+    "bit_scalars",
+    "SELECT p_partkey AS id, CAST(bit_count(p_partkey) AS INTEGER) AS ones, CAST(p_partkey & (p_partkey - 1) AS BIGINT) AS cleared, CAST(CASE WHEN p_partkey = 0 THEN 0 ELSE round(log2(p_partkey & -p_partkey)) + 1 END AS INTEGER) AS lowest FROM part",
+    lambda spark, d: spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("long").alias("id")).select("id", S.popcount(F.col("id")).alias("ones"), S.clear_lowest_bit(F.col("id")).alias("cleared"), S.lowest_bit(F.col("id")).alias("lowest")),
+)
+_add(
+    "set_bit_positions",
+    "SELECT p_partkey AS id, array_to_string(list_filter(range(63), lambda i: (p_partkey >> i) & 1 = 1), ',') AS bits FROM part",
+    lambda spark, d: spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("long").alias("id")).select("id", F.array_join(S.set_bits(F.col("id")).cast("array<string>"), ",").alias("bits")),
+)
+_add(
+    "vector_text",
+    _with(CUSTOMER, "-", "n AS (SELECT y, string_agg(CAST(id AS VARCHAR), ', ' ORDER BY id) AS t FROM p GROUP BY y)") + "SELECT CAST(y AS BIGINT) AS nation, 'ids: ' || t AS text FROM n",
+    _on(CUSTOMER, lambda p: p.groupBy(F.col("y").cast("long").alias("nation")).agg(F.sort_array(F.collect_list("id")).alias("ids")).select("nation", S.vector_text("ids", F.col("ids")).alias("text"))),
+)
+
+# aggregates and windows over the grid and the graph
+_add("bounding_box", _with(E) + "SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, count(*) AS n FROM p", _on(E, G.bounds))
+_add("cell_histogram", _with(E, "-", _CELLS) + "SELECT cx, cy, n FROM c", _on(E, lambda p: G.cells(p, E.eps)))
+_add("cell_start_pos", _with(E, "-", _CELLS) + "SELECT cx, cy, n, CAST(coalesce(sum(n) OVER (ORDER BY cy, cx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_pos FROM c", _on(E, lambda p: G.cell_starts(p, E.eps)))
+_add("l1_sort_rank", _with(E) + "SELECT id, abs(x) + abs(y) AS l1, row_number() OVER (ORDER BY abs(x) + abs(y), id) - 1 AS rank FROM p", _on(E, N.l1_ranks))
+
+# joins
+for _name, _strategy, _source in (("neighbors_brute", "brute", EMBEDDINGS), ("neighbors_grid", "grid", E), ("neighbors_l1_band", "l1_band", E), ("neighbors_kd_tree", "kd_tree", PART)):
+    _add(_name, _with(_source, " ") + "SELECT u, v FROM e", lambda spark, d, s=_source, k=_strategy: N.neighbors(s.points(spark, d), s.eps, k))
+_add("neighbors_eps_zero", _with(PART, " ", eps=0.0) + "SELECT u, v FROM e", lambda spark, d: N.neighbors(PART.points(spark, d), 0.0))
+
+# graph views
+_add("degree", _with(E, _core(E)) + "SELECT id, num_nbs FROM deg", _edge_query(E, G.degrees))
+_add("edge_total", _with(E, " ") + "SELECT count(*) AS edges FROM e", _edge_query(E, lambda p, e: G.edge_total(e)))
+_add("csr_offsets", _with(E, _core(E)) + "SELECT id, num_nbs, CAST(coalesce(sum(num_nbs) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_pos FROM deg", _edge_query(E, G.start_positions))
+_add(
+    "csr_view",
+    _with(CUSTOMER, _core(CUSTOMER)) + "SELECT id, num_nbs, CAST(coalesce(sum(num_nbs) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_pos, coalesce((SELECT string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) FROM e WHERE u = deg.id), '') AS neighbours FROM deg",
+    _edge_query(CUSTOMER, lambda p, e: G.csr(p, e).withColumn("neighbours", F.array_join(F.col("neighbours").cast("array<string>"), ","))),
+)
+_add(
+    "adjacency_lists",
+    _with(E, _core(E)) + "SELECT deg.id, num_nbs, coalesce(l.t, '') AS neighbours FROM deg LEFT JOIN (SELECT u, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) AS t FROM e GROUP BY u) l ON l.u = deg.id",
+    _edge_query(E, lambda p, e: G.adjacency(p, e).withColumn("neighbours", F.array_join(F.col("neighbours").cast("array<string>"), ","))),
+)
+_add(
+    "foreign_ends",
+    _with(CUSTOMER, " ") + "SELECT u, v FROM e WHERE u NOT IN (SELECT id FROM p WHERE y < 20) OR v NOT IN (SELECT id FROM p WHERE y < 20)",
+    _edge_query(CUSTOMER, lambda p, e: G.foreign_ends(p.where("y < 20"), e)),
+)
+
+# clusters
+_add("core_points", _with(E, _core(E)) + "SELECT id, num_nbs FROM core", _edge_query(E, lambda p, e: C.core_points(p, e, E.min_pts)))
+_add("core_edges", _with(E, _core(E)) + "SELECT u, v FROM ce", _edge_query(E, lambda p, e: C.core_edges(e, stage(C.core_points(p, e, E.min_pts), "core"))))
+
+
+def _components(p: DataFrame, e: DataFrame, source: Source) -> DataFrame:
+    return C.core_components(stage(C.core_points(p, e, source.min_pts), "core"), e)
+
+
+_add("components", _with(E, _core(E), _COMPONENTS) + "SELECT id, root FROM cl", _edge_query(E, lambda p, e: _components(p, e, E)))
+_add("components_by_stars", _with(PART, _core(PART), _COMPONENTS) + "SELECT id, root FROM cl", _edge_query(PART, lambda p, e: _by_stars(p, e)))
+
+
+def _by_stars(p: DataFrame, e: DataFrame) -> DataFrame:
+    core = stage(C.core_points(p, e, PART.min_pts), "core")
+    own = core.select(F.col("id").alias("u"), F.col("id").alias("v"))
+    return connected_components(C.core_edges(e, core).union(own), merge_limit=0)
+
+
+_add("cluster_numbering", _with(E, _core(E), _COMPONENTS) + "SELECT DISTINCT root, cluster_id FROM cl", _edge_query(E, lambda p, e: C.number_clusters(_components(p, e, E))))
+
+
+def _borders(rule: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    def run(p: DataFrame, e: DataFrame) -> DataFrame:
+        roots = stage(_components(p, e, PART), "components")
+        return C.border_points(e, roots.join(C.number_clusters(roots), "root").select("id", "cluster_id"), rule)
+
+    return run
+
+
+for _rule in ("first", "last"):
+    _add(f"border_{_rule}", _all(PART, _rule) + "SELECT id, CAST(cluster_id AS BIGINT) AS cluster_id FROM bd", _edge_query(PART, _borders(_rule)))
+_add("memberships", _all(E) + "SELECT id, membership FROM lab", lambda spark, d: _labels(E)(spark, d).select("id", "membership"))
+_add("noise_points", _all(E) + "SELECT id FROM lab WHERE membership = 'Noise'", lambda spark, d: _labels(E)(spark, d).where("membership = 'Noise'").select("id"))
+for _source in (EMBEDDINGS, CUSTOMER, PART, EVENTS):
+    _add(f"dbscan_{_source.table}", _all(_source) + "SELECT id, membership, cluster_id FROM lab", _labels(_source))
+for _strategy in ("grid", "l1_band", "brute"):
+    _add(f"dbscan_part_{_strategy}", SQL["dbscan_part"], _labels(PART, strategy=_strategy))
+_add("dbscan_last_rule", _all(PART, "last") + "SELECT id, membership, cluster_id FROM lab", _labels(PART, "last"))
+_add(
+    "cluster_report",
+    _all(E).rstrip() + """, n AS (SELECT count(*) AS n, count(DISTINCT CASE WHEN cluster_id >= 0 THEN cluster_id END) AS clusters,
+  count(*) FILTER (WHERE membership = 'Core') AS core, count(*) FILTER (WHERE membership = 'Border') AS border, count(*) FILTER (WHERE membership = 'Noise') AS noise FROM lab)
+SELECT n, clusters, core, border, noise, printf('%.3f', core / n) AS core_ratio, printf('%.3f', border / n) AS border_ratio, printf('%.3f', noise / n) AS noise_ratio FROM n""",
+    lambda spark, d: C.report(_labels(E)(spark, d)),
+)
+_add("cluster_sizes", _all(E) + "SELECT cluster_id, count(*) AS n, count(*) FILTER (WHERE membership = 'Core') AS core, count(*) FILTER (WHERE membership = 'Border') AS border FROM lab WHERE cluster_id >= 0 GROUP BY cluster_id", lambda spark, d: C.cluster_sizes(_labels(E)(spark, d)))
+_add("distinct_labels", _all(E) + "SELECT DISTINCT cluster_id FROM lab WHERE cluster_id <> -1", lambda spark, d: _labels(E)(spark, d).where("cluster_id <> -1").select("cluster_id").distinct())
+_add("min_pts_zero", _all(CUSTOMER, min_pts=0) + "SELECT id, membership, cluster_id FROM lab", _labels(CUSTOMER, min_pts=0))
+_add("eps_zero", _all(PART, eps=0.0, min_pts=1) + "SELECT id, membership, cluster_id FROM lab", _labels(PART, eps=0.0, min_pts=1))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Clusters of the first two embedding dimensions at eps 0.02 with four neighbours."""
+    return C.dbscan(EMBEDDINGS.points(spark, sf_dir), 0.02, 4)
