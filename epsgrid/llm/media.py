@@ -32,9 +32,9 @@ from epsgrid.staging import stage, stage_bucketed
 UNIT = 64
 CUT_BITS = 12
 LEAST, MOST = 1024, 32768
-LEVEL = 9
+LEVEL = 15
 #: Rows from which the compression dictionary is trained, and its size.
-DICTIONARY_ROWS, DICTIONARY_BYTES = 800, 112_640
+DICTIONARY_ROWS, DICTIONARY_BYTES = 1600, 1 << 19
 RATE = 8000
 _GEAR = np.random.default_rng(5).integers(0, 1 << 32, 256, np.uint64).astype(np.uint32)
 
@@ -100,10 +100,11 @@ def train_dictionary(texts: DataFrame) -> bytes | None:
     share = int(1_000_000 * min(1, DICTIONARY_ROWS / max(1, n)))
     rows = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select(F.substring("text", 1, MOST).alias("text")).limit(2 * DICTIONARY_ROWS).collect()
     samples = [c for r in sorted(rows, key=lambda r: r["text"] or "") for c in chunks_of((r["text"] or "").encode())]
-    if sum(map(len, samples)) < 20 * DICTIONARY_BYTES // 4:
+    size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
+    if size < 1024 or len(samples) < 16:
         return None
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
         return None
 
