@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from epsgrid.functions.scalars import cell, check_eps, fixed, squared_distance, squared_radius
 from epsgrid.operators.components import connected_components
-from epsgrid.operators.graph import degrees
+from epsgrid.operators.graph import cells, degrees
 from epsgrid.operators.neighbors import STRATEGIES, grid_pairs, neighbors
 from epsgrid.operators.prefix import prefix_sums
 from epsgrid.staging import stage
@@ -23,6 +23,8 @@ from epsgrid.staging import stage
 RULES = {"first": F.min, "last": F.max}
 #: Clusters whose numbers one window may give; more go by ranges.
 WINDOW_CLUSTERS = 1_000_000
+#: Pairs of points in neighbouring cells up to which the automatic strategy writes edges.
+EDGE_PAIRS = 50_000_000
 #: Cells are this much narrower than eps / sqrt(2): float32 rounding cannot part points of one cell.
 _FINE = 1 - 1e-5
 
@@ -53,8 +55,8 @@ def core_components(core: DataFrame, edges: DataFrame) -> DataFrame:
 
 def number_clusters(roots: DataFrame) -> DataFrame:
     """``(root, cluster_id)``: 0, 1, ... in ascending order of ``root``."""
-    distinct = stage(roots.select("root").distinct(), "roots")
-    if distinct.count() <= WINDOW_CLUSTERS:
+    distinct = roots.select("root").distinct()
+    if roots.count() <= WINDOW_CLUSTERS or distinct.count() <= WINDOW_CLUSTERS:
         return distinct.select("root", (F.row_number().over(Window.orderBy("root")) - 1).cast("long").alias("cluster_id"))
     return prefix_sums(distinct.withColumn("one", F.lit(1).cast("long")), ["root"], "one", "cluster_id").select("root", "cluster_id")
 
@@ -146,26 +148,35 @@ def _by_cells(points: DataFrame, eps: float, min_pts: int, border_rule: str) ->
     core = stage(sized.where("dense").select("id", "x", "y", "mx", "my").union(counted.select("u", "ux", "uy", "mx", "my")), "core")
     roots = stage(connected_components(_cell_links(core, eps)), "components")
     numbers = number_clusters(roots)
-    cells = core.groupBy("mx", "my").agg(F.min("id").alias("id")).join(roots, "id").join(numbers, "root").select("mx", "my", "cluster_id")
-    labelled = stage(core.join(cells, ["mx", "my"]).select("id", "x", "y", "cluster_id"), "core-labels")
+    numbered = core.groupBy("mx", "my").agg(F.min("id").alias("id")).join(roots, "id").join(numbers, "root").select("mx", "my", "cluster_id")
+    labelled = stage(core.join(numbered, ["mx", "my"]).select("id", "x", "y", "cluster_id"), "core-labels")
     others = sparse.join(labelled.select("id"), "id", "left_anti")
     border = grid_pairs(side(others, "u"), side(labelled, "v", "cluster_id"), eps).groupBy(F.col("u").alias("id")).agg(RULES[border_rule]("cluster_id").alias("cluster_id"))
     return _labels(points, labelled, border)
 
 
-def dbscan(points: DataFrame, eps: float, min_pts: int, border_rule: str = "first", strategy: str = "cells") -> DataFrame:
+def candidate_pairs(points: DataFrame, eps: float) -> int:
+    """About how many pairs a join over neighbouring cells looks at, from the cells' counts."""
+    return int(cells(points, eps).agg(F.sum(F.col("n").cast("double") * F.col("n") * 9)).first()[0] or 0)
+
+
+def dbscan(points: DataFrame, eps: float, min_pts: int, border_rule: str = "first", strategy: str = "auto") -> DataFrame:
     """``(id, membership, cluster_id)`` of every point of ``(id, x, y)``.
 
     ``strategy``: 'cells' never materialises neighbour pairs and does not enumerate those inside
     dense cells; 'grid' (or 'kd_tree'), 'l1_band' and 'brute' write the edges of ``neighbors``.
+    'auto' counts the points of each cell first: 'grid' where the pairs to look at are at most
+    EDGE_PAIRS, else 'cells'.
     """
     _check(min_pts, border_rule)
     if check_eps(eps) == 0:
         return _by_place(points, min_pts)
+    if strategy == "auto":
+        strategy = "grid" if candidate_pairs(points, eps) <= EDGE_PAIRS else "cells"
     if strategy == "cells":
         return _by_cells(points, eps, min_pts, border_rule)
     if strategy not in STRATEGIES:
-        raise ValueError(f"strategy must be 'cells' or one of {sorted(STRATEGIES)}")
+        raise ValueError(f"strategy must be 'auto', 'cells' or one of {sorted(STRATEGIES)}")
     return _by_edges(points, eps, min_pts, border_rule, strategy)
 
 

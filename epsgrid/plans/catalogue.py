@@ -112,7 +112,7 @@ def _edge_query(source: Source, build: Callable[[DataFrame, DataFrame], DataFram
     return run
 
 
-def _labels(source: Source, rule: str = "first", strategy: str = "cells", eps: float | None = None, min_pts: int | None = None) -> Query:
+def _labels(source: Source, rule: str = "first", strategy: str = "auto", eps: float | None = None, min_pts: int | None = None) -> Query:
     return lambda spark, d: C.dbscan(source.points(spark, d), source.eps if eps is None else eps, source.min_pts if min_pts is None else min_pts, rule, strategy)
 
 
@@ -235,8 +235,9 @@ _add("memberships", _all(E) + "SELECT id, membership FROM lab", lambda spark, d:
 _add("noise_points", _all(E) + "SELECT id FROM lab WHERE membership = 'Noise'", lambda spark, d: _labels(E)(spark, d).where("membership = 'Noise'").select("id"))
 for _source in (EMBEDDINGS, CUSTOMER, PART, EVENTS):
     _add(f"dbscan_{_source.table}", _all(_source) + "SELECT id, membership, cluster_id FROM lab", _labels(_source))
-for _strategy in ("grid", "l1_band", "brute"):
+for _strategy in ("cells", "grid", "l1_band", "brute"):
     _add(f"dbscan_part_{_strategy}", SQL["dbscan_part"], _labels(PART, strategy=_strategy))
+_add("dbscan_events_cells", SQL["dbscan_events"], _labels(EVENTS, strategy="cells"))
 _add("dbscan_last_rule", _all(PART, "last") + "SELECT id, membership, cluster_id FROM lab", _labels(PART, "last"))
 _add(
     "cluster_report",
