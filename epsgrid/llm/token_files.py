@@ -12,7 +12,7 @@ table writes a dataset without shards; columns besides the two named ones are ig
 
 from __future__ import annotations
 
-import itertools
+import functools
 import json
 import re
 from collections.abc import Iterator
@@ -31,21 +31,72 @@ MAX_BITS = 18
 BLOCK = 512
 SHARD_TOKENS = 1 << 19
 #: Distinct words whose ids a worker remembers.
-WORDS_KEPT = 700_000
-
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: The byte-level pre-tokenizer's split, spelled out for texts within the characters of _PLAIN.
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
-_NOT_PLAIN = re.compile("[^ \n!-~À-ÖØ-öø-ÿ]")
+WORDS_KEPT = 1_600_000
+#: Words that go to the library in one call.
+LEARN_AT_ONCE = 10_000
+
+_SPACE, _BREAK, _LETTER, _DIGIT, _OTHER, _ODD = range(6)
+
+
+def _classes() -> np.ndarray:
+    """Classes of Latin-1 characters as the pre-tokenizer has them; _ODD where texts are left to the library."""
+    out = np.full(256, _ODD, np.uint8)
+    out[33:127] = _OTHER
+    for low, high in ((65, 91), (97, 123), (0xC0, 0xD7), (0xD8, 0xF7), (0xF8, 0x100)):
+        out[low:high] = _LETTER
+    out[48:58] = _DIGIT
+    out[32], out[10], out[ord("'")] = _SPACE, _BREAK, _ODD  # apostrophes may begin contractions
+    return out
+
+
+_CLASS = _classes()
+_PLAIN = bytes(np.flatnonzero(_CLASS != _ODD).tolist())
+#: Longest run of characters that is cut into words at once.
+PIECE = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_BYTE_KEY = np.random.default_rng(3).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def word_starts(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Starts of the pre-tokenizer's words in texts laid end to end; ``first`` are the texts' starts.
+
+    Its pattern takes runs of letters, of digits or of other marks, each with one space before it;
+    of several blanks the last stands alone or leads the next word, those before it are a word, and
+    blanks at the end of a text are one word.
+    """
+    kind = _CLASS[data]
+    blank = kind <= _BREAK
+    start = np.empty(len(data), bool)
+    start[0] = True
+    start[1:] = np.where(blank[1:], ~blank[:-1], (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE))
+    last = np.zeros(len(data), bool)
+    last[:-1] = blank[:-1] & ~blank[1:]
+    last[first[1:] - 1] = False  # a text's end is no next word
+    start[1:] |= last[1:] & blank[:-1]
+    start[first] = True
+    return np.flatnonzero(start)
+
+
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2 ** 64 and of its inverse."""
+    inverse = pow(_BASE, -1, 1 << 64)
+    out = []
+    for base in (_BASE, inverse):
+        x = np.full(n, base, np.uint64)
+        x[0] = 1
+        out.append(np.cumprod(x))
+    return out[0], out[1]
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library; every distinct word of plain text goes to it once.
 
-    A byte-level pre-tokenizer cuts a text into words that are merged independently, so for texts
-    of known characters the words can be cut here and looked up. All others, and texts that hold
-    the string of an added token, are encoded by the library as they are.
+    A byte-level pre-tokenizer cuts a text into words that are merged independently. Texts of known
+    characters are cut here, all of a batch at once; words are told apart by a 64-bit hash of their
+    characters and their length. All other texts, and those that hold the string of an added token,
+    are encoded by the library as they are.
     """
 
     def __init__(self, path: str):
@@ -58,7 +109,12 @@ class Encoder:
         self.by_word = told.get("normalizer") is None and told.get("post_processor") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.added = [x["content"] for x in told.get("added_tokens", [])]
         self.dtype = dtype_of(self.tokenizer.get_vocab_size())
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.pool = np.zeros(1 << 16, self.dtype)
+        self.begin = np.zeros(1 << 14, np.int64)  # of each word's ids in the pool; one more than words
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -66,55 +122,130 @@ class Encoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
+    def _learn(self, keys: list[int], words: list[str]) -> None:
         made = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        cut = np.searchsorted(np.asarray(made.word_ids, np.int64), np.arange(len(words) + 1)) * self.dtype.itemsize
-        ids = np.asarray(made.ids, self.dtype).tobytes()
-        return {w: ids[a:b] for w, a, b in zip(words, cut, cut[1:], strict=False)}
+        cut = np.searchsorted(np.asarray(made.word_ids, np.int64), np.arange(1, len(words) + 1))
+        ids = np.asarray(made.ids, self.dtype)
+        n, end = len(self.known), int(self.begin[len(self.known)])
+        while end + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while n + len(words) + 1 > len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        self.pool[end : end + len(ids)] = ids
+        self.begin[n + 1 : n + len(words) + 1] = end + cut
+        self.known.update(zip(keys, range(n, n + len(words)), strict=True))
+
+    def _plain(self, text: str) -> bytes | None:
+        try:
+            data = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return data if self.by_word and not data.translate(None, _PLAIN) and not any(a in text for a in self.added) else None
+
+    def _by_words(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of plain pieces, none of them empty."""
+        joined = b"".join(pieces)
+        data = np.frombuffer(joined, np.uint8)
+        sizes = np.asarray([len(x) for x in pieces], np.int64)
+        first = np.cumsum(sizes) - sizes
+        starts = word_starts(data, first)
+        ends = np.append(starts[1:], len(data))
+        power, inverse = _powers(1 << max(16, len(data).bit_length()))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE_KEY[data] * power[: len(data)], out=sums[1:])
+        keys = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
+        order = np.argsort(keys)
+        keys = keys[order]
+        new_key = np.append(True, keys[1:] != keys[:-1])
+        back = np.empty(len(order), np.int64)
+        back[order] = np.cumsum(new_key) - 1
+        at, keys = order[new_key], keys[new_key].tolist()
+        if len(self.known) + len(keys) > WORDS_KEPT:
+            self._forget()
+        numbers = list(map(self.known.get, keys))
+        if None in numbers:
+            new = [k for k, n in enumerate(numbers) if n is None]
+            text = joined.decode("latin-1")
+            for i in range(0, len(new), LEARN_AT_ONCE):
+                some = new[i : i + LEARN_AT_ONCE]
+                self._learn([keys[k] for k in some], [text[a:b] for a, b in zip(starts[at[some]].tolist(), ends[at[some]].tolist(), strict=True)])
+            numbers = list(map(self.known.__getitem__, keys))
+        word = np.asarray(numbers, np.int64)[back]
+        begin, many = self.begin[word], self.begin[word + 1] - self.begin[word]
+        upto = np.cumsum(many)
+        ids = self.pool[np.repeat(begin - upto + many, many) + np.arange(upto[-1])]
+        cut = upto[np.searchsorted(starts, first[1:]) - 1]
+        return np.split(ids, cut)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, of the width that the vocabulary needs."""
-        plain = [self.by_word and not _NOT_PLAIN.search(x) and not any(a in x for a in self.added) for x in texts]
-        split = [_SPLIT.findall(x) if p else [] for x, p in zip(texts, plain, strict=True)]
-        new = set(itertools.chain.from_iterable(split)) - self.known.keys()
-        known = self.known
-        if new:
-            fresh = self._words(list(new))
-            if len(known) + len(fresh) <= WORDS_KEPT:
-                known.update(fresh)
-            else:
-                known = _Two(known, fresh)
-        get = known.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        rest = [i for i, p in enumerate(plain) if not p]
-        for i, made in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False) if rest else [], strict=True):
-            out[i] = np.asarray(made.ids, self.dtype).tobytes()
+        parts: list[list[np.ndarray]] = [[] for _ in texts]
+        rest: list[int] = []
+        owners: list[int] = []
+        pieces: list[bytes] = []
+        held = 0
+
+        def flush() -> None:
+            nonlocal held
+            if pieces:
+                for i, ids in zip(owners, self._by_words(pieces), strict=True):
+                    parts[i].append(ids)
+            owners.clear()
+            pieces.clear()
+            held = 0
+
+        for i, text in enumerate(texts):
+            data = self._plain(text)
+            if data is None:
+                rest.append(i)
+                continue
+            for piece in plain_pieces(data):
+                if held + len(piece) > 2 * PIECE:
+                    flush()
+                owners.append(i)
+                pieces.append(piece)
+                held += len(piece)
+        flush()
+        out = [(x[0] if len(x) == 1 else np.concatenate(x)).tobytes() if x else b"" for x in parts]
+        if rest:
+            for i, made in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
+                out[i] = np.asarray(made.ids, self.dtype).tobytes()
         return out
 
 
-class _Two:
-    """Lookup in the words that are kept, then in those of the batch at hand."""
+_BEFORE_SPACE = re.compile(rb"[^ \n](?= )")
 
-    def __init__(self, kept: dict[str, bytes], fresh: dict[str, bytes]):
-        self.kept, self.fresh = kept, fresh
 
-    def __getitem__(self, word: str) -> bytes:
-        found = self.kept.get(word)
-        return self.fresh[word] if found is None else found
+def plain_pieces(data: bytes, size: int = PIECE) -> Iterator[bytes]:
+    """A text cut where a word surely ends: between a mark or letter and a space."""
+    start = 0
+    while len(data) - start > size:
+        found = _BEFORE_SPACE.search(data, start + size)
+        if not found:
+            break
+        yield data[start : found.end()]
+        start = found.end()
+    if start < len(data):
+        yield data[start:]
 
 
 def dtype_of(vocabulary: int) -> np.dtype:
     return np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
 
 
+@functools.cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _squeeze(ids: bytes, width: int) -> bytes:
     """Byte planes, compressed: what is shuffled is near the size of the coded ids."""
     planes = np.frombuffer(ids, np.uint8).reshape(-1, width).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(planes)
+    return _zstd()[0].compress(planes)
 
 
 def _unsqueeze(data: bytes, width: int) -> bytes:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1).T.tobytes()
+    return np.frombuffer(_zstd()[1].decompress(data), np.uint8).reshape(width, -1).T.tobytes()
 
 
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,9 +256,11 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id
         width = encoder.dtype.itemsize
         end = np.asarray([end_id], encoder.dtype).tobytes()
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            ids = [x + end for x in encoder.encode(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([_squeeze(x, width) for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
+            sizes, ids = [], []
+            for text_ids in encoder.encode([x or "" for x in batch.column(1).to_pylist()]):
+                sizes.append(len(text_ids) // width + 1)
+                ids.append(_squeeze(text_ids + end, width))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
@@ -139,8 +272,8 @@ def id_counts(tokens: DataFrame, vocabulary: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for data in batch.column(0):
-                total += np.bincount(np.frombuffer(_unsqueeze(data.as_py(), width), dtype), minlength=vocabulary)
+            ids = b"".join([_unsqueeze(x, width) for x in batch.column(0).to_pylist()])
+            total += np.bincount(np.frombuffer(ids, dtype), minlength=vocabulary)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
@@ -209,7 +342,7 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, block: int = B
     ends = np.cumsum(size)
     starts = ends - size
     word = starts >> 5
-    placed = codes[ids] << (64 - (starts & 31) - size).astype(np.uint64)
+    placed = (codes << (64 - lengths).astype(np.uint64))[ids] >> (starts & 31).astype(np.uint64)
     out = np.zeros(int(word[-1]) + 2, np.uint64)
     first = np.flatnonzero(np.diff(word, prepend=-1))
     at = word[first]
@@ -275,9 +408,11 @@ def write_shards(tokens: DataFrame, lengths: np.ndarray, vocabulary: int) -> Dat
     return stage(ordered.mapInArrow(run, SHARD_SCHEMA), "id-shards", "uncompressed")
 
 
-def read_shards(shards: DataFrame, lengths: np.ndarray) -> DataFrame:
+def read_shards(shards: DataFrame, lengths: np.ndarray, digest: bool = False) -> DataFrame:
     """``(doc_id, start, n_tokens, ids)`` decoded from the shards; ids little-endian unsigned 32-bit.
 
+    With ``digest`` there is ``ids_crc32`` in place of the ids, which then stay in their task.
+
     The ids before each task's part are summed on the driver: one number for each written part.
     """
     totals = {r["part"]: r["n"] for r in shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
@@ -286,6 +421,8 @@ def read_shards(shards: DataFrame, lengths: np.ndarray) -> DataFrame:
         before[part] = run_total
         run_total += totals[part]
 
+    name = "ids_crc32" if digest else "ids"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = decoding_table(lengths)
         for batch in batches:
@@ -296,10 +433,11 @@ def read_shards(shards: DataFrame, lengths: np.ndarray) -> DataFrame:
                 ids = unpack(payload, np.asarray(bits, np.int64), n, made).astype("<u4")
                 ends = np.cumsum(np.asarray(sizes, np.int64))
                 begin = ends - sizes
-                cut = [ids[a:b].tobytes() for a, b in zip(begin, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(begin + before[part] + part_start, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cut, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                cut = [ids[a:b].data for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
+                last = pa.array([crc32(x) for x in cut], pa.int64()) if digest else pa.array([x.tobytes() for x in cut], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(begin + before[part] + part_start, pa.int64()), pa.array(sizes, pa.int64()), last], ["doc_id", "start", "n_tokens", name])
 
-    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} {'long' if digest else 'binary'}")
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, max_bits: int = MAX_BITS) -> tuple[DataFrame, np.ndarray]:
@@ -319,5 +457,4 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     shards, lengths = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    crc = F.crc32("ids")
-    return read_shards(shards, lengths).select("doc_id", "start", "n_tokens", crc.alias("ids_crc32"))
+    return read_shards(shards, lengths, digest=True)
