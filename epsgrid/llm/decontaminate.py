@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epsgrid.llm.common import table
+from epsgrid.llm.common import release, table
 from epsgrid.staging import stage
 
 WINDOW = 13
@@ -193,6 +193,7 @@ def _probe(docs: DataFrame, index: Index | None, text_col: str, drop_text: bool)
                 items.append(sorted({*(named or []), *(x for w in np.unique(window).tolist() for x in index.items[w])}))
             made = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, [*keep, *_FOUND.names])
+        release()
 
     given = [F.col(f"`{c}`") for c in keep] + [F.col(f"`{text_col}`").cast("string").alias("_in_text")] + [F.col(c).alias(f"_in_{c}") for c in old]
     return docs.select(*given).mapInArrow(run, schema)
@@ -218,6 +219,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 out = stage(out, "decontaminate")
     if not probed:
         out = _probe(out, None, text_col, drop_text)
+    if drop_text:  # the last block may have had no windows
+        out = out.drop(text_col)
     hit = F.aggregate(F.transform("_spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
     out = out.withColumns({"n_words": F.col("_n"), "n_hit": hit, "n_items": F.size("_items").cast("long"), "items": F.col("_items")})
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * min_share[1] >= F.col("n_words") * min_share[0])).drop(*_FOUND.names)

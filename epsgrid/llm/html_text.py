@@ -33,7 +33,7 @@ from epsgrid.llm.common import table
 TRAIN_PAGES, TRAIN_CHARS = 400, 200_000
 ADJACENT, SIBLING = 0.4, 0.6
 #: Log odds by enclosing element.
-CONTENT, LIKELY, REST = 4.0, 1.5, -6.0
+CONTENT, LIKELY, UNTOLD, REST = 4.0, 1.5, 0.5, -6.0
 #: The text alone moves the odds by this at most.
 TEXT_LIMIT = 2.0
 
@@ -99,7 +99,7 @@ def _odds(tag: str, attrs: str, above: float) -> float:
 def blocks_of(html: str) -> list[Block]:
     """Blocks with text, in page order."""
     out: list[Block] = []
-    stack = [_Open("", 0, 0.0)]
+    stack = [_Open("", 0, UNTOLD)]
     number = linked = in_link = 0
     parts: list[str] = []
     at = 0
