@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,3 +25,11 @@ def crc_of_id(doc_id: Column) -> Column:
 
 def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
+
+
+def release() -> None:
+    """Gives a Python worker's freed memory back to the system at a task's end; workers live on between stages."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epsgrid.llm.common import table
+from epsgrid.llm.common import release, table
 from epsgrid.staging import stage
 
 MIN_DOCS = 3
@@ -70,6 +70,7 @@ def requests(docs: DataFrame, groups: int, min_chars: int) -> DataFrame:
             keys = np.array(list(found.keys()), np.int64).reshape(-1, 3)
             rest = np.array(list(found.values()), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (*keys.T, *rest.T)], ["g", "h", "f", "n", "last"])
+        release()
 
     rows = docs.select("doc_id", "text", _group(groups)).mapInArrow(run, "g long, h long, f long, n long, last long")
     return rows.groupBy("g", "h", "f").agg(F.sum("n").alias("n"), F.max("last").alias("last"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epsgrid.llm.common import table
+from epsgrid.llm.common import release, table
 from epsgrid.operators.components import connected_components, forest
 from epsgrid.staging import stage
 
@@ -44,7 +44,7 @@ BUCKET = 64
 #: Classes and shingles of one exact block.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
 _COLUMNS = 4096
-_WORDS_KEPT = 1_000_000
+_WORDS_KEPT = 300_000
 _WORDS: dict[bytes, int] = {}
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -124,6 +124,8 @@ def signatures(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
                     column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(made, kinds, strict=True)]], ["doc_id", "n", "k1", "k2", "keys", "sig"])
+        _WORDS.clear()
+        release()
 
     return docs.mapInArrow(run, schema)
 
@@ -240,6 +242,8 @@ def exact_links(docs: DataFrame, groups: DataFrame, k: int, num: int, den: int)
         for batch in batches:
             made = [shingle_set(x.as_py(), k) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], ["root", "node", "n", "shingles"])
+        _WORDS.clear()
+        release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = ["root", "i", "j"]
@@ -283,8 +287,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stage(spread.join(buckets.select("band", "size", "low"), "band"), "buckets")
     small = members.where(F.col("size") <= BUCKET).join(nodes.select("node", "n", "sig"), "node")
     large = members.where((F.col("size") > BUCKET) & (F.col("node") != F.col("low"))).select(F.col("low").alias("u"), F.col("node").alias("v"))
-    candidates = connected_components(surviving_pairs(small, num, den, rows * bands).union(large), merge_limit=0)
-    links = exact_links(docs, stage(candidates, "candidates"), words, num, den)
+    # written, so that no task runs two Python workers at once
+    pairs = stage(surviving_pairs(small, num, den, rows * bands).union(large), "pairs")
+    candidates = stage(connected_components(pairs, merge_limit=0), "candidates")
+    links = stage(exact_links(docs, candidates, words, num, den), "links")
     # a document's rows are one vertex even where an id comes twice
     own = named.where("doc_id <> node").select(F.col("node").alias("u"), F.col("doc_id").alias("v"))
     roots = stage(connected_components(links.union(own), merge_limit=0), "components")

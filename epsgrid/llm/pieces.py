@@ -17,6 +17,7 @@ named like a result are replaced.
 from __future__ import annotations
 
 import itertools
+import os
 import re
 import struct
 import zlib
@@ -29,11 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epsgrid.llm.common import table
+from epsgrid.llm.common import release, table
 
 MARK = "▁"
 #: Distinct segments whose ids a worker remembers.
-KEPT = 400_000
+KEPT = 200_000
+#: Segments that go to the libraries in one call.
+LEARN_AT_ONCE = 4000
+#: Threads of the tokenizers library in each worker, unless the environment says otherwise.
+THREADS = "2"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -147,6 +152,7 @@ class PieceEncoder:
     """Ids of whole texts, segment by segment where the model allows it."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
         from sentencepiece import SentencePieceProcessor
         from tokenizers import normalizers
 
@@ -190,11 +196,13 @@ class PieceEncoder:
         return made[len(lead) :] if made[: len(lead)] == lead else self.bare.encode(segment, add_special_tokens=False).ids
 
     def _learn(self, segments: list[str]) -> dict[str, tuple[bytes, bool]]:
-        made = [e.ids for e in self.bare.encode_batch(segments, add_special_tokens=False)]
         out = {}
-        for s, ids, other in zip(segments, made, self._other_ids(segments), strict=True):
-            same = ids == other
-            out[s] = np.asarray(other if not same else ids, "<u4").tobytes(), same
+        for i in range(0, len(segments), LEARN_AT_ONCE):
+            some = segments[i : i + LEARN_AT_ONCE]
+            made = [e.ids for e in self.bare.encode_batch_fast(some, add_special_tokens=False)]
+            for s, ids, other in zip(some, made, self._other_ids(some), strict=True):
+                same = ids == other
+                out[s] = np.asarray(other if not same else ids, "<u4").tobytes(), same
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, int]]:
@@ -244,6 +252,7 @@ def encode_documents(docs: DataFrame, model: str, text_col: str = "text", result
                     made[c].append(value)
             kinds = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "ids_crc32": pa.int64(), "n_differ": pa.int64(), "decoded": pa.string(), "round_trip": pa.bool_()}
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(made[c], kinds[c]) for c in results]], schema.names)
+        release()
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_in_text")).mapInArrow(run, schema)
 
