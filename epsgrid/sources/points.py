@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from epsgrid.operators.prefix import prefix_sums
+
 FINITE = "x is not null and y is not null and not isnan(x) and not isnan(y) and abs(x) < double('infinity') and abs(y) < double('infinity')"
 
 
@@ -45,9 +47,8 @@ def read_points(spark: SparkSession, path: str, double_precision: bool = False,
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """One label a line, in id order: ``(line, cluster_id)``."""
     rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.trim("value").cast("bigint").alias("cluster_id"))
-    from pyspark.sql import Window
-
-    return rows.where("cluster_id is not null").select((F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("line"), "cluster_id")
+    rows = rows.where("cluster_id is not null").withColumn("one", F.lit(1).cast("long"))
+    return prefix_sums(rows, ["at"], "one", "line").select("line", "cluster_id")
 
 
 def from_dataframe(df: DataFrame, id_col: str | Column, x: str | Column, y: str | Column, double_precision: bool = False, on_bad: str = "drop", on_duplicate: str = "ignore") -> DataFrame:

@@ -1,0 +1 @@
+"""Nothing here: every input of the engine is bounded."""

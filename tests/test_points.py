@@ -61,3 +61,13 @@ def test_blobs_are_standardised(spark):
     assert abs(m[0]) < 1e-5 and abs(m[2]) < 1e-5 and abs(m[1] - 1) < 1e-5 and abs(m[3] - 1) < 1e-5
     flat = spark.createDataFrame([(0, 3.0, 1.0), (1, 3.0, 2.0)], "id long, x float, y float")
     assert sorted(tuple(r) for r in standardise(flat).collect()) == [(0, 0.0, -1.0), (1, 0.0, 1.0)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from epsgrid.plans.cli import main
+
+    main(["generate", "--output-name", str(tmp_path / "p"), "--n-samples", "300"], spark)
+    main(["cluster", "-i", str(tmp_path / "p"), "-r", "0.2", "-n", "5", "--print", "-o", str(tmp_path / "l"), "--algorithm", "kd_tree"], spark)
+    told, *labels = capsys.readouterr().out.strip().split("\n")
+    assert told.startswith("300 points") and len(labels) == 300
+    assert [r["cluster_id"] for r in read_labels(spark, str(tmp_path / "l")).orderBy("line").collect()] == [int(x) for x in labels]
