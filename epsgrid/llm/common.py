@@ -8,14 +8,23 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch, so that a batch of long texts stays small in a Python worker.
-BATCH_ROWS = "500"
+#: Rows in one Arrow batch and of one batch of the parquet reader: both hold whole texts.
+BATCH_ROWS = 500
+_BATCHES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` as it is; its session's batches have at most BATCH_ROWS rows from here on."""
+    conf = df.sparkSession.conf
+    for key in _BATCHES:
+        if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+            conf.set(key, str(BATCH_ROWS))
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data folder, with small Arrow batches from here on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the data folder, read in small batches."""
+    return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def crc_of_id(doc_id: Column) -> Column:

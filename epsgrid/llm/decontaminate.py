@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epsgrid.llm.common import release, table
+from epsgrid.llm.common import release, small_batches, table
 from epsgrid.staging import stage
 
 WINDOW = 13
@@ -204,7 +204,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     A document is contaminated if a hit exists and at least ``min_share`` of its words are hit.
     """
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in RESULT])
+    docs = small_batches(docs).select(*[F.col(f"`{c}`") for c in docs.columns if c not in RESULT])
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))

@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op5_near_duplicates": near_dup.OP5_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epsgrid.llm.common import table
+from epsgrid.llm.common import small_batches, table
 
 #: Pages, and characters of each at most, whose blocks the text classifier learns from.
 TRAIN_PAGES, TRAIN_CHARS = 400, 200_000
@@ -314,7 +314,7 @@ def extract(html: str | None, weights: np.ndarray) -> str:
 
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` without the html, with ``text`` and ``n_chars``."""
-    n = pages.count()
+    n = small_batches(pages).count()
     share = int(1_000_000 * min(1, TRAIN_PAGES / max(1, n)))
     some = pages.select(F.col(f"`{html_col}`").cast("string").alias("h")).where(F.col("h").isNotNull() & (F.length("h") <= TRAIN_CHARS) & (F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < share))
     weights = fit_text(sorted(r["h"] for r in some.limit(2 * TRAIN_PAGES).collect()))

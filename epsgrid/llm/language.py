@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epsgrid.llm.common import crc_of_id, release, table
+from epsgrid.llm.common import crc_of_id, release, small_batches, table
 
 TRAIN_DOCS = 4000
 LENGTH = 64
@@ -210,7 +210,7 @@ def identify(docs: DataFrame, langs: list[str], params: Params | None, text_col:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(label, pa.string()), pa.array(score)], schema.names)
         release()
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_in_text")).mapInArrow(run, schema)
+    return small_batches(docs).select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_in_text")).mapInArrow(run, schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

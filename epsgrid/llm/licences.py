@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epsgrid.llm.common import table
+from epsgrid.llm.common import small_batches, table
 from epsgrid.staging import stage
 
 LEAST_COSINE = 0.6
@@ -131,7 +131,7 @@ RESULT = ["license", "cosine", "license_from", "license_dir"]
 
 def scan_licences(docs: DataFrame, path_col: str = "path", text_col: str = "text", licence_file: str = r"(?i)(^|/)(licen[sc]e|copying|unlicense)(\.[a-z]+)?$", drop_text: bool = False) -> DataFrame:
     """``docs`` with ``license, cosine, license_from`` (own, inherited, none) and ``license_dir``."""
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in RESULT])
+    docs = small_batches(docs).select(*[F.col(f"`{c}`") for c in docs.columns if c not in RESULT])
     matcher = Matcher(*term_counts(docs, text_col))
     keep = [c for c in docs.columns if not (drop_text and c == text_col)]
     made = T.StructType([docs.schema[c] for c in keep] + [T.StructField("_own", T.StringType()), T.StructField("_cosine", T.DoubleType()), T.StructField("_file", T.BooleanType()), T.StructField("_dir", T.StringType())])

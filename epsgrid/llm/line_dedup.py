@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epsgrid.llm.common import release, table
+from epsgrid.llm.common import release, small_batches, table
 from epsgrid.staging import stage
 
 MIN_DOCS = 3
@@ -165,7 +165,7 @@ def probe(asked: DataFrame, index: DataFrame, shards: int, min_docs: int) -> Dat
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the text that stays, and ``n_lines`` and ``n_dropped``."""
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("rest"))
+    packed = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("rest"))
     groups = max(1, -(-packed.count() // GROUP_DOCS))
     asked = stage(requests(packed, groups, min_chars), "line-requests")
     keys = stage(asked.groupBy("h", "f").agg(F.sum("n").alias("n"), F.max("last").alias("last")), "line-keys")

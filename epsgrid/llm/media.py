@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epsgrid.llm.common import crc32, table
+from epsgrid.llm.common import crc32, small_batches, table
 from epsgrid.staging import stage, stage_bucketed
 
 UNIT = 64
@@ -119,7 +119,7 @@ class Store:
 
 
 def write_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Store:
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dictionary = train_dictionary(docs.select("text"))
 
     def recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

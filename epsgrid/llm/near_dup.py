@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epsgrid.llm.common import release, table
+from epsgrid.llm.common import release, small_batches, table
 from epsgrid.operators.components import connected_components, forest
 from epsgrid.staging import stage
 
@@ -275,7 +275,7 @@ def exact_links(docs: DataFrame, groups: DataFrame, k: int, num: int, den: int)
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: tuple[int, int] = (80, 100), rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` a row of ``docs``; links have similarity >= threshold."""
     num, den = threshold
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     every = stage(signatures(docs, words, rows, bands), "signatures")
     signed = every.where("doc_id is not null and n > 0")
     classes = stage(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "classes")
@@ -301,3 +301,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=(85, 100))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS g FROM w),
+n AS MATERIALIZED (SELECT w.doc_id, count(s.g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (
+  SELECT u, v FROM pairs JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS MATERIALIZED (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+cc(id, lab) USING KEY (id) AS (
+  SELECT doc_id, doc_id FROM w
+  UNION
+  SELECT e.v, min(cc.lab) FROM cc JOIN e ON e.u = cc.id JOIN recurring.cc r ON r.id = e.v WHERE cc.lab < r.lab GROUP BY e.v)
+SELECT n.doc_id, n.n AS n_shingles, lab AS component_id, n.doc_id = lab AS kept FROM n JOIN cc ON cc.id = n.doc_id
+"""

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epsgrid.llm.common import release, table
+from epsgrid.llm.common import release, small_batches, table
 
 MARK = "▁"
 #: Distinct segments whose ids a worker remembers.
@@ -254,7 +254,7 @@ def encode_documents(docs: DataFrame, model: str, text_col: str = "text", result
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(made[c], kinds[c]) for c in results]], schema.names)
         release()
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_in_text")).mapInArrow(run, schema)
+    return small_batches(docs).select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_in_text")).mapInArrow(run, schema)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epsgrid.llm.common import crc_of_id, table
+from epsgrid.llm.common import crc_of_id, small_batches, table
 from epsgrid.staging import stage
 
 FEATURES = 256
@@ -89,7 +89,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             x[:, shares] = np.sqrt(x[:, shares])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
 
 
 class Model:
