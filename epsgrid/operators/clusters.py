@@ -37,8 +37,10 @@ def _check(min_pts: int, border_rule: str) -> None:
 
 
 def core_points(points: DataFrame, edges: DataFrame, min_pts: int) -> DataFrame:
-    """``(id, num_nbs)`` of the core points."""
-    return degrees(points, edges).where(F.col("num_nbs") >= min_pts)
+    """``(id, num_nbs)`` of the core points; points without edges matter only where ``min_pts`` is 0."""
+    if min_pts > 0:
+        return edges.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("num_nbs")).where(F.col("num_nbs") >= min_pts)
+    return degrees(points, edges)
 
 
 def core_edges(edges: DataFrame, core: DataFrame) -> DataFrame:

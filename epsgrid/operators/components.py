@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epsgrid.staging import stage
+from epsgrid.staging import stage, unstage
 
 #: Rows of forest that one task may merge (16 bytes a row).
 MERGE_LIMIT = 4_000_000
@@ -79,7 +79,8 @@ def _star_rounds(edges: DataFrame) -> DataFrame:
         large = stage(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "stars")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stage(hung.union(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        old, now = now, stage(hung.union(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        unstage(old, large)
 
 
 def connected_components(edges: DataFrame, merge_limit: int = MERGE_LIMIT) -> DataFrame:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_STAGED: list[str] = []
 #: Shuffle files of a finished staging write are of no further use.
 _STAGING_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
@@ -51,7 +52,30 @@ def stage(df: DataFrame, label: str, compression: str = "zstd", conf: dict[str,
     path = f"{shared_dir(spark)}/epsgrid-{label}-{uuid.uuid4().hex[:12]}"
     with settings(spark, _STAGING_CONF | (conf or {})):
         df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _STAGED.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that no later plan reads."""
+    for df in tables:
+        if path := getattr(df, "_staged_at", None):
+            _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table staged so far; results that were not written yet can't be read any more."""
+    while _STAGED:
+        _delete(spark, _STAGED[-1])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _STAGED:
+        _STAGED.remove(path)
 
 
 def stage_bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
@@ -61,4 +85,5 @@ def stage_bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
     name = f"epsgrid_{label.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
     with settings(spark, _STAGING_CONF):
         df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").option("compression", "uncompressed").saveAsTable(name)
+    _STAGED.append(f"{shared_dir(spark)}/{name}")
     return spark.table(name)

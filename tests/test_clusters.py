@@ -188,3 +188,15 @@ def test_report(spark):
 def test_joins_are_equi_joins(spark):
     plan = N.neighbors(points(spark, F2), 1.0)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_staged_tables_can_be_deleted(spark):
+    from epsgrid import staging
+
+    kept, gone = staging.stage(spark.range(5).toDF("id"), "kept"), staging.stage(spark.range(5).toDF("id"), "gone")
+    staging.unstage(gone)
+    assert kept.count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FAILED_READ_FILE|does not exist"):
+        gone.collect()
+    staging.clear(spark)
+    assert not staging._STAGED
