@@ -9,7 +9,7 @@ The items are the stated query set: they are taken in blocks of at most ``BLOCK_
 measured beforehand, and each block is sent to the executors in turn.
 
 Defined results: null and word-free documents have no words and no hits; null and word-free items
-have no windows; equal windows of several items count for each item; repeated rows are judged
+and those without an id have no windows; equal windows of several items count for each item; repeated rows are judged
 alike; without items nothing is contaminated; an empty document table gives no rows. Other columns
 pass through; those named like a result column are replaced.
 """

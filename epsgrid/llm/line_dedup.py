@@ -33,6 +33,8 @@ MIN_DOCS = 3
 MIN_CHARS = 20
 GROUP_DOCS = 1000
 SHARD_KEYS = 50_000
+#: Requests that one task holds.
+PROBE_ROWS = 1_000_000
 _BLANK = " \t\n\x0b\x0c\r"
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _NONE = -(1 << 63)
@@ -159,7 +161,12 @@ def probe(asked: DataFrame, index: DataFrame, shards: int, min_docs: int) -> Dat
         hit = (at >= 0) & (prints[at] == left["f"].to_numpy(np.int64)) & (counts[at] >= min_docs)
         return left.loc[hit, ["g", "h", "f"]].assign(last=lasts[at[hit]])
 
-    return asked.select(_shard(shards), "g", "h", "f").groupBy("s").cogroup(index.groupBy("s")).applyInPandas(run, "g long, h long, f long, last long")
+    asked = asked.select(_shard(shards), "g", "h", "f")
+    # a line that is in most groups makes its shard's requests many: such shards are probed in parts
+    many = stage(asked.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > PROBE_ROWS).select("s", F.ceil(F.col("n") / PROBE_ROWS).cast("long").alias("parts")), "line-many")
+    left = asked.join(many, "s", "left").select("s", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("g"), F.col("parts"))).cast("long").alias("part"), "g", "h", "f")
+    right = index.join(many, "s", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return left.groupBy("s", "part").cogroup(right.groupBy("s", "part")).applyInPandas(run, "g long, h long, f long, last long")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -176,7 +183,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         last = {(h, f): x for h, f, x in zip(right["h"].tolist(), right["f"].tolist(), right["last"].tolist(), strict=True)}
         texts, n, gone = [], [], []
         for doc, text in zip(left["doc_id"].tolist(), left["text"].tolist(), strict=True):
-            doc = _NONE if doc is None or doc != doc else int(doc)
             lines = (text or "").split("\n")
             kept = [x for x, k in zip(lines, _key_hashes(text or "", min_chars), strict=True) if k is None or last.get(k, doc) == doc] if last else lines
             texts.append("\n".join(kept))
@@ -184,7 +190,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             gone.append(len(lines) - len(kept))
         return pd.DataFrame({"row": left["row"], "text": texts, "n_lines": n, "n_dropped": gone})
 
-    grouped = packed.select(_group(groups), F.struct("doc_id", "rest").alias("row"), "doc_id", "text")
+    grouped = packed.select(_group(groups), F.struct("doc_id", "rest").alias("row"), F.coalesce("doc_id", F.lit(_NONE)).alias("doc_id"), "text")
     kind = grouped.schema["row"].dataType.simpleString()
     out = grouped.groupBy("_g").cogroup(answers.withColumnRenamed("g", "_g").groupBy("_g")).applyInPandas(keep, f"row {kind}, text string, n_lines long, n_dropped long")
     made = {id_col: F.col("row.doc_id").alias(id_col), text_col: F.col("text").alias(text_col)}

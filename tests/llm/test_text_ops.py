@@ -64,6 +64,7 @@ def test_lines_of_a_table(spark, documents):
 def test_lines_with_many_groups_and_shards(spark, documents, monkeypatch):
     monkeypatch.setattr(L, "GROUP_DOCS", 9)
     monkeypatch.setattr(L, "SHARD_KEYS", 20)
+    monkeypatch.setattr(L, "PROBE_ROWS", 15)
     assert sorted(tuple(r) for r in L.dedup_lines(frame(spark, documents)).collect()) == brute_lines(documents)
 
 
