@@ -338,16 +338,18 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, block: int = B
     """The coded bits and the bit offset of every block."""
     if not len(ids):
         return b"", np.zeros(0, np.int64)
-    size = lengths[ids]
-    ends = np.cumsum(size)
+    size = lengths.astype(np.uint8)[ids]
+    ends = np.cumsum(size, dtype=np.int64)
     starts = ends - size
     word = starts >> 5
-    placed = (codes << (64 - lengths).astype(np.uint64))[ids] >> (starts & 31).astype(np.uint64)
-    out = np.zeros(int(word[-1]) + 2, np.uint64)
     first = np.flatnonzero(np.diff(word, prepend=-1))
-    at = word[first]
-    out[at] += np.add.reduceat(placed >> np.uint64(32), first)
-    out[at + 1] += np.add.reduceat(placed & np.uint64(0xFFFFFFFF), first)
+    # codes are set against the left end of 64 bits, moved to their bit, and summed by their first word
+    placed = (codes << (64 - lengths).astype(np.uint64))[ids]
+    placed >>= (starts & 31).astype(np.uint64)
+    summed, at = np.add.reduceat(placed, first), word[first]
+    out = np.zeros(int(word[-1]) + 2, np.uint64)
+    out[at] = summed >> np.uint64(32)
+    out[at + 1] += summed & np.uint64(0xFFFFFFFF)
     return out.astype(">u4").tobytes()[: int(ends[-1] + 7) // 8], starts[::block]
 
 
