@@ -74,9 +74,21 @@ class Matcher:
             norm = math.sqrt(sum((n * self.idf[t]) ** 2 for t, n in c.items()))
             for t, n in c.items():
                 self.postings[t].append((i, n * self.idf[t] / norm))
-        #: a line needs a term that few templates share: each template's rarest single words
-        self.cues = sorted({min((t for t in c if " " not in t), key=lambda t: (-self.idf[t], t)) for c in counts} | {"license", "licensed", "licence", "licenced", "rights", "permission", "redistribution", "domain", "public"})
-        self.cue = re.compile("|".join(map(re.escape, self.cues)))
+        self.cue = re.compile("|".join(map(re.escape, sorted(self._cues(counts)))))
+
+    def _cues(self, counts: list[Counter]) -> set[str]:
+        """Words of which a line must hold one: without any of a template's heaviest terms, that make
+        up more than 1 - LEAST_COSINE ** 2 of its squared length, no line can reach LEAST_COSINE."""
+        out = set()
+        for c in counts:
+            squares = sorted((((n * self.idf[t]) ** 2, t) for t, n in c.items()), reverse=True)
+            total, gone = sum(s for s, _ in squares), 0.0
+            for s, t in squares:
+                out.add(max(t.split(" "), key=lambda w: (self.idf[w], w)))
+                gone += s
+                if gone > (1 - LEAST_COSINE**2) * total * (1 + 1e-9):
+                    break
+        return out
 
     def best(self, text: str) -> tuple[float, str | None]:
         found = Counter(terms(text))
