@@ -34,7 +34,7 @@ from epsgrid.llm.common import release, small_batches, table
 
 MARK = "▁"
 #: Distinct segments whose ids a worker remembers.
-KEPT = 200_000
+KEPT = 400_000
 #: Segments that go to the libraries in one call.
 LEARN_AT_ONCE = 4000
 #: Threads of the tokenizers library in each worker, unless the environment says otherwise.
