@@ -1,9 +1,11 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Each line of a text, and a licence file as a whole, is a sparse TF-IDF vector; document
-frequencies of the templates' terms are counted over all texts and a term outside the templates
-weighs as one found nowhere. A text has the licence of the template nearest to any of its lines
-or, for a licence file, to the whole, if their cosine reaches ``LEAST_COSINE``. A text without a
+Each line of a text, and a licence file as a whole, is a sparse TF-IDF vector. Document frequencies
+are counted over all texts: first those of the templates' terms, then those of every other term of
+the lines that can be near enough, whatever their other terms weigh. A text has the licence of the
+template nearest to any of its lines or, for a licence file, to the whole, if their cosine reaches
+``LEAST_COSINE``. Of a text none of whose lines can reach it, ``cosine`` is only a lower bound: there
+a term outside the templates weighs as one found nowhere. A text without a
 licence of its own inherits that of the nearest directory above it that holds a licence file with
 one: directories are joined to licensed directories by the paths of all their ancestors.
 
@@ -16,19 +18,23 @@ result are replaced.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from epsgrid.llm.common import small_batches, table
-from epsgrid.staging import stage
+from epsgrid.llm.common import release, small_batches, table
+from epsgrid.staging import stage, unstage
 
 LEAST_COSINE = 0.6
 #: Short notices by which licences are declared.
@@ -51,6 +57,8 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+#: Slots of the sieve of wanted terms, and terms that a task counts or remembers at once.
+SLOTS, TERMS_AT_ONCE = 1 << 22, 200_000
 _WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
 
 
@@ -68,6 +76,7 @@ class Matcher:
         counts = [Counter(terms(notice)) for _, notice in self.rows]
         vocabulary = sorted(set().union(*counts))
         self.idf = {t: math.log((1 + documents) / (1 + frequency.get(t, 0))) + 1 for t in vocabulary}
+        self.documents = documents
         self.other = math.log(1 + documents) + 1
         self.postings: dict[str, list[tuple[int, float]]] = {t: [] for t in vocabulary}
         for i, c in enumerate(counts):
@@ -90,27 +99,54 @@ class Matcher:
                     break
         return out
 
-    def best(self, text: str) -> tuple[float, str | None]:
-        found = Counter(terms(text))
-        norm, dots = 0.0, [0.0] * len(self.rows)
-        for t, n in found.items():
-            weight = n * self.idf.get(t, self.other)
-            norm += weight * weight
-            for i, w in self.postings.get(t, ()):
+    def unit(self, text: str) -> Unit:
+        """``text`` beside the template nearest to it, which the weights of other terms can't change."""
+        own, dots, others = 0.0, [0.0] * len(self.rows), {}
+        for t, n in Counter(terms(text)).items():
+            if t not in self.idf:
+                others[t] = n
+                continue
+            weight = n * self.idf[t]
+            own += weight * weight
+            for i, w in self.postings[t]:
                 dots[i] += weight * w
-        if not norm:
-            return 0.0, None
         top = max(range(len(dots)), key=lambda i: (dots[i], -i))
-        return dots[top] / math.sqrt(norm), self.rows[top][0]
+        return Unit(text, self.rows[top][0], dots[top], own, others)
 
-    def scan(self, text: str, whole: bool) -> tuple[float, str | None]:
-        """Best cosine and licence over the lines with a cue, and the whole where asked for."""
+    def scan(self, text: str, whole: bool) -> tuple[float, list[Unit]]:
+        """Over the lines with a cue, and the whole where asked for: those that can reach LEAST_COSINE,
+        and the best cosine of the others if their other terms are found nowhere."""
         low = text.lower()
         if not self.cue.search(low):
-            return 0.0, None
+            return 0.0, []
         lines = {x for x in low.split("\n") if self.cue.search(x)}
-        made = [self.best(x) for x in sorted(lines)] + ([self.best(low)] if whole else [])
-        return max(made, key=lambda m: (m[0], tuple(-ord(c) for c in m[1] or "~")), default=(0.0, None))
+        made = [self.unit(x) for x in sorted(lines)] + ([self.unit(low)] if whole else [])
+        near = [u for u in made if u.most() >= LEAST_COSINE * (1 - 1e-9)]
+        return max((u.cosine(sum((n * self.other) ** 2 for n in u.others.values())) for u in made), default=0.0), near
+
+
+@dataclass
+class Unit:
+    """A line or a whole text: its product with the nearest template, its square over the templates' terms, its other terms."""
+
+    text: str
+    licence: str
+    dot: float
+    own: float
+    others: dict[str, int]
+
+    def cosine(self, square: float) -> float:
+        return self.dot / math.sqrt(self.own + square) if self.own else 0.0
+
+    def most(self) -> float:
+        """The cosine if its other terms are in every text, where the weight is least."""
+        return self.cosine(sum(n * n for n in self.others.values()))
+
+
+def decide(units: list[tuple[float, str]]) -> tuple[float, str | None]:
+    """The best cosine and, if it is near enough, its licence; ties go to the first in the alphabet."""
+    cosine, licence = min(((-c, x) for c, x in units), default=(0.0, None))
+    return -cosine, licence if -cosine >= LEAST_COSINE else None
 
 
 def term_counts(docs: DataFrame, text_col: str) -> tuple[int, dict[str, int]]:
@@ -138,7 +174,71 @@ def term_counts(docs: DataFrame, text_col: str) -> tuple[int, dict[str, int]]:
     return next((r["n"] for r in rows if r["t"] < 0), 0), {vocabulary[r["t"]]: r["n"] for r in rows if r["t"] >= 0}
 
 
+def other_counts(docs: DataFrame, text_col: str, wanted: DataFrame, vocabulary: set[str]) -> DataFrame:
+    """``(term, n)``: in how many texts each ``term`` of ``wanted`` is, of which all words are wanted or in ``vocabulary``."""
+    slots = wanted.select(F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(SLOTS)).cast("int").alias("s")).distinct().toArrow()
+    sieve = np.zeros(SLOTS, bool)
+    sieve[slots.column("s").to_numpy()] = True
+    sieve = np.packbits(sieve).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
+        counts: Counter = Counter()
+
+        def passes(t: str) -> bool:
+            if (found := known.get(t)) is None:
+                slot = zlib.crc32(t.encode()) % SLOTS
+                found = known[t] = bool(sieve[slot >> 3] >> (7 - (slot & 7)) & 1)
+            return found
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["term", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = _WORD.findall((text or "").lower())
+                here = {w for w in set(words) if w in vocabulary or passes(w)}
+                pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a in here and b in here}
+                counts.update(t for t in here | pairs if t not in vocabulary and passes(t))
+                if len(known) > TERMS_AT_ONCE:
+                    known.clear()
+                if len(counts) > TERMS_AT_ONCE:
+                    yield made()
+                    counts.clear()
+        yield made()
+        release()
+
+    counted = docs.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(run, "term string, n long")
+    return counted.groupBy("term").agg(F.sum("n").alias("n")).join(wanted, "term", "left_semi")
+
+
+def weighed(docs: DataFrame, text_col: str, scanned: DataFrame, matcher: Matcher) -> DataFrame:
+    """``scanned`` with ``_own`` and ``_cosine`` of the rows with ``_units``, whose other terms weigh by their counts in ``docs``."""
+    units = scanned.where("_units is not null").select("_row", F.explode("_units").alias("u")).select("_row", "u.*")
+    held = stage(units.where("size(terms) > 0").groupBy("key").agg(F.first("terms").alias("terms"), F.first("n").alias("n")), "licence-units")
+    if held.isEmpty():
+        return scanned
+    apart = held.select("key", F.explode(F.arrays_zip("terms", "n")).alias("x")).select("key", F.col("x.terms").alias("term"), F.col("x.n").alias("times"))
+    wanted = stage(apart.select("term").distinct(), "licence-terms")
+    counts = other_counts(docs, text_col, wanted, set(matcher.idf))
+    weight = F.col("times") * (F.log(F.lit(1.0 + matcher.documents) / (1 + F.coalesce("n", F.lit(0)))) + 1)
+    squares = apart.join(counts, "term", "left").groupBy("key").agg(F.sum(weight * weight).alias("square"))
+    cosine = F.col("dot") / F.sqrt(F.col("own") + F.coalesce("square", F.lit(0.0)))
+    found = units.join(squares, "key", "left").groupBy("_row").agg(F.collect_list(F.struct(cosine.alias("c"), "licence")).alias("units"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [decide([tuple(u.values()) for u in units]) for units in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for _, x in made], pa.string()), pa.array([round(c, 6) for c, _ in made], pa.float64())], ["_row", "_found", "_best"])
+
+    found = stage(found.mapInArrow(run, "_row long, _found string, _best double"), "licence-found")
+    unstage(held, wanted)
+    return scanned.join(found, "_row", "left").withColumn("_own", F.coalesce("_found", "_own")).withColumn("_cosine", F.greatest("_best", "_cosine")).drop("_found", "_best")
+
+
 RESULT = ["license", "cosine", "license_from", "license_dir"]
+#: Lines whose cosine needs the counts of other terms.
+UNITS = T.ArrayType(T.StructType([T.StructField("key", T.BinaryType()), T.StructField("licence", T.StringType()), T.StructField("dot", T.DoubleType()), T.StructField("own", T.DoubleType()), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("n", T.ArrayType(T.IntegerType()))]))
 
 
 def scan_licences(docs: DataFrame, path_col: str = "path", text_col: str = "text", licence_file: str = r"(?i)(^|/)(licen[sc]e|copying|unlicense)(\.[a-z]+)?$", drop_text: bool = False) -> DataFrame:
@@ -146,20 +246,24 @@ def scan_licences(docs: DataFrame, path_col: str = "path", text_col: str = "text
     docs = small_batches(docs).select(*[F.col(f"`{c}`") for c in docs.columns if c not in RESULT])
     matcher = Matcher(*term_counts(docs, text_col))
     keep = [c for c in docs.columns if not (drop_text and c == text_col)]
-    made = T.StructType([docs.schema[c] for c in keep] + [T.StructField("_own", T.StringType()), T.StructField("_cosine", T.DoubleType()), T.StructField("_file", T.BooleanType()), T.StructField("_dir", T.StringType())])
+    made = T.StructType([docs.schema[c] for c in keep] + [T.StructField("_own", T.StringType()), T.StructField("_cosine", T.DoubleType()), T.StructField("_file", T.BooleanType()), T.StructField("_dir", T.StringType()), T.StructField("_units", UNITS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, cosine = [], []
+            own, cosine, left = [], [], []
             for text, is_file in zip(batch.column("_in_text").to_pylist(), batch.column("_file").to_pylist(), strict=True):
-                c, licence = matcher.scan(text or "", bool(is_file))
-                own.append(licence if c >= LEAST_COSINE else None)
+                least, near = matcher.scan(text or "", bool(is_file))
+                later = any(u.others for u in near)
+                c, licence = decide([(u.cosine(0.0), u.licence) for u in near]) if near and not later else (least, None)
+                own.append(licence)
                 cosine.append(round(c, 6))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(own, pa.string()), pa.array(cosine, pa.float64()), batch.column("_file"), batch.column("_dir")], made.names)
+                left.append([{"key": hashlib.md5(u.text.encode()).digest(), "licence": u.licence, "dot": u.dot, "own": u.own, "terms": list(u.others), "n": list(u.others.values())} for u in near] if later else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(own, pa.string()), pa.array(cosine, pa.float64()), batch.column("_file"), batch.column("_dir"), pa.array(left, to_arrow_type(UNITS))], made.names)
 
     path = F.col(f"`{path_col}`")
     given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_in_text"), F.coalesce(path.rlike(licence_file), F.lit(False)).alias("_file"), F.regexp_replace(path, "/?[^/]*$", "").alias("_dir"))
-    scanned = stage(given.mapInArrow(run, made), "licence-scan")
+    scanned = stage(given.mapInArrow(run, made).withColumn("_row", F.monotonically_increasing_id()), "licence-scan")
+    scanned = weighed(docs, text_col, scanned, matcher)
     licensed = scanned.where(F.col("_file") & F.col("_own").isNotNull() & F.col("_dir").isNotNull())
     licensed = licensed.groupBy(F.col("_dir").alias("above")).agg(F.min(F.struct((-F.col("_cosine")).alias("c"), F.col("_own").alias("o"))).alias("best")).select("above", F.col("best.o").alias("_given"))
     dirs = scanned.where("_own is null and _dir is not null").select("_dir").distinct()

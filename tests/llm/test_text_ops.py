@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -247,5 +249,31 @@ def test_licences_of_a_table_by_brute_force(spark, sf, documents):
     assert own == want and want
 
 
+def frequencies(texts):
+    """Of every term, counted here and not by the operator."""
+    return Counter(t for x in texts for t in set(C.terms(x or "")))
+
+
+def brute_cosine(a, b, n, frequency):
+    va, vb = ({t: x.count(t) * (math.log((1 + n) / (1 + frequency[t])) + 1) for t in x} for x in (C.terms(a), C.terms(b)))
+    norm = lambda v: sum(w * w for w in v.values()) ** 0.5
+    return sum(w * vb.get(t, 0) for t, w in va.items()) / norm(va) / norm(vb)
+
+
+@pytest.mark.parametrize("size", [200, 4000])
+def test_licences_weigh_ordinary_words_by_their_counts(spark, size):
+    """With ordinary words the notice is as near at each size; weighed as found nowhere they would drown it in the larger."""
+    notice = "This photo is licensed under CC BY-NC 4.0."
+    texts = [notice, "see the photo of this\nanother photo is licensed under cc by-nc 4.0 zyx", None]
+    texts += [f"a photo is here\nthis photo is number{chr(97 + i % 26)}" if i % 40 else "Licensed under CC BY-NC 4.0." for i in range(size - len(texts))]
+    got = [r.asDict() for r in C.scan_licences(frame(spark, list(enumerate(texts)), "path string, text string")).where("path in ('0', '1')").orderBy("path").collect()]
+    frequency = frequencies(texts)
+    for text, r in zip(texts, got, strict=False):
+        best = max(brute_cosine(line, x, size, frequency) for line in text.split("\n") for x in C.TEMPLATES["CC-BY-NC-4.0"])
+        assert abs(r["cosine"] - best) < 2e-6
+        assert r["license"] == ("CC-BY-NC-4.0" if best >= C.LEAST_COSINE else None)
+    assert got[0]["license"] == "CC-BY-NC-4.0" and got[0]["cosine"] > 0.7
+
+
 def test_digest_of_items():
     assert D.items_digest([]) == hashlib.sha256(b"").hexdigest()
