@@ -14,6 +14,9 @@ from tests.llm.test_models import PIECES
 from tests.llm.test_text_ops import brute_components, brute_hits, brute_lines
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
 def test_pipeline_by_brute_force(spark, sf):
     d = sf.replace("0.001", "0.01")
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -49,6 +52,12 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark, sf):
     assert corpus_pipeline.STAGES[-1][1](spark, odd, sf).count() == len(rows)
 
 
+def test_near_dup_stage_keeps_rows_without_an_id(spark, sf):
+    rows = [(None, "words of a text", "en", None, 3), (None, "words of a text", "en", None, 3), (5, "words of a text", "en", "s", 9), (6, "words of a text", "en", "s", 9), (7, "quite another one", "en", "s", 9)]
+    out = corpus_pipeline.near_dup_stage(spark, frame(spark, rows, SCHEMA), sf)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == [(0, "words of a text")] * 2 + [(5, "words of a text"), (7, "quite another one")]
+
+
 @pytest.mark.parametrize("name", sorted(entry.SQL))
 def test_query_gives_the_rows_of_its_sql(spark, sf, name):
     con = duckdb.connect()
