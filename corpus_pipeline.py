@@ -27,10 +27,16 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter or of no learned language; the language found is kept."""
+    """Rejects documents without a letter or of no learned language; the language found is kept.
+
+    Where no row may teach (none has a language, or all that have one are held out) no language is
+    learned: then only documents without a letter go, and ``lang`` stays as given.
+    """
     known = docs.select("doc_id", "text", "lang")
     usable = ~F.coalesce(crc_of_id(F.col("doc_id")) % TAUGHT_BY[0] == TAUGHT_BY[1], F.lit(False))
     langs, params = language.fit(known, usable)
+    if not langs:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     found = language.identify(docs.select(*COLUMNS), langs, params)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 

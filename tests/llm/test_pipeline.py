@@ -2,6 +2,7 @@
 
 import glob
 import os
+import zlib
 
 import duckdb
 import pytest
@@ -52,6 +53,13 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark, sf):
     assert corpus_pipeline.STAGES[-1][1](spark, odd, sf).count() == len(rows)
 
 
+def test_language_stage_without_a_language_to_learn(spark, sf):
+    rows = [(1, "words of a text", None, "s", 3), (None, "Wörter", None, None, 3), (3, "12 34", None, "s", 5), (4, None, None, "s", 0)]
+    held_out = next(i for i in range(10, 99) if zlib.crc32(str(i).encode()) % 3 == 1)
+    out = corpus_pipeline.language_stage(spark, frame(spark, [*rows, (held_out, "held out", "en", "s", 8)], SCHEMA), sf)
+    assert sorted((r["doc_id"] or 0, r["text"], r["lang"]) for r in out.collect()) == [(0, "Wörter", None), (1, "words of a text", None), (held_out, "held out", "en")]
+
+
 def test_near_dup_stage_keeps_rows_without_an_id(spark, sf):
     rows = [(None, "words of a text", "en", None, 3), (None, "words of a text", "en", None, 3), (5, "words of a text", "en", "s", 9), (6, "words of a text", "en", "s", 9), (7, "quite another one", "en", "s", 9)]
     out = corpus_pipeline.near_dup_stage(spark, frame(spark, rows, SCHEMA), sf)
