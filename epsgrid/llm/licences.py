@@ -4,7 +4,10 @@ Each line of a text, and a licence file as a whole, is a sparse TF-IDF vector. D
 are counted over all texts: first those of the templates' terms, then those of every other term of
 the lines that can be near enough, whatever their other terms weigh. A text has the licence of the
 template nearest to any of its lines or, for a licence file, to the whole, if their cosine reaches
-``LEAST_COSINE``. Of a text none of whose lines can reach it, ``cosine`` is only a lower bound: there
+``LEAST_COSINE``. Runs of neighbouring lines, as long as a template, are compared like lines, and with
+the full headers in ``HEADERS`` besides: where a run reaches a header, lines and runs that overlap it
+have no say, as licences share sentences. A GNU licence also needs its version in the line or run.
+Of a text none of whose lines can reach it, ``cosine`` is only a lower bound: there
 a term outside the templates weighs as one found nowhere. A text without a
 licence of its own inherits that of the nearest directory above it that holds a licence file with
 one: directories are joined to licensed directories by the paths of all their ancestors.
@@ -24,7 +27,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +60,20 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\""
+#: Headers and titles of licence texts that stand on several lines.
+HEADERS = {
+    "AGPL-3.0": [_GNU.format("Affero General Public License", "3"), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "BSD-2-Clause": [_BSD.format("")],
+    "BSD-3-Clause": [_BSD.format("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ")],
+    "GPL-2.0": [_GNU.format("General Public License", "2"), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "GPL-3.0": [_GNU.format("General Public License", "3"), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "LGPL-2.1": [_GNU.format("Lesser General Public License", "2.1"), "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "LGPL-3.0": [_GNU.format("Lesser General Public License", "3"), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+}
+#: Licences that a line or run has only with one of these words in it.
+NEEDS = {"AGPL-3.0": {"3", "3.0"}, "GPL-2.0": {"2", "2.0"}, "GPL-3.0": {"3", "3.0"}, "LGPL-2.1": {"2.1"}, "LGPL-3.0": {"3", "3.0"}}
 #: Slots of the sieve of wanted terms, and terms that a task counts or remembers at once.
 SLOTS, TERMS_AT_ONCE = 1 << 22, 200_000
 _WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
@@ -73,6 +90,8 @@ class Matcher:
 
     def __init__(self, documents: int, frequency: dict[str, int]):
         self.rows = [(licence, notice) for licence in sorted(TEMPLATES) for notice in TEMPLATES[licence]]
+        self.notices = len(self.rows)
+        self.rows += [(licence, header) for licence in sorted(HEADERS) for header in HEADERS[licence]]
         counts = [Counter(terms(notice)) for _, notice in self.rows]
         vocabulary = sorted(set().union(*counts))
         self.idf = {t: math.log((1 + documents) / (1 + frequency.get(t, 0))) + 1 for t in vocabulary}
@@ -83,7 +102,16 @@ class Matcher:
             norm = math.sqrt(sum((n * self.idf[t]) ** 2 for t, n in c.items()))
             for t, n in c.items():
                 self.postings[t].append((i, n * self.idf[t] / norm))
-        self.cue = re.compile("|".join(map(re.escape, sorted(self._cues(counts)))))
+        self.cue = re.compile("|".join(map(re.escape, sorted(self._cues(counts[: self.notices])))))
+        self.lengths = [len(_WORD.findall(notice.lower())) for _, notice in self.rows]
+        self.needs = [NEEDS.get(licence) for licence, _ in self.rows]
+        self.words = {w: i for i, w in enumerate(t for t in vocabulary if " " not in t)}
+        #: Share of each template's squared length by word; that of a pair goes to its heavier word.
+        self.shares = np.zeros((len(self.words), len(self.rows)))
+        for t, found in self.postings.items():
+            at = self.words[max(t.split(" "), key=lambda w: (self.idf[w], w))]
+            for i, w in found:
+                self.shares[at, i] += w * w
 
     def _cues(self, counts: list[Counter]) -> set[str]:
         """Words of which a line must hold one: without any of a template's heaviest terms, that make
@@ -99,10 +127,11 @@ class Matcher:
                     break
         return out
 
-    def unit(self, text: str) -> Unit:
-        """``text`` beside the template nearest to it, which the weights of other terms can't change."""
+    def unit(self, text: str, start: int, end: int, rows: int) -> Unit:
+        """``text`` beside the nearest of the first ``rows`` templates, which the weights of other terms can't change."""
         own, dots, others = 0.0, [0.0] * len(self.rows), {}
-        for t, n in Counter(terms(text)).items():
+        found = Counter(terms(text))
+        for t, n in found.items():
             if t not in self.idf:
                 others[t] = n
                 continue
@@ -110,48 +139,91 @@ class Matcher:
             own += weight * weight
             for i, w in self.postings[t]:
                 dots[i] += weight * w
-        top = max(range(len(dots)), key=lambda i: (dots[i], -i))
-        return Unit(text, self.rows[top][0], dots[top], own, others)
+        for i, needs in enumerate(self.needs):
+            if needs and dots[i] and needs.isdisjoint(found):
+                dots[i] = 0.0
+        top = max(range(rows), key=lambda i: (dots[i], -i))
+        return Unit(text, self.rows[top][0], dots[top], own, others, top >= self.notices, start, end)
+
+    def runs(self, low: str) -> list[Unit]:
+        """Runs of lines that are about as long as a template and can be near enough to one.
+
+        A cosine of LEAST_COSINE needs terms that make up LEAST_COSINE ** 2 of the template's squared
+        length, so texts and runs whose words have less are passed over."""
+        least = LEAST_COSINE**2 * (1 - 1e-9)
+        here = self.words.keys() & set(_WORD.findall(low))
+        able = np.flatnonzero(self.shares[[self.words[w] for w in here]].sum(axis=0) >= least) if here else ()
+        if not len(able):
+            return []
+        lines = [(i, x, found) for i, x in enumerate(low.split("\n")) if (found := _WORD.findall(x))]
+        known = [{self.words[w] for w in found if w in self.words} for _, _, found in lines]
+        spans = set()
+        for i in able.tolist():
+            share = self.shares[:, i]
+            for s, at in enumerate(known):
+                if not at or not share[list(at)].any():
+                    continue
+                n, e = len(lines[s][2]), s
+                while n < self.lengths[i] and e + 1 < len(lines):
+                    e += 1
+                    n += len(lines[e][2])
+                for end in (e, e - 1):
+                    if end >= s and (end > s or i >= self.notices) and (s, end) not in spans and share[list(set().union(*known[s : end + 1]))].sum() >= least:
+                        spans.add((s, end))
+        made = (self.unit("\n".join(x for _, x, _ in lines[s : e + 1]), lines[s][0], lines[e][0], len(self.rows)) for s, e in sorted(spans))
+        return [u for u in made if u.start < u.end or u.header]
 
     def scan(self, text: str, whole: bool) -> tuple[float, list[Unit]]:
-        """Over the lines with a cue, and the whole where asked for: those that can reach LEAST_COSINE,
-        and the best cosine of the others if their other terms are found nowhere."""
+        """Over the lines with a cue, the runs, and the whole where asked for: those that can reach
+        LEAST_COSINE, and the best cosine of the lines if their other terms are found nowhere."""
         low = text.lower()
+        runs = [u for u in self.runs(low) if u.can()]
         if not self.cue.search(low):
-            return 0.0, []
-        lines = {x for x in low.split("\n") if self.cue.search(x)}
-        made = [self.unit(x) for x in sorted(lines)] + ([self.unit(low)] if whole else [])
-        near = [u for u in made if u.most() >= LEAST_COSINE * (1 - 1e-9)]
-        return max((u.cosine(sum((n * self.other) ** 2 for n in u.others.values())) for u in made), default=0.0), near
+            return 0.0, runs
+        lines = [(i, x) for i, x in enumerate(low.split("\n")) if self.cue.search(x)]
+        made = {x: self.unit(x, i, i, self.notices) for i, x in lines}
+        near = [replace(made[x], start=i, end=i) for i, x in lines if made[x].can()]
+        units = [*made.values()]
+        if whole:
+            units.append(self.unit(low, 0, low.count("\n"), self.notices))
+            near += [u for u in units[-1:] if u.can()]
+        return max((u.cosine(sum((n * self.other) ** 2 for n in u.others.values())) for u in units), default=0.0), near + runs
 
 
 @dataclass
 class Unit:
-    """A line or a whole text: its product with the nearest template, its square over the templates' terms, its other terms."""
+    """A line, run or whole text: its product with the nearest template, its square over the templates' terms, its other terms."""
 
     text: str
     licence: str
     dot: float
     own: float
     others: dict[str, int]
+    header: bool
+    start: int
+    end: int
 
     def cosine(self, square: float) -> float:
         return self.dot / math.sqrt(self.own + square) if self.own else 0.0
 
-    def most(self) -> float:
-        """The cosine if its other terms are in every text, where the weight is least."""
-        return self.cosine(sum(n * n for n in self.others.values()))
+    def can(self) -> bool:
+        """Whether it reaches LEAST_COSINE if its other terms are in every text, where the weight is least."""
+        return self.cosine(sum(n * n for n in self.others.values())) >= LEAST_COSINE * (1 - 1e-9)
+
 
+def decide(units: list[tuple[float, str, bool, int, int]]) -> tuple[float, str | None]:
+    """The best cosine and, if it is near enough, its licence, of ``(cosine, licence, header, start, end)``.
 
-def decide(units: list[tuple[float, str]]) -> tuple[float, str | None]:
-    """The best cosine and, if it is near enough, its licence; ties go to the first in the alphabet."""
-    cosine, licence = min(((-c, x) for c, x in units), default=(0.0, None))
+    Near enough headers silence what overlaps them; ties go to the first in the alphabet."""
+    spans = [(start, end) for c, _, header, start, end in units if header and c >= LEAST_COSINE]
+    heard = [(-c, x) for c, x, header, start, end in units if header or not any(start <= e and s <= end for s, e in spans)]
+    cosine, licence = min(heard, default=(0.0, None))
     return -cosine, licence if -cosine >= LEAST_COSINE else None
 
 
 def term_counts(docs: DataFrame, text_col: str) -> tuple[int, dict[str, int]]:
     """Texts, and for each term of the templates in how many of them it is."""
-    vocabulary = sorted({t for notices in TEMPLATES.values() for n in notices for t in terms(n)})
+    vocabulary = sorted({t for notices in [*TEMPLATES.values(), *HEADERS.values()] for n in notices for t in terms(n)})
     single = {t: i for i, t in enumerate(vocabulary) if " " not in t}
     pairs = {t: i for i, t in enumerate(vocabulary) if " " in t}
     firsts = {t.split(" ")[0] for t in pairs}
@@ -224,7 +296,7 @@ def weighed(docs: DataFrame, text_col: str, scanned: DataFrame, matcher: Matcher
     weight = F.col("times") * (F.log(F.lit(1.0 + matcher.documents) / (1 + F.coalesce("n", F.lit(0)))) + 1)
     squares = apart.join(counts, "term", "left").groupBy("key").agg(F.sum(weight * weight).alias("square"))
     cosine = F.col("dot") / F.sqrt(F.col("own") + F.coalesce("square", F.lit(0.0)))
-    found = units.join(squares, "key", "left").groupBy("_row").agg(F.collect_list(F.struct(cosine.alias("c"), "licence")).alias("units"))
+    found = units.join(squares, "key", "left").groupBy("_row").agg(F.collect_list(F.struct(cosine.alias("c"), "licence", "header", "start", "end")).alias("units"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +310,7 @@ def weighed(docs: DataFrame, text_col: str, scanned: DataFrame, matcher: Matcher
 
 RESULT = ["license", "cosine", "license_from", "license_dir"]
 #: Lines whose cosine needs the counts of other terms.
-UNITS = T.ArrayType(T.StructType([T.StructField("key", T.BinaryType()), T.StructField("licence", T.StringType()), T.StructField("dot", T.DoubleType()), T.StructField("own", T.DoubleType()), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("n", T.ArrayType(T.IntegerType()))]))
+UNITS = T.ArrayType(T.StructType([T.StructField("key", T.BinaryType()), T.StructField("licence", T.StringType()), T.StructField("dot", T.DoubleType()), T.StructField("own", T.DoubleType()), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("n", T.ArrayType(T.IntegerType())), T.StructField("header", T.BooleanType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
 def scan_licences(docs: DataFrame, path_col: str = "path", text_col: str = "text", licence_file: str = r"(?i)(^|/)(licen[sc]e|copying|unlicense)(\.[a-z]+)?$", drop_text: bool = False) -> DataFrame:
@@ -254,10 +326,10 @@ def scan_licences(docs: DataFrame, path_col: str = "path", text_col: str = "text
             for text, is_file in zip(batch.column("_in_text").to_pylist(), batch.column("_file").to_pylist(), strict=True):
                 least, near = matcher.scan(text or "", bool(is_file))
                 later = any(u.others for u in near)
-                c, licence = decide([(u.cosine(0.0), u.licence) for u in near]) if near and not later else (least, None)
+                c, licence = decide([(u.cosine(0.0), u.licence, u.header, u.start, u.end) for u in near]) if near and not later else (least, None)
                 own.append(licence)
                 cosine.append(round(c, 6))
-                left.append([{"key": hashlib.md5(u.text.encode()).digest(), "licence": u.licence, "dot": u.dot, "own": u.own, "terms": list(u.others), "n": list(u.others.values())} for u in near] if later else None)
+                left.append([{"key": hashlib.md5(u.text.encode()).digest(), "licence": u.licence, "dot": u.dot, "own": u.own, "terms": list(u.others), "n": list(u.others.values()), "header": u.header, "start": u.start, "end": u.end} for u in near] if later else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(own, pa.string()), pa.array(cosine, pa.float64()), batch.column("_file"), batch.column("_dir"), pa.array(left, to_arrow_type(UNITS))], made.names)
 
     path = F.col(f"`{path_col}`")

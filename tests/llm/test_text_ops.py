@@ -275,5 +275,49 @@ def test_licences_weigh_ordinary_words_by_their_counts(spark, size):
     assert got[0]["license"] == "CC-BY-NC-4.0" and got[0]["cosine"] > 0.7
 
 
+GNU_2 = """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version 2 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,"""
+GNU_A = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU Affero General Public License as
+ * published by the Free Software Foundation, either version 3 of the
+ * License, or (at your option) any later version."""
+BSD = """Copyright (c) 2020, Somebody
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+THIRD = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+
+def test_licences_by_headers_on_several_lines(spark):
+    want = {
+        "GPL-2.0": [GNU_2, "import x\n" + GNU_2 + "\nx = 1\n", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\n" + GNU_2],
+        "GPL-3.0": [GNU_2.replace("version 2", "version 3")],
+        "AGPL-3.0": [GNU_A],
+        "LGPL-2.1": [GNU_2.replace("General", "Lesser General").replace("version 2", "version 2.1")],
+        "BSD-2-Clause": [BSD.format("")],
+        "BSD-3-Clause": [BSD.format(THIRD)],
+        "MIT": ["Permission is hereby granted, free of charge,\nto any person obtaining a copy of this software\nand associated documentation files"],
+        None: [GNU_2.split("\n")[0], "only words\nof a text"],
+    }
+    rows = [(f"{name}/{i}", x) for name, texts in want.items() for i, x in enumerate(texts)]
+    rows += [(f"w/{i}", f"ordinary words of a text\nthat is number {i} and this is software") for i in range(300)]
+    got = {r["path"]: r["license"] for r in C.scan_licences(frame(spark, rows, "path string, text string")).collect()}
+    assert {p: x for p, x in got.items() if p[:2] != "w/"} == {f"{name}/{i}": name for name, texts in want.items() for i in range(len(texts))}
+    assert not any(x for p, x in got.items() if p[:2] == "w/")
+
+
 def test_digest_of_items():
     assert D.items_digest([]) == hashlib.sha256(b"").hexdigest()
