@@ -39,7 +39,8 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     held = {s.table: s.points(spark, SF).cache() for s in (EVENTS, CUSTOMER, PART, EMBEDDINGS)}
-    held["blobs_20k"] = blobs(spark, 20_000, 2.2).cache()
+    sized = {"20k": (20_000, 0.15, 180), "50k": (50_000, 0.09, 110), "100k": (100_000, 0.07, 100), "200k": (200_000, 0.05, 100)}
+    held |= {f"blobs_{k}": blobs(spark, n, 2.2).cache() for k, (n, _, _) in sized.items()}
     for p in held.values():
         p.count()
     ev = held["events"]
@@ -49,13 +50,14 @@ def main() -> None:
         "neighbors_l1_band_events": lambda: N.neighbors(ev, 0.1, "l1_band"),
         "degree_events": lambda: G.degrees(ev, N.neighbors(ev, 0.1)),
         "cell_histogram_events": lambda: G.cells(ev, 0.1),
-        "dbscan_events_eps0.1": lambda: C.dbscan(ev, 0.1, 10),
-        "dbscan_events_eps0.1_cells": lambda: C.dbscan(ev, 0.1, 10, strategy="cells"),
-        "dbscan_customer": lambda: C.dbscan(held["customer"], 0.1, 10),
-        "dbscan_part": lambda: C.dbscan(held["part"], 2.0, 7),
-        "dbscan_embeddings": lambda: C.dbscan(held["embeddings"], 0.03, 8),
-        "dbscan_blobs_20k_eps0.15": lambda: C.dbscan(held["blobs_20k"], 0.15, 180),
+        "clusters_events_eps0.1": lambda: C.density_clusters(ev, 0.1, 10),
+        "clusters_events_eps0.1_cells": lambda: C.density_clusters(ev, 0.1, 10, strategy="cells"),
+        "clusters_customer": lambda: C.density_clusters(held["customer"], 0.1, 10),
+        "clusters_part": lambda: C.density_clusters(held["part"], 2.0, 7),
+        "clusters_embeddings": lambda: C.density_clusters(held["embeddings"], 0.03, 8),
     }
+    for k, (_, eps, least) in sized.items():
+        work[f"clusters_blobs_{k}_eps{eps}"] = lambda k=k, eps=eps, least=least: C.density_clusters(held[f"blobs_{k}"], eps, least)
     took: dict[str, float] = {}
     for name, build in work.items():
         times = []

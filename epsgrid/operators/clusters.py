@@ -162,7 +162,7 @@ def candidate_pairs(points: DataFrame, eps: float) -> int:
     return int(cells(points, eps).agg(F.sum(F.col("n").cast("double") * F.col("n") * 9)).first()[0] or 0)
 
 
-def dbscan(points: DataFrame, eps: float, min_pts: int, border_rule: str = "first", strategy: str = "auto") -> DataFrame:
+def density_clusters(points: DataFrame, eps: float, min_pts: int, border_rule: str = "first", strategy: str = "auto") -> DataFrame:
     """``(id, membership, cluster_id)`` of every point of ``(id, x, y)``.
 
     ``strategy``: 'cells' never materialises neighbour pairs and does not enumerate those inside

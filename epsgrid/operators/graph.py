@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epsgrid.functions.scalars import cell
-from epsgrid.operators.neighbors import grid_width
+from epsgrid.operators.neighbors import grid_pairs, grid_width
 from epsgrid.operators.prefix import prefix_sums
 
 
@@ -16,6 +16,12 @@ def degrees(points: DataFrame, edges: DataFrame) -> DataFrame:
     return points.select("id").join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("num_nbs"))
 
 
+def radius_degrees(points: DataFrame, eps: float) -> DataFrame:
+    """As ``degrees`` of the radius graph, whose edges are counted as they arise and never written."""
+    u, v = (points.select(F.col("id").alias(a), F.col("x").alias(f"{a}x"), F.col("y").alias(f"{a}y")) for a in "uv")
+    return degrees(points, grid_pairs(u, v, eps).select("u"))
+
+
 def edge_total(edges: DataFrame) -> DataFrame:
     """Directed edges, twice the pairs."""
     return edges.agg(F.count("*").alias("edges"))
@@ -61,5 +67,16 @@ def cell_starts(points: DataFrame, eps: float) -> DataFrame:
     return prefix_sums(cells(points, eps), ["cy", "cx"], "n", "start_pos")
 
 
+def grid_extent(points: DataFrame, eps: float) -> DataFrame:
+    """The bounds moved out by half of ``eps``, and the rows and columns of a dense grid over them with a margin."""
+    half, wide = F.lit(eps).cast("float") / 2, F.lit(eps).cast("float").cast("double")
+    low = lambda c: (F.col(f"min_{c}") - half.cast("float")).alias(f"low_{c}")
+    high = lambda c: (F.col(f"max_{c}") + half.cast("float")).alias(f"high_{c}")
+    size = lambda c: (F.ceil(((F.col(f"high_{c}") - F.col(f"low_{c}")).cast("double") / wide).cast("float")) + 2).cast("long")
+    moved = bounds(points).select(low("x"), high("x"), low("y"), high("y"))
+    return moved.select("*", size("y").alias("grid_rows"), size("x").alias("grid_cols"))
+
+
 def bounds(points: DataFrame) -> DataFrame:
+    """Least and largest coordinates and the number of points."""
     return points.agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"), F.count("*").alias("n"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from epsgrid.functions.scalars import CELL_SLACK, cell, check_eps, l1_norm, squared_distance, squared_radius
 
+#: Points of which every pair is looked at.
+BRUTE_POINTS = 200_000
 STRATEGIES = {"grid": "grid", "kd_tree": "grid", "l1_band": "l1_band", "brute": "brute"}
 
 
@@ -52,7 +54,11 @@ def grid_pairs(left: DataFrame, right: DataFrame, eps: float) -> DataFrame:
 
 
 def neighbors(points: DataFrame, eps: float, strategy: str = "grid") -> DataFrame:
-    """``edges(u, v)`` by the named plan: cell blocks, bands of the L1 norm, or every pair."""
+    """``edges(u, v)`` by the named plan: cell blocks, bands of the L1 norm, or every pair.
+
+    'brute' looks at all pairs and is the definition to hold the others against: points beyond
+    BRUTE_POINTS are refused.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {sorted(STRATEGIES)}")
     u, v = _sides(points)
@@ -60,10 +66,13 @@ def neighbors(points: DataFrame, eps: float, strategy: str = "grid") -> DataFram
     if plan == "grid" or check_eps(eps) == 0:
         return grid_pairs(u, v, eps).select("u", "v")
     if plan == "brute":
+        if (n := points.count()) > BRUTE_POINTS:
+            raise ValueError(f"{n} points are too many to look at every pair")
         return u.join(v, (F.col("u") != F.col("v")) & within(eps)).select("u", "v")
+    # a band alone holds a share of all points that grows with them: the cell of y is the second key
     band = lambda a: cell(l1_norm(F.col(f"{a}x").cast("double"), F.col(f"{a}y").cast("double")), 2 * eps)
-    near = v.withColumn("b", F.explode(F.array(*[band("v") + i for i in (-1, 0, 1)])))
-    return u.withColumn("b", band("u")).join(near, "b").where((F.col("u") != F.col("v")) & within(eps)).select("u", "v")
+    placed = lambda side, a: side.withColumns({"b": band(a), "cy": cell(F.col(f"{a}y"), grid_width(eps))})
+    return placed(u, "u").join(spread(placed(v, "v"), "b", "cy"), ["b", "cy"]).where((F.col("u") != F.col("v")) & within(eps)).select("u", "v")
 
 
 def l1_ranks(points: DataFrame) -> DataFrame:

@@ -19,8 +19,8 @@ from epsgrid.operators import neighbors as N
 from epsgrid.operators.components import connected_components
 from epsgrid.sources import sinks
 from epsgrid.sources.blobs import blobs, standardise
-from epsgrid.sources.points import from_dataframe, parse_lines, rejected_lines
-from epsgrid.staging import stage
+from epsgrid.sources.points import from_dataframe, parse_lines, read_labels, read_points, rejected_lines
+from epsgrid.staging import place, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,27 @@ PART = Source("part", "p_partkey", "p_size", "p_retailprice - 900", "p_size", "p
 EVENTS = Source("events", "event_id", "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz)) / 86400000000D", "value / 10", "(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 86400000000::DOUBLE", "value / 10", 0.3, 10)
 
 
+@dataclass(frozen=True)
+class Generated(Source):
+    """Points made from whole numbers, alike in both engines: twenty clouds on a lattice, ``table`` in number."""
+
+    def points(self, spark: SparkSession, sf_dir: str, double_precision: bool = False) -> DataFrame:
+        return from_dataframe(spark.range(int(self.table)), self.id, F.expr(self.x), F.expr(self.y), double_precision)
+
+    def sql(self, kind: str = "FLOAT") -> str:
+        return f"p AS MATERIALIZED (SELECT {self.id}, CAST({self.sql_x} AS {kind}) AS x, CAST({self.sql_y} AS {kind}) AS y FROM range({self.table}) t(id))"
+
+
+def _cloud(centre: str, *steps: int) -> str:
+    """A sum of fractions that differ from id to id, around a centre."""
+    return f"{centre} + " + " + ".join(f"((id * {a} + {a % 977}) % 99991) / 99991D" for a in steps)
+
+
+_AXES = _cloud("(id % 5) * 3D", 48271, 69621, 39373), _cloud("((id % 20) div 5) * 3D", 16807, 30269, 62089)
+_SQL_AXES = [x.replace("99991D", "99991::DOUBLE").replace("3D", "3::DOUBLE").replace(" div ", " // ") for x in _AXES]
+CLOUDS = Generated("20000", "id", _AXES[0], _AXES[1], _SQL_AXES[0], _SQL_AXES[1], 0.15, 30)
+
+
 def _edges(s: Source, eps: float | None = None) -> str:
     """Neighbour pairs; the bound on x only spares work."""
     e = s.eps if eps is None else eps
@@ -113,7 +134,7 @@ def _edge_query(source: Source, build: Callable[[DataFrame, DataFrame], DataFram
 
 
 def _labels(source: Source, rule: str = "first", strategy: str = "auto", eps: float | None = None, min_pts: int | None = None) -> Query:
-    return lambda spark, d: C.dbscan(source.points(spark, d), source.eps if eps is None else eps, source.min_pts if min_pts is None else min_pts, rule, strategy)
+    return lambda spark, d: C.density_clusters(source.points(spark, d), source.eps if eps is None else eps, source.min_pts if min_pts is None else min_pts, rule, strategy)
 
 
 E = EVENTS
@@ -126,8 +147,8 @@ _add("scan_points_double", "SELECT event_id AS id, " + f"CAST({E.sql_x} AS DOUBL
 _add("parse_point_lines", _with(CUSTOMER) + "SELECT id, CAST(printf('%.6f', x::DOUBLE) AS FLOAT) AS x, CAST(printf('%.6f', y::DOUBLE) AS FLOAT) AS y FROM p", _on(CUSTOMER, lambda p: parse_lines(sinks.point_lines(p))))
 _add(
     "rejected_lines",
-    "SELECT kind, count(*) AS n FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN 'point' WHEN 1 THEN 'header' ELSE 'rejected' END AS kind FROM customer) t GROUP BY kind",
-    lambda spark, d: rejected_lines(spark.read.parquet(f"{d}/customer.parquet").selectExpr("case c_custkey % 3 when 0 then concat(c_custkey, ' 1.5  2') when 1 then cast(c_custkey as string) else concat(c_custkey, ' 1') end as value")),
+    "SELECT kind, count(*) AS n FROM (SELECT CASE c_custkey % 4 WHEN 0 THEN 'point' WHEN 1 THEN 'header' ELSE 'rejected' END AS kind FROM customer) t GROUP BY kind",
+    lambda spark, d: rejected_lines(spark.read.parquet(f"{d}/customer.parquet").selectExpr("case c_custkey % 4 when 0 then concat(c_custkey, ' 1.5  2') when 1 then cast(c_custkey as string) when 2 then concat(c_custkey, ' NaN 2') else concat(c_custkey, ' 1') end as value")),
 )
 _add("point_lines", _with(CUSTOMER) + "SELECT id, printf('%d %.6f %.6f', id, x::DOUBLE, y::DOUBLE) AS value FROM p", _on(CUSTOMER, sinks.point_lines))
 _add("label_lines", _all(CUSTOMER) + "SELECT id, CAST(cluster_id AS VARCHAR) AS value FROM lab", lambda spark, d: sinks.label_lines(_labels(CUSTOMER)(spark, d)))
@@ -136,6 +157,34 @@ _add(
     _all(CUSTOMER) + "SELECT p.id, x, y, cluster_id, CASE membership WHEN 'Core' THEN 'large' WHEN 'Border' THEN 'small' ELSE 'black' END AS layer FROM p JOIN lab USING (id)",
     lambda spark, d: sinks.scatter_layers(CUSTOMER.points(spark, d), _labels(CUSTOMER)(spark, d)),
 )
+def _points_again(spark: SparkSession, d: str) -> DataFrame:
+    path = place(spark, "point-file")
+    sinks.write_points(CUSTOMER.points(spark, d), path)
+    return read_points(spark, path, strict_count=True)
+
+
+def _labels_again(spark: SparkSession, d: str) -> DataFrame:
+    path = place(spark, "label-file")
+    sinks.write_labels(_labels(CUSTOMER)(spark, d), path)
+    return read_labels(spark, path)
+
+
+_add("point_file", SQL["parse_point_lines"], _points_again)
+_add("point_file_by_row", _with(CUSTOMER) + "SELECT row_number() OVER (ORDER BY id) - 1 AS id, CAST(printf('%.6f', x::DOUBLE) AS FLOAT) AS x, CAST(printf('%.6f', y::DOUBLE) AS FLOAT) AS y FROM p", lambda spark, d: _rows_again(spark, d))
+_add("label_file", _all(CUSTOMER) + "SELECT row_number() OVER (ORDER BY id) - 1 AS line, cluster_id FROM lab", _labels_again)
+
+
+def _rows_again(spark: SparkSession, d: str) -> DataFrame:
+    path = place(spark, "point-file")
+    sinks.write_points(CUSTOMER.points(spark, d), path)
+    return read_points(spark, path, by_row=True)
+
+
+_add(
+    "blobs_summary",
+    "SELECT 2000 AS n, 20 AS centres, 0.0::DOUBLE AS mean_x, 1.0::DOUBLE AS dev_x, 0.0::DOUBLE AS mean_y, 1.0::DOUBLE AS dev_y",
+    lambda spark, d: blobs(spark, 2000).agg(F.count("*").cast("int").alias("n"), F.count_distinct(F.col("id") % 20).cast("int").alias("centres"), *[(F.round(f(F.col(c).cast("double")), 4) + F.lit(0.0)).alias(f"{n}_{c}") for c in "xy" for n, f in (("mean", F.avg), ("dev", F.stddev_pop))]),
+)
 _add("blobs", None, lambda spark, d: blobs(spark, 2000))
 
 # projections and scalar functions
@@ -170,6 +219,12 @@ _add(
 
 # aggregates and windows over the grid and the graph
 _add("bounding_box", _with(E) + "SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, count(*) AS n FROM p", _on(E, G.bounds))
+_add(
+    "grid_extent",
+    _with(E, "-", f"""m AS (SELECT min(x) - CAST({E.eps / 2!r} AS FLOAT) AS low_x, max(x) + CAST({E.eps / 2!r} AS FLOAT) AS high_x, min(y) - CAST({E.eps / 2!r} AS FLOAT) AS low_y, max(y) + CAST({E.eps / 2!r} AS FLOAT) AS high_y FROM p)""")
+    + f"SELECT *, CAST(ceil((high_y - low_y) / CAST({E.eps} AS FLOAT)) + 2 AS BIGINT) AS grid_rows, CAST(ceil((high_x - low_x) / CAST({E.eps} AS FLOAT)) + 2 AS BIGINT) AS grid_cols FROM m",
+    _on(E, lambda p: G.grid_extent(p, E.eps)),
+)
 _add("cell_histogram", _with(E, "-", _CELLS) + "SELECT cx, cy, n FROM c", _on(E, lambda p: G.cells(p, E.eps)))
 _add("cell_start_pos", _with(E, "-", _CELLS) + "SELECT cx, cy, n, CAST(coalesce(sum(n) OVER (ORDER BY cy, cx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_pos FROM c", _on(E, lambda p: G.cell_starts(p, E.eps)))
 _add("l1_sort_rank", _with(E) + "SELECT id, abs(x) + abs(y) AS l1, row_number() OVER (ORDER BY abs(x) + abs(y), id) - 1 AS rank FROM p", _on(E, N.l1_ranks))
@@ -181,6 +236,7 @@ _add("neighbors_eps_zero", _with(PART, " ", eps=0.0) + "SELECT u, v FROM e", lam
 
 # graph views
 _add("degree", _with(E, _core(E)) + "SELECT id, num_nbs FROM deg", _edge_query(E, G.degrees))
+_add("degree_without_edges", SQL["degree"], _on(E, lambda p: G.radius_degrees(p, E.eps)))
 _add("edge_total", _with(E, " ") + "SELECT count(*) AS edges FROM e", _edge_query(E, lambda p, e: G.edge_total(e)))
 _add("csr_offsets", _with(E, _core(E)) + "SELECT id, num_nbs, CAST(coalesce(sum(num_nbs) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_pos FROM deg", _edge_query(E, G.start_positions))
 _add(
@@ -234,11 +290,13 @@ for _rule in ("first", "last"):
 _add("memberships", _all(E) + "SELECT id, membership FROM lab", lambda spark, d: _labels(E)(spark, d).select("id", "membership"))
 _add("noise_points", _all(E) + "SELECT id FROM lab WHERE membership = 'Noise'", lambda spark, d: _labels(E)(spark, d).where("membership = 'Noise'").select("id"))
 for _source in (EMBEDDINGS, CUSTOMER, PART, EVENTS):
-    _add(f"dbscan_{_source.table}", _all(_source) + "SELECT id, membership, cluster_id FROM lab", _labels(_source))
+    _add(f"clusters_{_source.table}", _all(_source) + "SELECT id, membership, cluster_id FROM lab", _labels(_source))
 for _strategy in ("cells", "grid", "l1_band", "brute"):
-    _add(f"dbscan_part_{_strategy}", SQL["dbscan_part"], _labels(PART, strategy=_strategy))
-_add("dbscan_events_cells", SQL["dbscan_events"], _labels(EVENTS, strategy="cells"))
-_add("dbscan_last_rule", _all(PART, "last") + "SELECT id, membership, cluster_id FROM lab", _labels(PART, "last"))
+    _add(f"clusters_part_{_strategy}", SQL["clusters_part"], _labels(PART, strategy=_strategy))
+_add("clusters_events_cells", SQL["clusters_events"], _labels(EVENTS, strategy="cells"))
+_add("clusters_20k_clouds", _all(CLOUDS) + "SELECT id, membership, cluster_id FROM lab", _labels(CLOUDS))
+_add("clusters_20k_clouds_cells", SQL["clusters_20k_clouds"], _labels(CLOUDS, strategy="cells"))
+_add("clusters_last_rule", _all(PART, "last") + "SELECT id, membership, cluster_id FROM lab", _labels(PART, "last"))
 _add(
     "cluster_report",
     _all(E).rstrip() + """, n AS (SELECT count(*) AS n, count(DISTINCT CASE WHEN cluster_id >= 0 THEN cluster_id END) AS clusters,
@@ -254,4 +312,4 @@ _add("eps_zero", _all(PART, eps=0.0, min_pts=1) + "SELECT id, membership, cluste
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of the first two embedding dimensions at eps 0.02 with four neighbours."""
-    return C.dbscan(EMBEDDINGS.points(spark, sf_dir), 0.02, 4)
+    return C.density_clusters(EMBEDDINGS.points(spark, sf_dir), 0.02, 4)

@@ -14,28 +14,42 @@ from epsgrid.operators.prefix import prefix_sums
 FINITE = "x is not null and y is not null and not isnan(x) and not isnan(y) and abs(x) < double('infinity') and abs(y) < double('infinity')"
 
 
+#: The one predicate by which a line is a point; its columns are those of ``_read``.
+POINT = f"n = 3 and id is not null and {FINITE}"
+
+
+def _read(lines: DataFrame, value: str, double_precision: bool) -> DataFrame:
+    """``(n, number, id, x, y)``: tokens of each line, its number if it is one, and the first three tokens as a point."""
+    kind = "double" if double_precision else "float"
+    rows = lines.select(F.split(F.trim(F.col(value)), r"\s+").alias("p"))
+    token = lambda i, t, c: F.expr(f"try_cast(get(p, {i}) as {t})").alias(c)
+    return rows.select(F.size("p").alias("n"), F.when(F.size("p") == 1, F.expr("try_cast(p[0] as bigint)")).alias("number"), token(0, "bigint", "id"), token(1, kind, "x"), token(2, kind, "y"))
+
+
 def parse_lines(lines: DataFrame, value: str = "value", double_precision: bool = False) -> DataFrame:
     """Points of lines ``id x y``; lines of another form (the count in the first line too) are left out."""
-    kind = "double" if double_precision else "float"
-    parts = F.split(F.trim(F.col(value)), r"\s+")
-    rows = lines.select(parts.alias("p")).where(F.size("p") == 3)
-    rows = rows.select(F.expr("try_cast(p[0] as bigint)").alias("id"), F.expr(f"try_cast(p[1] as {kind})").alias("x"), F.expr(f"try_cast(p[2] as {kind})").alias("y"))
-    return rows.where("id is not null").where(FINITE)
+    return _read(lines, value, double_precision).where(POINT).select("id", "x", "y")
 
 
-def rejected_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """How many lines are the count line, points, and neither: ``(kind, n)``."""
-    p = F.split(F.trim(F.col(value)), r"\s+")
-    number = F.expr(f"try_cast(trim({value}) as bigint)").isNotNull()
-    point = (F.size(p) == 3) & F.expr(f"try_cast(split(trim({value}), '\\\\s+')[0] as bigint)").isNotNull()
-    kind = F.when(point, "point").when(number, "header").otherwise("rejected")
-    return lines.select(kind.alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+def rejected_lines(lines: DataFrame, value: str = "value", double_precision: bool = False) -> DataFrame:
+    """How many lines are the count line, points as ``parse_lines`` has them, and neither: ``(kind, n)``."""
+    kind = F.when(F.expr(POINT), "point").when(F.col("number").isNotNull(), "header").otherwise("rejected")
+    return _read(lines, value, double_precision).select(kind.alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def read_points(spark: SparkSession, path: str, double_precision: bool = False, strict_count: bool = False) -> DataFrame:
-    """Scan of a point file; with ``strict_count`` the count in its first line must be that of the rows."""
+def read_points(spark: SparkSession, path: str, double_precision: bool = False, strict_count: bool = False, by_row: bool = False) -> DataFrame:
+    """Scan of a point file; with ``strict_count`` the count in its first line must be that of the rows.
+
+    With ``by_row`` the ids in the file are ignored: a point's id is its place among the points, from 0.
+    """
     lines = spark.read.text(path)
     points = parse_lines(lines, double_precision=double_precision)
+    if by_row:
+        rows = lines.withColumn("at", F.monotonically_increasing_id())
+        rows = rows.select("at", F.expr("split(trim(value), '\\\\s+')").alias("p")).where(F.size("p") == 3)
+        kind = "double" if double_precision else "float"
+        rows = rows.select("at", F.expr(f"try_cast(p[1] as {kind})").alias("x"), F.expr(f"try_cast(p[2] as {kind})").alias("y")).where(FINITE)
+        points = prefix_sums(rows.withColumn("one", F.lit(1).cast("long")), ["at"], "one", "id").select("id", "x", "y")
     if strict_count:
         said = lines.where(F.size(F.split(F.trim("value"), r"\s+")) == 1).select(F.expr("try_cast(trim(value) as bigint)").alias("n")).where("n is not null").first()
         found = points.count()

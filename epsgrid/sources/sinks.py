@@ -14,10 +14,10 @@ def point_lines(points: DataFrame) -> DataFrame:
 
 
 def write_points(points: DataFrame, path: str) -> None:
-    """A point file: the count, then the points in id order, in one part of the folder ``path``."""
+    """A point file: the count, then the points in id order; the parts of the folder ``path`` follow each other."""
     head = points.agg(F.count("*").cast("string").alias("value")).select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("id"), "value")
     body = point_lines(points).select(F.lit(1).alias("part"), "id", "value")
-    head.union(body).repartitionByRange(1, "part", "id").sortWithinPartitions("part", "id").select("value").write.text(path)
+    head.union(body).repartitionByRange("part", "id").sortWithinPartitions("part", "id").select("value").write.text(path)
 
 
 def label_lines(labels: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Lineage is cut by writing parquet below the shared folder that the cluster names in
 ``spark.checkpoint.dir``, so a lost executor costs a re-read and never a recomputation of
-everything above. Where that setting is absent (tests, a laptop) a temporary folder is used.
+everything above. Where that setting is absent a temporary folder is used, on a local master only:
+elsewhere the executors would not see it.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 _STAGED: list[str] = []
+#: Names of the bucketed tables by their place.
+_TABLES: dict[str, str] = {}
 #: Shuffle files of a finished staging write are of no further use.
 _STAGING_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
@@ -27,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="epsgrid-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -46,13 +51,18 @@ def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def place(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted by ``clear``."""
+    _STAGED.append(f"{shared_dir(spark)}/epsgrid-{label}-{uuid.uuid4().hex[:12]}")
+    return _STAGED[-1]
+
+
 def stage(df: DataFrame, label: str, compression: str = "zstd", conf: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/epsgrid-{label}-{uuid.uuid4().hex[:12]}"
+    path = place(spark, label)
     with settings(spark, _STAGING_CONF | (conf or {})):
         df.write.option("compression", compression).parquet(path)
-    _STAGED.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -72,8 +82,10 @@ def clear(spark: SparkSession) -> None:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if name := _TABLES.pop(path, None):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     if path in _STAGED:
         _STAGED.remove(path)
 
@@ -86,4 +98,7 @@ def stage_bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
     with settings(spark, _STAGING_CONF):
         df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").option("compression", "uncompressed").saveAsTable(name)
     _STAGED.append(f"{shared_dir(spark)}/{name}")
-    return spark.table(name)
+    _TABLES[_STAGED[-1]] = name
+    out = spark.table(name)
+    out._staged_at = _STAGED[-1]
+    return out

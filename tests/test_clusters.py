@@ -10,6 +10,7 @@ from epsgrid.operators import graph as G
 from epsgrid.operators import neighbors as N
 from epsgrid.operators.components import connected_components, forest
 
+#: F1 to F3 and what they give below.
 PLANS = ["cells", "grid", "l1_band", "brute"]
 F1 = [(1, 2), (2, 2), (2, 3), (8, 7), (8, 8), (25, 80)]
 F2 = [(1, 2), (2, 2), (2, 3), (5, 2), (5, 6), (5, 9), (8, 7), (8, 8), (8, 9), (25, 80)]
@@ -68,7 +69,7 @@ def brute(rows, eps, min_pts, rule="first"):
     ],
 )
 def test_golden_inputs(spark, plan, rows, min_pts, rule, kinds, clusters):
-    assert labels(C.dbscan(points(spark, rows), 3.0, min_pts, rule, plan)) == (kinds, clusters)
+    assert labels(C.density_clusters(points(spark, rows), 3.0, min_pts, rule, plan)) == (kinds, clusters)
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -82,13 +83,13 @@ def test_plans_agree_with_the_definition(spark, seed):
     for rule in ("first", "last"):
         want = brute(rows, eps, min_pts, rule)
         for plan in PLANS if rule == "first" else ["cells", "grid"]:
-            assert labels(C.dbscan(df, eps, min_pts, rule, plan)) == want, plan
+            assert labels(C.density_clusters(df, eps, min_pts, rule, plan)) == want, plan
 
 
 def test_lattice_at_the_very_bound(spark):
     rows = [(i * 0.1, j * 0.1) for i in range(-8, 8) for j in range(-8, 8)]
     for eps in (0.1, 0.1 * 2**0.5, 0.2):
-        assert labels(C.dbscan(points(spark, rows), eps, 3, strategy="cells")) == brute(rows, eps, 3)
+        assert labels(C.density_clusters(points(spark, rows), eps, 3, strategy="cells")) == brute(rows, eps, 3)
 
 
 def test_edges_are_symmetric_and_equal_by_every_plan(spark):
@@ -102,7 +103,7 @@ def test_edges_are_symmetric_and_equal_by_every_plan(spark):
 def test_row_order_ids_and_numbering(spark):
     rows = F3
     ids = [90, 7, 55, 3, 1000, -4, 12, 8, 2**40, 6, 13]
-    got = {r["id"]: (r["membership"], r["cluster_id"]) for r in C.dbscan(points(spark, rows[::-1], ids[::-1]), 3.0, 3).collect()}
+    got = {r["id"]: (r["membership"], r["cluster_id"]) for r in C.density_clusters(points(spark, rows[::-1], ids[::-1]), 3.0, 3).collect()}
     kinds, _ = brute(rows, 3.0, 3)
     assert "".join(got[i][0][0] for i in ids) == kinds
     assert got[6][1] == 1 and got[3][1] == 0  # the cluster of the smallest core id is 0
@@ -111,7 +112,7 @@ def test_row_order_ids_and_numbering(spark):
 
 @pytest.mark.parametrize("plan", ["cells", "grid", "auto"])
 def test_edge_cases(spark, plan):
-    run = lambda rows, eps, m: labels(C.dbscan(points(spark, rows), eps, m, strategy=plan))
+    run = lambda rows, eps, m: labels(C.density_clusters(points(spark, rows), eps, m, strategy=plan))
     assert run([], 1.0, 2) == ("", [])
     assert run([(5, 5)], 1.0, 1) == ("N", [-1])
     assert run([(5, 5)], 1.0, 0) == ("C", [0])
@@ -125,13 +126,13 @@ def test_parameters_are_checked(spark):
     df = points(spark, F1)
     for bad in (-1.0, float("nan"), float("inf")):
         with pytest.raises(ValueError, match="eps"):
-            C.dbscan(df, bad, 2)
+            C.density_clusters(df, bad, 2)
     with pytest.raises(ValueError, match="min_pts"):
-        C.dbscan(df, 1.0, -1)
+        C.density_clusters(df, 1.0, -1)
     with pytest.raises(ValueError, match="border_rule"):
-        C.dbscan(df, 1.0, 1, "middle")
+        C.density_clusters(df, 1.0, 1, "middle")
     with pytest.raises(ValueError, match="strategy"):
-        C.dbscan(df, 1.0, 1, strategy="ball_tree")
+        C.density_clusters(df, 1.0, 1, strategy="ball_tree")
 
 
 def test_compressed_rows(spark):
@@ -178,10 +179,10 @@ def test_components_by_merge_and_by_stars(spark):
 
 
 def test_report(spark):
-    row = C.report(C.dbscan(points(spark, F2), 3.0, 2)).first()
+    row = C.report(C.density_clusters(points(spark, F2), 3.0, 2)).first()
     assert (row["n"], row["clusters"], row["core"], row["border"], row["noise"]) == (10, 2, 7, 2, 1)
     assert (row["core_ratio"], row["border_ratio"], row["noise_ratio"]) == ("0.700", "0.200", "0.100")
-    empty = C.report(C.dbscan(points(spark, []), 3.0, 2)).first()
+    empty = C.report(C.density_clusters(points(spark, []), 3.0, 2)).first()
     assert empty["n"] == 0 and empty["core_ratio"] == "0.000"
 
 
