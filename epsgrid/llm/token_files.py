@@ -90,13 +90,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _room(a: np.ndarray, size: int) -> np.ndarray:
+    """``a`` with space for so many values, doubled where it lacks it."""
+    while len(a) < size:
+        a = np.concatenate([a, np.zeros_like(a)])
+    return a
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library; every distinct word of plain text goes to it once.
 
     A byte-level pre-tokenizer cuts a text into words that are merged independently. Texts of known
-    characters are cut here, all of a batch at once; words are told apart by a 64-bit hash of their
-    characters and their length. All other texts, and those that hold the string of an added token,
-    are encoded by the library as they are.
+    characters are cut here, all of a batch at once. Words are looked up by a 64-bit hash and every
+    occurrence is then compared with the word itself; texts where a word is another's hash, all
+    other texts, and those that hold the string of an added token are encoded by the library as
+    they are.
     """
 
     def __init__(self, path: str):
@@ -115,6 +123,8 @@ class Encoder:
         self.known: dict[int, int] = {}
         self.pool = np.zeros(1 << 16, self.dtype)
         self.begin = np.zeros(1 << 14, np.int64)  # of each word's ids in the pool; one more than words
+        self.letters = np.zeros(1 << 18, np.uint8)  # the words themselves, end to end
+        self.letter = np.zeros(1 << 14, np.int32)  # of each word's start among them
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -127,12 +137,13 @@ class Encoder:
         cut = np.searchsorted(np.asarray(made.word_ids, np.int64), np.arange(1, len(words) + 1))
         ids = np.asarray(made.ids, self.dtype)
         n, end = len(self.known), int(self.begin[len(self.known)])
-        while end + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + len(words) + 1 > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        told, last = np.frombuffer("".join(words).encode("latin-1"), np.uint8), int(self.letter[n])
+        self.pool, self.letters = _room(self.pool, end + len(ids)), _room(self.letters, last + len(told))
+        self.begin, self.letter = _room(self.begin, n + len(words) + 1), _room(self.letter, n + len(words) + 1)
         self.pool[end : end + len(ids)] = ids
         self.begin[n + 1 : n + len(words) + 1] = end + cut
+        self.letters[last : last + len(told)] = told
+        self.letter[n + 1 : n + len(words) + 1] = last + np.cumsum([len(w) for w in words])
         self.known.update(zip(keys, range(n, n + len(words)), strict=True))
 
     def _plain(self, text: str) -> bytes | None:
@@ -142,8 +153,19 @@ class Encoder:
             return None
         return data if self.by_word and not data.translate(None, _PLAIN) and not any(a in text for a in self.added) else None
 
-    def _by_words(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of plain pieces, none of them empty."""
+    def _same(self, word: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which occurrences are letter by letter the words that their hashes stand for."""
+        size = (ends - starts).astype(np.int32)
+        first = self.letter[word]
+        same = self.letter[word + 1] - first == size
+        at = np.repeat(first - starts.astype(np.int32), size) + np.arange(len(data), dtype=np.int32)
+        differ = self.letters.take(at, mode="clip") != data
+        if differ.any():
+            same &= ~np.logical_or.reduceat(differ, starts)
+        return same
+
+    def _by_words(self, pieces: list[bytes]) -> list[np.ndarray | None]:
+        """Ids of plain pieces, none of them empty; None where a word's hash is another's."""
         joined = b"".join(pieces)
         data = np.frombuffer(joined, np.uint8)
         sizes = np.asarray([len(x) for x in pieces], np.int64)
@@ -171,16 +193,20 @@ class Encoder:
                 self._learn([keys[k] for k in some], [text[a:b] for a, b in zip(starts[at[some]].tolist(), ends[at[some]].tolist(), strict=True)])
             numbers = list(map(self.known.__getitem__, keys))
         word = np.asarray(numbers, np.int64)[back]
+        same = self._same(word, data, starts, ends)
         begin, many = self.begin[word], self.begin[word + 1] - self.begin[word]
         upto = np.cumsum(many)
         ids = self.pool[np.repeat(begin - upto + many, many) + np.arange(upto[-1])]
-        cut = upto[np.searchsorted(starts, first[1:]) - 1]
-        return np.split(ids, cut)
+        edge = np.searchsorted(starts, first)
+        made: list[np.ndarray | None] = [*np.split(ids, upto[edge[1:] - 1])]
+        for i in np.flatnonzero(~np.logical_and.reduceat(same, edge)).tolist() if not same.all() else ():
+            made[i] = None
+        return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, of the width that the vocabulary needs."""
         parts: list[list[np.ndarray]] = [[] for _ in texts]
-        rest: list[int] = []
+        rest: set[int] = set()
         owners: list[int] = []
         pieces: list[bytes] = []
         held = 0
@@ -189,7 +215,10 @@ class Encoder:
             nonlocal held
             if pieces:
                 for i, ids in zip(owners, self._by_words(pieces), strict=True):
-                    parts[i].append(ids)
+                    if ids is None:
+                        rest.add(i)
+                    else:
+                        parts[i].append(ids)
             owners.clear()
             pieces.clear()
             held = 0
@@ -197,7 +226,7 @@ class Encoder:
         for i, text in enumerate(texts):
             data = self._plain(text)
             if data is None:
-                rest.append(i)
+                rest.add(i)
                 continue
             for piece in plain_pieces(data):
                 if held + len(piece) > 2 * PIECE:
@@ -208,7 +237,8 @@ class Encoder:
         flush()
         out = [(x[0] if len(x) == 1 else np.concatenate(x)).tobytes() if x else b"" for x in parts]
         if rest:
-            for i, made in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            left = sorted(rest)
+            for i, made in zip(left, self.tokenizer.encode_batch([texts[i] for i in left], add_special_tokens=False), strict=True):
                 out[i] = np.asarray(made.ids, self.dtype).tobytes()
         return out
 

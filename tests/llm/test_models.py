@@ -147,6 +147,23 @@ def test_words_are_cut_as_the_library_does():
     assert np.concatenate(encoder._by_words(pieces)).tolist() == tokenizer.encode(long, add_special_tokens=False).ids
 
 
+def test_words_with_one_hash_get_their_own_ids():
+    """Words after Thue and Morse have one polynomial hash, whatever its base."""
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(BPE), K.Encoder(BPE)
+    one = "a"
+    while len(one) < 2048:
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    texts = [f"x {one} y", f"x {other} y", other, one, "plain words"]
+    want = [np.asarray(x.ids, "<u2").tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) == want
+    assert [encoder.encode([t])[0] for t in reversed(texts)] == want[::-1]
+    encoder.known = dict.fromkeys(encoder.known, 0)  # every known word is taken for the first one
+    assert encoder.encode(texts) == want
+
+
 def test_code_lengths_are_optimal_and_limited():
     rng = np.random.default_rng(5)
     for counts in (rng.integers(0, 50, 40), np.array([1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89]), np.array([0, 7, 0]), np.array([3, 4])):
