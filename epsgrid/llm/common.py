@@ -7,6 +7,7 @@ import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows in one Arrow batch and of one batch of the parquet reader: both hold whole texts.
 BATCH_ROWS = 500
@@ -27,6 +28,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def names_for(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def field_of(df: DataFrame, name: str) -> T.StructField:
+    """The field of a column; where a name comes twice, of the first."""
+    return next(f for f in df.schema.fields if f.name == name)
+
+
+#: Values of ``draw``, from 0.
+DRAWS = 1 << 62
+
+
+def draw(*parts: Column | str) -> Column:
+    """A number in 0 .. DRAWS - 1 that depends on the parts alone."""
+    return F.shiftrightunsigned(F.xxhash64(*parts), 2)
+
+
+def draw_below(wanted: int, count: int) -> int:
+    """A bound that about four times ``wanted`` of ``count`` different draws are below, and surely enough of them.
+
+    Four times as many and forty more are expected; that fewer than ``wanted`` come has a chance
+    below 1e-9 at any count. The least draws among them are then a sample of just so many rows.
+    """
+    many = 4 * wanted + 40
+    return DRAWS if many >= count else DRAWS * many // count
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """Unsigned crc32 of an id written as text; it alone decides which rows are held out."""
     return F.crc32(doc_id.cast("string").cast("binary"))

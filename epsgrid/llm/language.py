@@ -1,7 +1,8 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network is trained here, in numpy, by backpropagation through time on one window of each of
-at most ``TRAIN_DOCS`` labelled documents, chosen by a hash of their id and evenly by label. A
+at most ``TRAIN_DOCS`` labelled documents: of each label the same number, those with the least
+hashes of id and text, so that no label is left out however many rows there are. A
 text is cut into blocks of ``LENGTH`` bytes; every position of every block gets a label
 distribution and a document's distribution is the mean over all its positions.
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epsgrid.llm.common import crc_of_id, release, small_batches, table
+from epsgrid.llm.common import DRAWS, crc_of_id, draw, draw_below, release, small_batches, table
 
 TRAIN_DOCS = 4000
 LENGTH = 64
@@ -30,11 +31,16 @@ STEPS = 260
 BATCH = 256
 #: Blocks that are run at once; always so many, so that a text's result does not depend on its neighbours.
 LANES = 2048
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]+")
 _PAD = 256
 Params = dict[str, np.ndarray]
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of a category of letters; numerals such as fractions are not."""
+    return any(any(map(str.isalpha, m[0])) for m in _LETTER.finditer(text))
+
+
 def initial(labels: int, hidden: int, seed: int = 7) -> Params:
     rng = np.random.default_rng(seed)
     draw = lambda *shape: (rng.standard_normal(shape) * shape[0] ** -0.5).astype(np.float32)
@@ -177,21 +183,40 @@ def pooled(p: Params, texts: list[bytes]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, usable, train_docs: int = TRAIN_DOCS) -> tuple[list[str], Params | None]:
-    """Labels and network from at most about ``train_docs`` rows of ``docs(doc_id, text, lang)``."""
+    """Labels and network from at most ``train_docs`` rows of ``docs(doc_id, text, lang)``, and at least one a label."""
     known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return [], None
-    share, draw = train_docs / len(langs), F.pmod(F.xxhash64(F.col("doc_id"), F.lit("draw")), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for lang in langs:
-        chosen = chosen | ((F.col("lang") == lang) & (draw < int(1_000_000 * min(1, share / counts[lang]))))
-    start = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("start")), F.greatest(F.lit(1), F.length("text") - LENGTH)).cast("int")
-    rows = known.where(chosen).select("lang", "doc_id", F.expr("text").substr(start + 1, F.lit(LENGTH)).alias("w")).collect()
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], r["w"]))
+    start = F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.lit(1), F.length("text") - LENGTH)).cast("int")
+    drawn = known.select("lang", draw("doc_id", "text").alias("draw"), F.expr("text").substr(start + 1, F.lit(LENGTH)).alias("w"))
+    rows = sample(drawn, counts, max(1, train_docs // len(langs)))
     at = {x: i for i, x in enumerate(langs)}
-    return langs, train([r["w"].encode() for r in rows], np.asarray([at[r["lang"]] for r in rows], np.int64), len(langs))
+    return langs, train([w.encode() for _, w in rows], np.asarray([at[x] for x, _ in rows], np.int64), len(langs))
+
+
+def sample(drawn: DataFrame, counts: dict[str, int], each: int) -> list[tuple[str, str]]:
+    """``(lang, w)`` of the ``each`` least draws of each language in ``drawn(lang, draw, w)``.
+
+    Only rows below a bound that follows from the counts are collected. Equal rows have one draw and
+    are taken once: where so many are equal that too few are left, the bound is lifted in turn.
+    """
+    out: list[tuple[str, str]] = []
+    left, wide = dict(counts), 1
+    while left:
+        below = F.lit(False)
+        for lang, n in left.items():
+            below = below | ((F.col("lang") == lang) & (F.col("draw") < min(DRAWS, wide * draw_below(each, n))))
+        found: dict[str, list[tuple[int, str]]] = {x: [] for x in left}
+        for r in drawn.where(below).groupBy("lang", "draw").agg(F.min("w").alias("w")).collect():
+            found[r["lang"]].append((r["draw"], r["w"]))
+        for lang, rows in found.items():
+            if len(rows) >= each or wide * draw_below(each, left[lang]) >= DRAWS:
+                out += [(lang, w) for _, w in sorted(rows)[:each]]
+                del left[lang]
+        wide *= 8
+    return sorted(out)
 
 
 def identify(docs: DataFrame, langs: list[str], params: Params | None, text_col: str = "text", drop_text: bool = False) -> DataFrame:
@@ -202,7 +227,7 @@ def identify(docs: DataFrame, langs: list[str], params: Params | None, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or "" for x in batch.column(len(keep)).to_pylist()]
-            texts = [x if params and _LETTER.search(x) else "" for x in texts]
+            texts = [x if params and has_letter(x) else "" for x in texts]
             mean = pooled(params, [x.encode() for x in texts]) if params else np.zeros((len(texts), 1))
             best = mean.argmax(axis=1)
             label = [langs[i] if x else "und" for i, x in zip(best.tolist(), texts, strict=True)]

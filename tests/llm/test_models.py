@@ -96,6 +96,26 @@ def test_language_edge_cases(spark, sf):
     assert G.identify(frame(spark, rows).limit(0), langs, params).count() == 0
 
 
+def test_numerals_are_no_letters(spark):
+    texts = ["½²Ⅷ①", "12 ½", "½ a", "ª", "日", "_", "²é"]
+    assert [G.has_letter(x) for x in texts] == [False, False, True, True, True, False, True]
+    got = {r["doc_id"]: r["lang_pred"] for r in G.identify(frame(spark, list(enumerate(texts))), ["x", "y"], G.initial(2, 4)).collect()}
+    assert [got[i] == "und" for i in range(len(texts))] == [True, True, False, False, False, True, False]
+
+
+def test_samples_do_not_vanish_at_any_count(spark):
+    """Bounds on draws, and rows taken of a table that is told to be of 10 billion rows."""
+    from epsgrid.llm.common import DRAWS, draw, draw_below
+
+    for count in (1, 50, 10**6, 10**10, 10**15):
+        share = draw_below(1000, count) / DRAWS
+        assert share * count >= min(count, 4039)
+    rows = spark.range(3000).selectExpr("if(id < 2990, 'a', 'b') as lang", "id", "cast(if(id < 1000, 7, id) as string) as w").withColumn("draw", draw("w"))
+    many = G.sample(rows, {"a": 10**10, "b": 10}, 40)
+    least = sorted({(r["draw"], r["w"]) for r in rows.where("lang = 'a'").collect()})[:40]
+    assert many == sorted([("a", w) for _, w in least] + [("b", str(i)) for i in range(2990, 3000)])
+
+
 def test_pooled_result_does_not_depend_on_neighbours():
     p = G.initial(2, 4)
     texts = [bytes([i % 256] * (i * 7)) for i in range(60)]
