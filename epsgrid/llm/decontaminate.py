@@ -1,39 +1,47 @@
 """Benchmark decontamination as a prefix-filtered set join with exact window checks.
 
 Items are cut into windows of ``WINDOW`` words. A window must be contained whole, so the necessary
-prefix of its shingles, ordered by their counts over all documents, is its rarest one. Documents
-are probed for these prefix shingles; a match fixes where the window would start, which must lie
-inside the document (positional and length bounds), and all words are then compared.
+prefix of its shingles, ordered by their counts over all documents, is its rarest one; windows with
+a shingle that no document holds are out. Documents give their occurrences of prefix shingles, each
+with the words around it. These are joined with where the shingle stands in windows and how long
+they are; what begins before the document or ends behind it falls out (positional and length
+bounds), and the words that are left are joined with the windows word for word.
 
-The items are the stated query set: they are taken in blocks of at most ``BLOCK_BYTES`` of text,
-measured beforehand, and each block is sent to the executors in turn.
+All of this is joins of tables; nothing of the items is held on the driver but a sieve, a bit array
+of at most ``SIEVE_BITS`` bits, by which the documents' tasks pass over most shingles that no item
+has. It only spares work: a full sieve gives the same rows.
 
 Defined results: null and word-free documents have no words and no hits; null and word-free items
-and those without an id have no windows; equal windows of several items count for each item; repeated rows are judged
-alike; without items nothing is contaminated; an empty document table gives no rows. Other columns
-pass through; those named like a result column are replaced.
+and those without an id have no windows; equal windows of several items count for each item; rows
+with equal texts are judged alike, whatever their ids, and equal texts are joined once; words of
+over ``LONG`` bytes are compared by a 128-bit digest; without items nothing is contaminated; an
+empty document table gives no rows. Other columns pass through; those named like a result column
+are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epsgrid.llm.common import release, small_batches, table
-from epsgrid.staging import stage
+from epsgrid.llm.common import field_of, names_for, release, small_batches, table
+from epsgrid.llm.near_dup import run_hashes, word_hashes
+from epsgrid.staging import stage, unstage
 
 WINDOW = 13
 SHINGLE = 3
-BLOCK_BYTES = 16 << 20
+#: Bounds of the sieve's size; within them it has sixteen bits a shingle.
+LEAST_BITS, SIEVE_BITS = 1 << 16, 1 << 27
+LONG = 48
 
 _TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 RESULT = ["n_words", "n_hit", "n_items", "items", "contaminated"]
@@ -43,187 +51,165 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_TABLE).split() if text else []
 
 
-@dataclass
-class Block:
-    """The windows of some items over a vocabulary of their own."""
+def spelled(words: list[bytes]) -> bytes:
+    """Words joined by spaces, very long ones by their digest behind a byte that no word holds."""
+    return b" ".join([w if len(w) <= LONG else b"\x01" + hashlib.blake2b(w, digest_size=16).hexdigest().encode() for w in words])
 
-    vocabulary: dict[bytes, int]
-    windows: list[np.ndarray]
-    items: list[list[str]]
 
+def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """``(item, w, len, keys)``: each window of each item once, with the keys of its shingles in order."""
 
-def read_block(rows: list[tuple[object, str | None]], window: int = WINDOW) -> Block:
-    vocabulary: dict[bytes, int] = {}
-    found: dict[tuple[int, ...], set[str]] = defaultdict(set)
-    for item, text in rows:
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-        if ids and item is not None:
-            for k in range(max(1, len(ids) - window + 1)):
-                found[tuple(ids[k : k + window])].add(str(item))
-    return Block(vocabulary, [np.asarray(w, np.int64) for w in found], [sorted(x) for x in found.values()])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                if item is None or not words:
+                    continue
+                size = min(window, len(words))
+                k = min(SHINGLE, size)
+                keys = run_hashes(word_hashes(words), k).view(np.int64)
+                found = {spelled(words[p : p + size]): p for p in range(len(words) - size + 1)}
+                lists = pa.array([keys[p : p + size - k + 1] for p in found.values()], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(found)), pa.array([w.decode() for w in found]), pa.array([size] * len(found), pa.int32()), lists], ["item", "w", "len", "keys"])
+
+    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return items.mapInArrow(run, "item string, w string, len int, keys array<bigint>")
+
+
+class Sieve:
+    """A bit for each slot of the keys of a table; keys of other slots are surely not in it."""
+
+    def __init__(self, keys: DataFrame):
+        n = keys.count()
+        self.bits = min(SIEVE_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length()))
+        slot = F.col("key").bitwiseAND(F.lit(self.bits - 1))
+        words = keys.select(F.shiftright(slot, 6).cast("int").alias("at"), F.expr("shiftleft(1L, int(key & 63))").alias("bit"))
+        rows = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most a row for 64 bits
+        made = np.zeros(self.bits >> 6, np.int64)
+        made[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+        self.made = made.tobytes()
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        made = np.frombuffer(self.made, np.uint64)
+        return (made[(keys & np.uint64(self.bits - 1)) >> np.uint64(6)] >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def shingle_counts(texts: DataFrame, wanted: DataFrame, sizes: list[int]) -> DataFrame:
+    """``(key, n)``: how often each wanted shingle occurs in all texts."""
+    sieve = Sieve(wanted)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros(0, np.uint64)]
+            for text in batch.column(0):
+                words = words_of(text.as_py())
+                if words:
+                    hashes = word_hashes(words)
+                    for k in sizes:
+                        keys = run_hashes(hashes, k)
+                        found.append(keys[sieve.passes(keys)])
+            keys, many = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(many.astype(np.int64))], ["key", "n"])
+        release()
 
-def shingle_keys(ids: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit key of each run of k word ids; equal keys are only candidates."""
-    n = max(0, len(ids) - k + 1)
-    key = np.full(n, k, np.uint64)
-    for j in range(k):
-        key = (key ^ ids[j : j + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key
+    counted = texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return counted.join(wanted, "key", "left_semi")
 
 
-def _ids(text: str | None, vocabulary: dict[bytes, int]) -> np.ndarray:
-    words = words_of(text)
-    return np.fromiter(map(vocabulary.get, words, itertools.repeat(0)), np.int64, len(words))
+def text_key(text: str) -> tuple[int, int]:
+    """Two halves of a 128-bit hash; equal texts are one wherever they come."""
+    key = xxhash.xxh3_128_intdigest(text.encode())
+    return key & 0x7FFFFFFFFFFFFFFF, key >> 65
 
 
-def shingle_counts(docs: DataFrame, block: Block, text_col: str) -> dict[int, int]:
-    """How often each shingle of the block's windows occurs in all documents; a row for each at most."""
-    sizes = sorted({min(SHINGLE, len(w)) for w in block.windows})
-    keys = np.unique(np.concatenate([shingle_keys(w, min(SHINGLE, len(w))) for w in block.windows]))
-    vocabulary = block.vocabulary
+def occurrences(texts: DataFrame, places: DataFrame, sizes: list[int], window: int) -> DataFrame:
+    """``(a, b, key, before, around, at)``: where prefix shingles stand in a text, by the words around them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(keys), np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                ids = _ids(text.as_py(), vocabulary)
-                for k in sizes:
-                    live = shingle_keys(ids, k)[_all_known(ids, k)]
-                    at = np.minimum(np.searchsorted(keys, live), len(keys) - 1)
-                    np.add.at(total, at[keys[at] == live], 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(total[at])], ["k", "n"])
-
-    rows = docs.select(text_col).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    return {r["k"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in rows}
-
-
-def _all_known(ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions from which k words all belong to the vocabulary."""
-    n = max(0, len(ids) - k + 1)
-    known = ids > 0
-    out = known[:n].copy()
-    for j in range(1, k):
-        out &= known[j : j + n]
-    return out
-
-
-class Index:
-    """Prefix shingles of the windows, rarest first, and where each stands in its window."""
-
-    def __init__(self, block: Block, counts: dict[int, int]):
-        self.vocabulary, self.items = block.vocabulary, block.items
-        self.sizes = sorted({min(SHINGLE, len(w)) for w in block.windows})
-        self.lengths = np.asarray([len(w) for w in block.windows], np.int64)
-        self.padded = np.zeros((len(block.windows), int(self.lengths.max(initial=1))), np.int64)
-        keys, offsets = [], []
-        for i, w in enumerate(block.windows):
-            self.padded[i, : len(w)] = w
-            own = shingle_keys(w, min(SHINGLE, len(w))).tolist()
-            at = min(range(len(own)), key=lambda j, own=own: (counts.get(own[j], 0), own[j], j))
-            keys.append(own[at])
-            offsets.append(at)
-        order = np.argsort(np.asarray(keys, np.uint64), kind="stable")
-        self.window, self.offset = order, np.asarray(offsets, np.int64)[order]
-        self.keys, self.first, self.many = np.unique(np.asarray(keys, np.uint64)[order], return_index=True, return_counts=True)
-
-    def matches(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Window numbers and starts of all exact occurrences in a document."""
-        windows, starts = [], []
-        for k in self.sizes:
-            where = np.flatnonzero(_all_known(ids, k))
-            live = shingle_keys(ids, k)[where]
-            at = np.minimum(np.searchsorted(self.keys, live), len(self.keys) - 1)
-            hit = np.flatnonzero(self.keys[at] == live)
-            if not len(hit):
-                continue
-            at, where = at[hit], where[hit]
-            many = self.many[at]
-            entry = np.repeat(self.first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            window, start = self.window[entry], np.repeat(where, many) - self.offset[entry]
-            inside = (start >= 0) & (start + self.lengths[window] <= len(ids))
-            window, start = window[inside], start[inside]
-            same = np.ones(len(window), bool)
-            for j in range(self.padded.shape[1]):
-                live_j = np.flatnonzero(same & (j < self.lengths[window]))
-                same[live_j] = ids[start[live_j] + j] == self.padded[window[live_j], j]
-            windows.append(window[same])
-            starts.append(start[same])
-        none = np.zeros(0, np.int64)
-        return (np.concatenate(windows), np.concatenate(starts)) if windows else (none, none)
-
-
-def _spans(starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
-    """Disjoint spans that cover the same words."""
-    out: list[list[int]] = []
-    for a, b in sorted(zip(starts.tolist(), ends.tolist(), strict=True)):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
-
-
-_FOUND = T.StructType([T.StructField("_n", T.LongType()), T.StructField("_spans", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(T.StringType()))])
-
-
-def _probe(docs: DataFrame, index: Index | None, text_col: str, drop_text: bool) -> DataFrame:
-    """``docs`` with words, hit spans (starts and ends in turn) and items, added to those found before."""
-    old = [c for c in docs.columns if c in _FOUND.names]
-    keep = [c for c in docs.columns if c not in _FOUND.names and not (drop_text and c == text_col)]
-    schema = T.StructType([docs.schema[c] for c in keep] + list(_FOUND))
+    ``before`` of the words ``around`` stand before the shingle; ``at`` lists its positions with
+    just these words around it.
+    """
+    sieve = Sieve(places.select("key").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            before = [batch.column(f"_in_{c}").to_pylist() for c in ("_spans", "_items")] if old else [[None] * batch.num_rows] * 2
-            n, spans, items = [], [], []
-            for text, had, named in zip(batch.column("_in_text"), *before, strict=True):
-                ids = _ids(text.as_py(), index.vocabulary if index else {})
-                window, start = index.matches(ids) if index else (ids[:0], ids[:0])
-                if had:
-                    a, b = np.asarray(had[::2], np.int64), np.asarray(had[1::2], np.int64)
-                else:
-                    a = b = np.zeros(0, np.int64)
-                if len(window):
-                    a, b = np.concatenate([a, start]), np.concatenate([b, start + index.lengths[window]])
-                n.append(len(ids))
-                spans.append([x for s in _spans(a, b) for x in s])
-                items.append(sorted({*(named or []), *(x for w in np.unique(window).tolist() for x in index.items[w])}))
-            made = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, [*keep, *_FOUND.names])
+            made: list[list] = [[], [], [], [], [], []]
+            for text in batch.column(0).to_pylist():
+                words = words_of(text)
+                if not words:
+                    continue
+                hashes, found = word_hashes(words), defaultdict(list)
+                for k in sizes:
+                    keys = run_hashes(hashes, k)
+                    for p in np.flatnonzero(sieve.passes(keys)).tolist():
+                        before = min(p, window - k)
+                        found[int(keys[p]), before, spelled(words[p - before : p + window])].append(p)
+                if found:
+                    a, b = text_key(text)
+                    for (key, before, around), at in found.items():
+                        for column, value in zip(made, (a, b, key - (key >> 63 << 64), before, around.decode(), at), strict=True):
+                            column.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, kinds, strict=True)], ["a", "b", "key", "before", "around", "at"])
         release()
 
-    given = [F.col(f"`{c}`") for c in keep] + [F.col(f"`{text_col}`").cast("string").alias("_in_text")] + [F.col(c).alias(f"_in_{c}") for c in old]
-    return docs.select(*given).mapInArrow(run, schema)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, min_share: tuple[int, int] = (1, 20), block_bytes: int = BLOCK_BYTES, drop_text: bool = False) -> DataFrame:
+    return texts.mapInArrow(run, "a long, b long, key long, before int, around string, at array<bigint>")
+
+
+def contained(texts: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``(a, b, n_hit, items)`` of every text that holds a window of an item, by the key of the text."""
+    named = stage(item_windows(benchmark, item_col, item_text, window), "item-windows")
+    windows = named.groupBy("w", "len").agg(F.first("keys").alias("keys"))
+    shingles = stage(windows.select("w", "len", F.size("keys").alias("parts"), F.posexplode("keys").alias("offset", "key")), "window-shingles")
+    wanted = stage(shingles.select("key").distinct(), "shingles")
+    sizes = sorted(min(SHINGLE, r["len"]) for r in named.select(F.least("len", F.lit(SHINGLE)).alias("len")).distinct().collect())
+    counts = stage(shingle_counts(texts, wanted, sizes), "shingle-counts")
+    # windows with a shingle that is in no text lose a row here
+    prefix = shingles.join(counts, "key").groupBy("w", "len", "parts").agg(F.min(F.struct("n", "key", "offset")).alias("p"), F.count("*").alias("found")).where("found = parts")
+    prefix = stage(prefix.select("w", "len", "p.key", "p.offset"), "prefixes")
+    places = stage(prefix.select("key", "offset", "len").distinct(), "prefix-places")
+    seen = stage(occurrences(texts, places, sizes, window).distinct(), "occurrences")
+    words = F.split("around", " ")
+    near = seen.join(places, "key").where(F.col("offset") <= F.col("before")).withColumn("first", F.col("before") - F.col("offset"))
+    near = near.where(F.col("first") + F.col("len") <= F.size(words))
+    near = near.select("a", "b", "at", "offset", "len", F.array_join(F.slice(words, F.col("first") + 1, F.col("len")), " ").alias("w"))
+    hits = stage(near.join(prefix.select("w", "len"), ["w", "len"]).select("a", "b", "w", "len", F.transform("at", lambda p: p - F.col("offset")).alias("starts")), "window-hits")
+    spans = hits.select("a", "b", F.explode("starts").alias("start"), F.col("len").cast("long").alias("len")).distinct().withColumn("end", F.col("start") + F.col("len"))
+    earlier = F.max("end").over(Over.partitionBy("a", "b").orderBy("start", "end").rowsBetween(Over.unboundedPreceding, -1))
+    fresh = F.greatest(F.lit(0).cast("long"), F.col("end") - F.greatest("start", F.coalesce(earlier, F.lit(0).cast("long"))))
+    covered = spans.select("a", "b", fresh.alias("fresh")).groupBy("a", "b").agg(F.sum("fresh").alias("n_hit"))
+    owners = hits.select("a", "b", "w").distinct().join(named.select("item", "w"), "w").groupBy("a", "b").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    found = stage(covered.join(owners, ["a", "b"]), "contained")
+    unstage(named, shingles, wanted, counts, prefix, places, seen, hits)
+    return found
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, min_share: tuple[int, int] = (1, 20), drop_text: bool = False) -> DataFrame:
     """``docs`` with ``n_words, n_hit, n_items, items, contaminated``.
 
     A document is contaminated if a hit exists and at least ``min_share`` of its words are hit.
     """
-    docs = small_batches(docs).select(*[F.col(f"`{c}`") for c in docs.columns if c not in RESULT])
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    out, probed = docs, False
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        block = read_block([(r["item"], r["text"]) for r in part.collect()], window)  # at most about block_bytes
-        if block.windows:
-            index = Index(block, shingle_counts(docs, block, text_col))
-            out, probed = _probe(out, index, text_col, drop_text and b == blocks - 1), True
-            if blocks > 1:
-                out = stage(out, "decontaminate")
-    if not probed:
-        out = _probe(out, None, text_col, drop_text)
-    if drop_text:  # the last block may have had no windows
-        out = out.drop(text_col)
-    hit = F.aggregate(F.transform("_spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    out = out.withColumns({"n_words": F.col("_n"), "n_hit": hit, "n_items": F.size("_items").cast("long"), "items": F.col("_items")})
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * min_share[1] >= F.col("n_words") * min_share[0])).drop(*_FOUND.names)
+    text = F.col(f"`{text_col}`").cast("string")
+    found = contained(small_batches(docs).select(text.alias("text")), small_batches(benchmark), item_col, item_text, window)
+    keep = [c for c in docs.columns if c.lower() not in RESULT and not (drop_text and c == text_col)]
+    rest = docs.select(*[F.col(f"`{c}`") for c in keep])
+    a, b, n, given = names_for(rest, "a", "b", "n_words", "text")
+    schema = T.StructType([field_of(rest, c) for c in keep] + [T.StructField(c, T.LongType()) for c in (a, b, n)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(keep)).to_pylist()
+            keys = [text_key(x) if x else (None, None) for x in texts]
+            sizes = [len(words_of(x)) for x in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)], pa.array(sizes, pa.int64())], schema.names)
+        release()
+
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias(given)).mapInArrow(run, schema)
+    hit, items = names_for(rows, "n_hit", "items")
+    out = rows.join(found.select(F.col("a").alias(a), F.col("b").alias(b), F.col("n_hit").alias(hit), F.col("items").alias(items)), [a, b], "left")
+    made = {"n_words": F.col(n), "n_hit": F.coalesce(hit, F.lit(0).cast("long")), "items": F.coalesce(items, F.array().cast("array<string>"))}
+    made["n_items"] = F.size(made["items"]).cast("long")
+    made["contaminated"] = (made["n_hit"] > 0) & (made["n_hit"] * min_share[1] >= made["n_words"] * min_share[0])
+    return out.select(*[F.col(f"`{c}`") for c in keep], *[made[c].alias(c) for c in RESULT])
 
 
 def items_digest(items: list[str]) -> str:

@@ -55,7 +55,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
+def word_hashes(words: list[bytes]) -> np.ndarray:
     try:
         return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     except KeyError:
@@ -68,18 +68,21 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
 
+def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of the runs of k words, in order; none where there are fewer."""
+    n = max(0, len(h) - k + 1)
+    acc = np.full(n, k, np.uint64)
+    for j in range(k):
+        acc = _mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n])
+    return acc
+
+
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of k words."""
     words = text.encode().lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    h = _word_hashes(words)
-    k = min(k, len(h))
-    n = len(h) - k + 1
-    acc = np.full(n, k, np.uint64)
-    for j in range(k):
-        acc = _mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n])
-    return np.unique(acc)
+    return np.unique(run_hashes(word_hashes(words), min(k, len(words))))
 
 
 class Hasher:

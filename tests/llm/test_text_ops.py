@@ -173,19 +173,39 @@ def brute_hits(rows, items, window=13):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 400])
-def test_hits_by_brute_force(spark, sf, documents, block_bytes):
+@pytest.mark.parametrize("bits", [1 << 16, 64])
+def test_hits_by_brute_force(spark, sf, documents, bits, monkeypatch):
+    """With a sieve that parts shingles, and with one that lets nearly all pass."""
+    monkeypatch.setattr(D, "LEAST_BITS", bits)
+    monkeypatch.setattr(D, "SIEVE_BITS", bits)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     long = items[0][1]
     items += [(900, "Zwei Wörter"), (901, "solo"), (902, None), (903, " .. "), (904, long), (905, "a a a a a a a a a a a a a a")]
-    rows = documents + [(9000, f"x {long} y"), (9001, "zwei wörter!"), (9002, "solo-SOLO"), (9003, None), (9004, ""), (9005, "a " * 40), (9006, long[5:]), (9007, "zwei " + "wörter, " * 60)]
-    got = D.decontaminate(frame(spark, rows), frame(spark, items, "item_id long, text string"), block_bytes=block_bytes, drop_text=True)
-    assert sorted(tuple(r) for r in got.collect()) == brute_hits(rows, items)
+    items += [(906, f"{'z' * 90} {'z' * 91} " * 8), (None, long), (907, long)]
+    rows = documents + [(9008, f"q {'z' * 91} {'z' * 90} {'z' * 91} " * 5), (9009, f"q {'Z' * 90} {'z' * 91} " + f"{'z' * 90} {'z' * 91} " * 6), (9001, "zwei wörter!")]
+    rows += [(9000, f"x {long} y"), (9001, "zwei wörter!"), (9002, "solo-SOLO"), (9003, None), (9004, ""), (9005, "a " * 40), (9006, long[5:]), (9007, "zwei " + "wörter, " * 60)]
+    got = D.decontaminate(frame(spark, rows), frame(spark, items, "item_id long, text string"), drop_text=True).select("doc_id", "n_words", "n_hit", "n_items", "items", "contaminated")
+    assert sorted(tuple(r) for r in got.collect()) == brute_hits(rows, [x for x in items if x[0] is not None])
+
+
+def test_hits_with_many_items_are_joined_and_not_held(spark):
+    """Four megabytes of items, a passage that all documents share, and items that share all windows."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 5)))
+    vocabulary = [word() for _ in range(3000)]
+    text = lambda n: " ".join(vocabulary[i] for i in rng.integers(0, 3000, n))
+    shared = text(20)
+    items = [(i, f"{text(200)} {shared if i % 3 == 0 else ''} {text(150)}") for i in range(2000)]
+    rows = [(i, f"{text(40)} {shared} {text(40)}" if i % 2 else f"{text(30)} {items[i][1][300:500]} {text(9)}") for i in range(300)]
+    got = {r["doc_id"]: r for r in D.decontaminate(frame(spark, rows).repartition(4), frame(spark, items, "item_id long, text string")).collect()}
+    thirds = sorted(str(i) for i in range(2000) if i % 3 == 0)
+    assert all(got[i]["items"] == thirds and 20 <= got[i]["n_hit"] <= 26 and got[i]["contaminated"] for i in range(1, 300, 2))
+    assert all(got[i]["items"] == [str(i)] and 26 <= got[i]["n_hit"] <= 36 for i in range(0, 300, 2))
 
 
 def test_hits_without_items_and_with_clashing_columns(spark):
     items = frame(spark, [(1, "one two three")], "item_id long, text string")
-    df = frame(spark, [(1, "One, two; three.", "old", 4)], "doc_id long, text string, n_hit string, item_id int")
+    df = frame(spark, [(1, "One, two; three.", "old", 4, 1, 2, 3, 4, 5)], "doc_id long, text string, n_hit string, item_id int, a int, B int, _n int, _items int, w int")
     got = D.decontaminate(df, items).first().asDict()
     assert (got["text"], got["n_hit"], got["items"], got["item_id"], got["contaminated"]) == ("One, two; three.", 3, ["1"], 4, True)
     none = D.decontaminate(df, items.limit(0)).first()
