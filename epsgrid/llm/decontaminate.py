@@ -21,6 +21,7 @@ are replaced.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -34,16 +35,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epsgrid.llm.common import field_of, names_for, release, small_batches, table
-from epsgrid.llm.near_dup import run_hashes, word_hashes
+from epsgrid.llm.near_dup import mix, run_hashes
 from epsgrid.staging import stage, unstage
 
 WINDOW = 13
 SHINGLE = 3
-#: Bounds of the sieve's size; within them it has sixteen bits a shingle.
+#: Bounds of the sieve's size; within them it has 64 bits a shingle.
 LEAST_BITS, SIEVE_BITS = 1 << 16, 1 << 27
 LONG = 48
+#: Bytes of a text whose words are hashed at once.
+PIECE = 1 << 20
 
 _TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+_BASE = 0x9E3779B97F4A7C15
+_BYTE_KEY = np.random.default_rng(9).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 RESULT = ["n_words", "n_hit", "n_items", "items", "contaminated"]
 
 
@@ -51,9 +56,62 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_TABLE).split() if text else []
 
 
-def spelled(words: list[bytes]) -> bytes:
-    """Words joined by spaces, very long ones by their digest behind a byte that no word holds."""
-    return b" ".join([w if len(w) <= LONG else b"\x01" + hashlib.blake2b(w, digest_size=16).hexdigest().encode() for w in words])
+class Words:
+    """The words of a text by their places and hashes; equal words have equal hashes, others may.
+
+    The hash is a polynomial of the bytes, taken for all words of a piece of the text at once; words
+    of over ``LONG`` bytes have a hash of their own.
+    """
+
+    def __init__(self, text: str | None):
+        self.data = text.encode().translate(_TABLE) if text else b""
+        pieces = [self._piece(a, b) for a, b in self._cuts()]
+        self.starts, self.ends, self.hashes = (np.concatenate([x[i] for x in pieces]) if pieces else np.zeros(0, kind) for i, kind in enumerate((np.int64, np.int64, np.uint64)))
+
+    def _cuts(self) -> Iterator[tuple[int, int]]:
+        """Pieces that end at a space or hold one word."""
+        at, size = 0, len(self.data)
+        while at < size:
+            end = size if size - at <= PIECE else self.data.rfind(b" ", at, at + PIECE)
+            if end <= at:
+                end = self.data.find(b" ", at + 1)
+                end = size if end < 0 else end
+            yield at, end
+            at = end
+
+    def _piece(self, at: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data = np.frombuffer(self.data, np.uint8)[at:end]
+        edge = np.flatnonzero(np.diff(data != 32, prepend=False, append=False))
+        starts, ends = edge[::2], edge[1::2]
+        if len(data) <= PIECE:
+            power, inverse = _powers(max(1 << 12, 1 << (len(data) - 1).bit_length()))
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_BYTE_KEY[data] * power[: len(data)], out=sums[1:])
+            hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        else:
+            hashes = np.zeros(len(starts), np.uint64)
+        for i in np.flatnonzero(ends - starts > LONG).tolist():
+            hashes[i] = xxhash.xxh3_64_intdigest(self.data[at + starts[i] : at + ends[i]])
+        return starts + at, ends + at, hashes
+
+    def spelled(self, first: int, end: int) -> bytes:
+        """Words joined by spaces, very long ones by their digest behind a byte that no word holds."""
+        words = [self.data[a:b] for a, b in zip(self.starts[first:end].tolist(), self.ends[first:end].tolist(), strict=True)]
+        return b" ".join([w if len(w) <= LONG else b"\x01" + hashlib.blake2b(w, digest_size=16).hexdigest().encode() for w in words])
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+
+@functools.lru_cache(maxsize=16)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2 ** 64 and of its inverse."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.full(n, base, np.uint64)
+        x[0] = 1
+        out.append(np.cumprod(x))
+    return out[0], out[1]
 
 
 def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
@@ -62,13 +120,13 @@ def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                if item is None or not words:
+                words = Words(text)
+                if item is None or not len(words):
                     continue
                 size = min(window, len(words))
                 k = min(SHINGLE, size)
-                keys = run_hashes(word_hashes(words), k).view(np.int64)
-                found = {spelled(words[p : p + size]): p for p in range(len(words) - size + 1)}
+                keys = run_hashes(words.hashes, k).view(np.int64)
+                found = {words.spelled(p, p + size): p for p in range(len(words) - size + 1)}
                 lists = pa.array([keys[p : p + size - k + 1] for p in found.values()], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array([item] * len(found)), pa.array([w.decode() for w in found]), pa.array([size] * len(found), pa.int32()), lists], ["item", "w", "len", "keys"])
 
@@ -77,21 +135,25 @@ def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int
 
 
 class Sieve:
-    """A bit for each slot of the keys of a table; keys of other slots are surely not in it."""
+    """Two bits for each key of a table (Bloom, 1970); a key that lacks one of its bits is surely not in it."""
 
     def __init__(self, keys: DataFrame):
-        n = keys.count()
-        self.bits = min(SIEVE_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length()))
-        slot = F.col("key").bitwiseAND(F.lit(self.bits - 1))
-        words = keys.select(F.shiftright(slot, 6).cast("int").alias("at"), F.expr("shiftleft(1L, int(key & 63))").alias("bit"))
+        self.bits = min(SIEVE_BITS, max(LEAST_BITS, 1 << (64 * keys.count()).bit_length()))
+        slots = keys.select(F.explode(F.array(*[F.shiftrightunsigned("key", shift).bitwiseAND(F.lit(self.bits - 1).cast("long")) for shift in (0, 32)])).alias("slot"))
+        words = slots.select(F.shiftright("slot", 6).cast("int").alias("at"), F.expr("shiftleft(1L, int(slot & 63))").alias("bit"))
         rows = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most a row for 64 bits
         made = np.zeros(self.bits >> 6, np.int64)
         made[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
         self.made = made.tobytes()
 
     def passes(self, keys: np.ndarray) -> np.ndarray:
-        made = np.frombuffer(self.made, np.uint64)
-        return (made[(keys & np.uint64(self.bits - 1)) >> np.uint64(6)] >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)
+        """Whether the keys may be in the table."""
+        made = np.frombuffer(self.made, np.uint8)
+        out = np.ones(len(keys), bool)
+        for shift in (0, 32):
+            slot = (keys >> np.uint64(shift) & np.uint64(self.bits - 1)).astype(np.int64)
+            out &= (made[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+        return out
 
 
 def shingle_counts(texts: DataFrame, wanted: DataFrame, sizes: list[int]) -> DataFrame:
@@ -102,12 +164,10 @@ def shingle_counts(texts: DataFrame, wanted: DataFrame, sizes: list[int]) -> Dat
         for batch in batches:
             found = [np.zeros(0, np.uint64)]
             for text in batch.column(0):
-                words = words_of(text.as_py())
-                if words:
-                    hashes = word_hashes(words)
-                    for k in sizes:
-                        keys = run_hashes(hashes, k)
-                        found.append(keys[sieve.passes(keys)])
+                hashes = Words(text.as_py()).hashes
+                for k in sizes:
+                    keys = run_hashes(hashes, k)
+                    found.append(keys[sieve.passes(keys)])
             keys, many = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(many.astype(np.int64))], ["key", "n"])
         release()
@@ -134,15 +194,12 @@ def occurrences(texts: DataFrame, places: DataFrame, sizes: list[int], window: i
         for batch in batches:
             made: list[list] = [[], [], [], [], [], []]
             for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                if not words:
-                    continue
-                hashes, found = word_hashes(words), defaultdict(list)
+                words, found = Words(text), defaultdict(list)
                 for k in sizes:
-                    keys = run_hashes(hashes, k)
+                    keys = run_hashes(words.hashes, k)
                     for p in np.flatnonzero(sieve.passes(keys)).tolist():
                         before = min(p, window - k)
-                        found[int(keys[p]), before, spelled(words[p - before : p + window])].append(p)
+                        found[int(keys[p]), before, words.spelled(p - before, p + window)].append(p)
                 if found:
                     a, b = text_key(text)
                     for (key, before, around), at in found.items():

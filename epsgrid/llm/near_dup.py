@@ -49,7 +49,7 @@ _WORDS: dict[bytes, int] = {}
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -73,7 +73,7 @@ def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
     n = max(0, len(h) - k + 1)
     acc = np.full(n, k, np.uint64)
     for j in range(k):
-        acc = _mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n])
+        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n])
     return acc
 
 
@@ -91,7 +91,7 @@ class Hasher:
         self.rows, self.bands, n = rows, bands, rows * bands
         self.a = (rng.integers(0, 1 << 32, n, np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
         self.b = rng.integers(0, 1 << 32, n, np.uint64).astype(np.uint32)[:, None]
-        self.band = _mix(np.arange(1, bands + 1, dtype=np.uint64))
+        self.band = mix(np.arange(1, bands + 1, dtype=np.uint64))
 
     def minima(self, shingles: np.ndarray) -> np.ndarray:
         h = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -106,7 +106,7 @@ class Hasher:
     def keys(self, minima: np.ndarray) -> np.ndarray:
         acc = self.band.copy()
         for column in minima.reshape(self.bands, self.rows).T:
-            acc = _mix(acc * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.uint64))
+            acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.uint64))
         return acc.view(np.int64)
 
 

@@ -188,6 +188,16 @@ def test_hits_by_brute_force(spark, sf, documents, bits, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == brute_hits(rows, [x for x in items if x[0] is not None])
 
 
+def test_words_by_piece(monkeypatch):
+    monkeypatch.setattr(D, "PIECE", 64)
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        text = "".join(rng.choice(list("aB é.7"), rng.integers(0, 300))) + "x" * rng.integers(0, 200)
+        words, want = D.Words(text), D.words_of(text)
+        assert [words.data[a:b] for a, b in zip(words.starts, words.ends, strict=True)] == want
+        assert len(set(zip(want, words.hashes.tolist(), strict=True))) == len(set(want)) == len(set(words.hashes.tolist()))
+
+
 def test_hits_with_many_items_are_joined_and_not_held(spark):
     """Four megabytes of items, a passage that all documents share, and items that share all windows."""
     rng = np.random.default_rng(4)
