@@ -1,18 +1,20 @@
 """Line dedup over a sharded minimal perfect hash.
 
-1. Each document batch gives its distinct long line keys by document group; the counts and the
-   largest document are summed per group and then per key, so a line in a third of all documents
-   is a few rows wherever it is shuffled.
-2. The distinct keys are dealt to shards. A shard is one row: a minimal perfect hash (levels of
-   bit arrays with ranks, Limasset et al. 2017) and arrays of fingerprints, counts and largest
-   documents in its order.
-3. The groups' requests probe their shard's arrays; only keys found in ``min_docs`` documents
+1. Rows are dealt at random to groups that are bounded in rows and in bytes on average, and written
+   with their group, so that equal rows are dealt apart. Every row gives its distinct long line keys.
+2. Distinct documents and the largest one are counted for each key: a document counts once however
+   many rows and groups it is in, and a line that a third of all documents share is summed up within
+   tasks before it is shuffled.
+3. The distinct keys, both halves of their 128-bit hashes, are dealt to shards. A shard is one row: a
+   minimal perfect hash (levels of bit arrays with ranks, Limasset et al. 2017) and arrays of
+   fingerprints, counts and largest documents in its order.
+4. The groups' requests probe their shard's arrays; only keys found in ``min_docs`` documents
    answer. Each group of documents then drops its lines by the answers to that group.
 
 Defined results: null or empty text is one empty line; a text whose lines all go becomes empty;
-rows with one document id count as documents of their own and all keep what the largest id keeps;
-a null id is smaller than any other; an empty table gives no rows. Columns besides the id and the
-text pass through unchanged.
+rows with one document id are one document, of which all rows keep what the largest id keeps; rows
+without an id are one document too, smaller than any other; an empty table gives no rows. Columns
+besides the id and the text pass through unchanged.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epsgrid.llm.common import release, small_batches, table
-from epsgrid.staging import stage
+from epsgrid.staging import stage, unstage
 
 MIN_DOCS = 3
 MIN_CHARS = 20
-GROUP_DOCS = 1000
+#: Rows and bytes of text of a group, on average, and bytes of text of a task that puts texts together.
+GROUP_DOCS, GROUP_BYTES, TASK_BYTES = 1000, 4 << 20, 32 << 20
 SHARD_KEYS = 50_000
 #: Requests that one task holds.
 PROBE_ROWS = 1_000_000
@@ -57,35 +60,23 @@ def _key_hashes(text: str, min_chars: int) -> list[tuple[int, int] | None]:
     return out
 
 
-def requests(docs: DataFrame, groups: int, min_chars: int) -> DataFrame:
-    """``(g, h, f, n, last)``: distinct keys of each document group, their documents and the largest one."""
+def requests(rows: DataFrame, min_chars: int) -> DataFrame:
+    """``(g, h, f, doc)``: distinct keys of each row of ``(g, doc, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[int, int, int], list[int]] = {}
-            for doc, text, g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                doc = _NONE if doc is None else doc
-                for key in {k for k in _key_hashes(text or "", min_chars) if k}:
-                    at = found.setdefault((g, *key), [0, _NONE])
-                    at[0] += 1
-                    at[1] = max(at[1], doc)
-            keys = np.array(list(found.keys()), np.int64).reshape(-1, 3)
-            rest = np.array(list(found.values()), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (*keys.T, *rest.T)], ["g", "h", "f", "n", "last"])
+            found = {(g, *k, doc) for g, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k in _key_hashes(text or "", min_chars) if k}
+            keys = np.array(list(found), np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in keys.T], ["g", "h", "f", "doc"])
         release()
 
-    rows = docs.select("doc_id", "text", _group(groups)).mapInArrow(run, "g long, h long, f long, n long, last long")
-    return rows.groupBy("g", "h", "f").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
-
-
-def _group(groups: int):
-    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("_g")
+    return rows.mapInArrow(run, "g long, h long, f long, doc long")
 
 
 def _level(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-    """Slots of 63-bit keys on a level."""
-    x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((level + 1) * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    """Slots of keys, rows of two numbers, on a level."""
+    x = keys[:, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((level + 1) * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(31)) ^ keys[:, 1].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
     return ((x ^ (x >> np.uint64(29))) % np.uint64(size)).astype(np.int64)
 
 
@@ -107,7 +98,7 @@ def build_hash(keys: np.ndarray, gamma: float = 1.6) -> tuple[list[int], bytes]:
 
 
 class PerfectHash:
-    """Index of each key of the set in 0..n-1; some index or -1 for other keys."""
+    """Index of each key (h, f) of the set in 0..n-1; some index or -1 for other keys."""
 
     def __init__(self, sizes: list[int], bits: bytes):
         self.sizes = [int(x) for x in sizes]
@@ -134,11 +125,9 @@ def build_index(keys: DataFrame, shards: int) -> DataFrame:
     """One row a shard over ``keys(h, f, n, last)``."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # two keys with equal h (63 bits) share a slot: the arrays then hold the one in more documents
-        pdf = pdf.sort_values(["h", "n", "f"], ascending=[True, False, True]).drop_duplicates("h")
-        h = pdf["h"].to_numpy(np.int64)
-        sizes, bits = build_hash(h)
-        at = np.argsort(PerfectHash(sizes, bits)(h))
+        keys = pdf[["h", "f"]].to_numpy(np.int64)
+        sizes, bits = build_hash(keys)
+        at = np.argsort(PerfectHash(sizes, bits)(keys))
         pick = lambda c, t: pdf[c].to_numpy(t)[at].tobytes()
         return pd.DataFrame([{"s": pdf["s"].iloc[0], "sizes": sizes, "bits": bits, "fingerprints": pick("f", np.int64), "counts": pick("n", np.int64), "lasts": pick("last", np.int64)}])
 
@@ -157,7 +146,7 @@ def probe(asked: DataFrame, index: DataFrame, shards: int, min_docs: int) -> Dat
             return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("g", "h", "f", "last")})
         row = right.iloc[0]
         counts, lasts, prints = (np.frombuffer(row[c], np.int64) for c in ("counts", "lasts", "fingerprints"))
-        at = PerfectHash(row["sizes"], row["bits"])(left["h"].to_numpy(np.int64))
+        at = PerfectHash(row["sizes"], row["bits"])(left[["h", "f"]].to_numpy(np.int64))
         hit = (at >= 0) & (prints[at] == left["f"].to_numpy(np.int64)) & (counts[at] >= min_docs)
         return left.loc[hit, ["g", "h", "f"]].assign(last=lasts[at[hit]])
 
@@ -172,17 +161,23 @@ def probe(asked: DataFrame, index: DataFrame, shards: int, min_docs: int) -> Dat
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the text that stays, and ``n_lines`` and ``n_dropped``."""
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    packed = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("rest"))
-    groups = max(1, -(-packed.count() // GROUP_DOCS))
-    asked = stage(requests(packed, groups, min_chars), "line-requests")
-    keys = stage(asked.groupBy("h", "f").agg(F.sum("n").alias("n"), F.max("last").alias("last")), "line-keys")
-    shards = max(1, -(-keys.count() // SHARD_KEYS))
-    answers = stage(probe(asked, stage(build_index(keys, shards), "line-index"), shards, min_docs), "line-answers")
+    packed = small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("rest"))
+    size = packed.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    groups = 1 + max(size["rows"] // GROUP_DOCS, size["bytes"] // GROUP_BYTES)
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("g")
+    rows = stage(packed.select(dealt, F.struct("doc_id", "rest").alias("row"), F.coalesce("doc_id", F.lit(_NONE)).alias("doc"), "text"), "line-rows")
+    found = stage(requests(rows.select("g", "doc", "text"), min_chars), "line-found")
+    keys = stage(found.groupBy("h", "f").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("last")), "line-keys")
+    shards = 1 + keys.count() // SHARD_KEYS
+    index = stage(build_index(keys, shards), "line-index")
+    asked = stage(found.select("g", "h", "f").distinct(), "line-requests")
+    answers = stage(probe(asked, index, shards, min_docs), "line-answers")
+    unstage(found, keys, index, asked)
 
     def keep(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         last = {(h, f): x for h, f, x in zip(right["h"].tolist(), right["f"].tolist(), right["last"].tolist(), strict=True)}
         texts, n, gone = [], [], []
-        for doc, text in zip(left["doc_id"].tolist(), left["text"].tolist(), strict=True):
+        for doc, text in zip(left["doc"].tolist(), left["text"].tolist(), strict=True):
             lines = (text or "").split("\n")
             kept = [x for x, k in zip(lines, _key_hashes(text or "", min_chars), strict=True) if k is None or last.get(k, doc) == doc] if last else lines
             texts.append("\n".join(kept))
@@ -190,9 +185,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             gone.append(len(lines) - len(kept))
         return pd.DataFrame({"row": left["row"], "text": texts, "n_lines": n, "n_dropped": gone})
 
-    grouped = packed.select(_group(groups), F.struct("doc_id", "rest").alias("row"), F.coalesce("doc_id", F.lit(_NONE)).alias("doc_id"), "text")
-    kind = grouped.schema["row"].dataType.simpleString()
-    out = grouped.groupBy("_g").cogroup(answers.withColumnRenamed("g", "_g").groupBy("_g")).applyInPandas(keep, f"row {kind}, text string, n_lines long, n_dropped long")
+    kind = rows.schema["row"].dataType.simpleString()
+    # so many tasks that each reads about TASK_BYTES of text, whatever the session's number of partitions
+    tasks = 1 + size["bytes"] // TASK_BYTES
+    out = rows.repartition(tasks, "g").groupBy("g").cogroup(answers.repartition(tasks, "g").groupBy("g")).applyInPandas(keep, f"row {kind}, text string, n_lines long, n_dropped long")
     made = {id_col: F.col("row.doc_id").alias(id_col), text_col: F.col("text").alias(text_col)}
     return out.select(*[made.get(c, F.col(f"row.rest.`{c}`").alias(c)) for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
 
@@ -204,15 +200,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 WITH parts AS (
-  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-lines AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM parts),
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS doc, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT r, doc_id, doc, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM parts),
 keyed AS (
   SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
 common AS (
-  SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
-marked AS (SELECT keyed.*, common.last IS NOT NULL AND common.last <> doc_id AS gone FROM keyed LEFT JOIN common USING (k))
+  SELECT k, max(doc) AS last FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc) >= 3),
+marked AS (SELECT keyed.*, common.last IS NOT NULL AND common.last <> doc AS gone FROM keyed LEFT JOIN common USING (k))
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY r, doc_id
 """

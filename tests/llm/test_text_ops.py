@@ -6,7 +6,9 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,13 +27,14 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def brute_lines(rows):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
     holders = {}
-    for at, (doc, text) in enumerate(rows):
+    rows = [(-(1 << 63) if doc is None else doc, text) for doc, text in rows]
+    for doc, text in rows:
         for k in {key(x) for x in (text or "").split("\n")}:
-            holders.setdefault(k, []).append((doc, at))
+            holders.setdefault(k, set()).add(doc)
     out = []
     for doc, text in rows:
         lines = (text or "").split("\n")
-        kept = [x for x in lines if len(key(x)) < 20 or len(holders[key(x)]) < 3 or max(d for d, _ in holders[key(x)]) == doc]
+        kept = [x for x in lines if len(key(x)) < 20 or len(holders[key(x)]) < 3 or max(holders[key(x)]) == doc]
         out.append((doc, "\n".join(kept), len(lines), len(lines) - len(kept)))
     return sorted(out)
 
@@ -71,16 +74,28 @@ def test_lines_with_many_groups_and_shards(spark, documents, monkeypatch):
 
 
 def test_lines_other_columns_ties_and_empty_table(spark):
-    rows = [(1, LINE, "a", 5), (1, LINE, "b", 6), (2, LINE, None, 7), (None, LINE, "c", None)]
+    rows = [(1, LINE, "a", 5), (1, LINE, "b", 6), (2, LINE, None, 7), (None, LINE, "c", None), (None, LINE, "d", None)]
     df = frame(spark, rows, "doc_id long, text string, n_lines string, h int")
     got = L.dedup_lines(df)
     assert got.columns == ["doc_id", "text", "h", "n_lines", "n_dropped"]
-    assert sorted(((r["doc_id"] or 0, r["h"] or 0, r["n_dropped"], r["text"]) for r in got.collect())) == [(0, 0, 1, ""), (1, 5, 1, ""), (1, 6, 1, ""), (2, 7, 0, LINE)]
+    assert sorted(((r["doc_id"] or 0, r["h"] or 0, r["n_dropped"], r["text"]) for r in got.collect())) == [(0, 0, 1, ""), (0, 0, 1, ""), (1, 5, 1, ""), (1, 6, 1, ""), (2, 7, 0, LINE)]
     assert L.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_repeated_ids_are_of_one_document(spark):
+    """Two documents of three rows keep a line, three documents of six rows lose it, in the code and in its SQL."""
+    other = "another line that is long enough"
+    rows = [(1, f"{LINE}\n{other}"), (1, LINE), (2, LINE), (2, other), (1, other), (3, other), (None, f"only here and {other}"), (None, f"only here and {other}"), (4, f"only here and {other}")] + [(9, "x")] * 40
+    got = sorted((r["doc_id"] or 0, r["n_lines"], r["n_dropped"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in L.dedup_lines(frame(spark, rows).repartition(5)).collect())
+    assert [x[:3] for x in got][:9] == [(0, 1, 0)] * 2 + [(1, 1, 0), (1, 1, 1), (1, 2, 1), (2, 1, 0), (2, 1, 1), (3, 1, 0), (4, 1, 0)]
+    con = duckdb.connect()
+    documents = pd.DataFrame({"doc_id": pd.array([d for d, _ in rows], "Int64"), "text": [t for _, t in rows]})  # noqa: F841
+    assert sorted((r[0] or 0, *r[1:]) for r in con.sql(L.OP10_SQL).fetchall()) == got
+
+
 def test_perfect_hash_is_minimal():
-    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 62, 5000))
+    keys = np.random.default_rng(1).integers(0, 1 << 62, (5000, 2))
+    keys[:50, 0] = 7
     index = L.PerfectHash(*L.build_hash(keys))
     assert sorted(index(keys)) == list(range(len(keys)))
     assert (index(keys + 1) < len(keys)).all()
