@@ -3,7 +3,8 @@
 Every partition first shrinks its own edges to a spanning forest. What is left is merged in one
 task when its counted size is at most ``merge_limit`` rows, and otherwise by alternating
 large-star and small-star rounds (Kiveris et al., SoCC 2014), each of which is two aggregations
-and two equi-joins over a table that is written and read again between rounds.
+and two equi-joins over a table that is written and read again between rounds. The edges of a
+vertex with a large share of them are not gathered for these joins.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epsgrid.operators.skew import join_unique
 from epsgrid.staging import stage, unstage
 
 #: Rows of forest that one task may merge (16 bytes a row).
@@ -75,12 +77,12 @@ def _star_rounds(edges: DataFrame) -> DataFrame:
             return now
         before = mark
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = stage(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "stars")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        old, now = now, stage(hung.union(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        unstage(old, large)
+        low = stage(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "lows")
+        large = stage(join_unique(both, low, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "stars")
+        least = stage(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lows")
+        hung = join_unique(large, least, ["u"], "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old, now = now, stage(hung.union(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        unstage(old, low, large, least)
 
 
 def connected_components(edges: DataFrame, merge_limit: int = MERGE_LIMIT) -> DataFrame:

@@ -178,6 +178,21 @@ def test_components_by_merge_and_by_stars(spark):
     assert connected_components(edges.limit(0), 0).count() == 0
 
 
+def test_components_around_hot_vertices(spark, monkeypatch):
+    from epsgrid.operators import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    monkeypatch.setattr(skew, "HOT_KEYS", 9)
+    pairs = [(5, i) for i in range(10, 300)] + [(400 + i, 299 + i % 2) for i in range(90)] + [(900, 901), (7, 900)]
+    nodes, roots = forest(np.asarray([a for a, _ in pairs]), np.asarray([b for _, b in pairs]))
+    found = connected_components(spark.createDataFrame(pairs, "u long, v long").repartition(9), 0).collect()
+    assert {r["id"]: r["root"] for r in found} == dict(zip(nodes.tolist(), roots.tolist(), strict=True))
+    many = spark.range(200).selectExpr("id % 3 * (id % 2) as k", "id as v")
+    one = many.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    want = sorted(map(tuple, many.join(one.drop("n"), ["k"]).collect()))
+    assert sorted(map(tuple, skew.join_unique(many, one, ["k"], "n").collect())) == want and len(want) == 200
+
+
 def test_report(spark):
     row = C.report(C.density_clusters(points(spark, F2), 3.0, 2)).first()
     assert (row["n"], row["clusters"], row["core"], row["border"], row["noise"]) == (10, 2, 7, 2, 1)
