@@ -3,14 +3,19 @@
 1. Texts with one shingle set are one class, named by its smallest document; a class has a
    signature of ``ROWS * BANDS`` minimum hashes.
 2. Classes that agree on a whole band share a bucket; buckets with the same members are taken
-   once. In buckets of up to ``BUCKET`` classes every pair's signature is compared batch after
-   batch; a pair goes when the posterior probability that its similarity reaches the threshold
-   falls below ``MISS``. Larger buckets are not pruned: their members are all joined to one.
-3. Components of the surviving pairs hold every link. Inside each, similarities are exact: counts
-   of common shingles by matrix products over blocks of bounded size, dealt as block pairs when a
-   component is large. Only a spanning forest of the links leaves a task.
+   once. In every bucket, whatever its size, signatures are compared batch after batch; a pair goes
+   when the posterior probability that its similarity reaches the threshold falls below ``MISS``.
+3. Components of the surviving pairs hold every link. Inside each, the pairs that share a component
+   and survive the same comparison are verified on the full sets, unless links found before join
+   them already. Only a spanning forest of the links leaves a task.
 4. The components of those forests are the result.
 
+Buckets and components of more than ``BLOCK_ROWS`` classes, or ``BLOCK_SHINGLES`` shingles, are dealt
+in blocks. First each block is compared within itself and with one class of the whole group; then
+only the classes outside the group's largest component so far meet the other blocks. A group of
+near copies is thus compared about once a class; the work stays quadratic for groups in which many
+classes are near to, but not, each other's copies.
+
 A pair at the threshold misses all bands with a chance of (1 - s ** 6) ** 40: 6e-9 at 0.85,
 5e-6 at 0.8; a link is lost only if no chain of other links joins the two.
 
@@ -33,17 +38,18 @@ from pyspark.sql import functions as F
 
 from epsgrid.llm.common import release, small_batches, table
 from epsgrid.operators.components import connected_components, forest
-from epsgrid.staging import stage
+from epsgrid.operators.skew import join_unique
+from epsgrid.staging import stage, unstage
 
 ROWS, BANDS = 6, 40
 #: Chance at which a pair is given up.
 MISS = 1e-7
 #: Hashes compared at once.
 STEP = 40
-BUCKET = 64
-#: Classes and shingles of one exact block.
+#: Classes and shingles of one block.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
-_COLUMNS = 4096
+#: Rows and bytes that a task gathers, at least, before it compares them.
+GATHER_ROWS, GATHER_BYTES = 4000, 16 << 20
 _WORDS_KEPT = 300_000
 _WORDS: dict[bytes, int] = {}
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -110,6 +116,11 @@ class Hasher:
         return acc.view(np.int64)
 
 
+def short(minima: np.ndarray) -> bytes:
+    """One byte of each minimum hash."""
+    return (minima * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
 def signatures(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
     """``(doc_id, n, k1, k2, keys, sig)``: set size, 128-bit key of the set, band keys, one byte a hash."""
     schema = "doc_id long, n long, k1 long, k2 long, keys array<bigint>, sig binary"
@@ -122,7 +133,7 @@ def signatures(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
                 s = shingle_set(text.as_py(), k)
                 key = xxhash.xxh3_128_intdigest(s.tobytes())
                 minima = hasher.minima(s)
-                row = (len(s), key & 0x7FFFFFFFFFFFFFFF, key >> 64 & 0x7FFFFFFFFFFFFFFF, hasher.keys(minima) if len(s) else np.zeros(0, np.int64), (minima * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes())
+                row = (len(s), key & 0x7FFFFFFFFFFFFFFF, key >> 64 & 0x7FFFFFFFFFFFFFFF, hasher.keys(minima) if len(s) else np.zeros(0, np.int64), short(minima))
                 for column, value in zip(made, row, strict=True):
                     column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
@@ -151,22 +162,23 @@ def least_matches(similarity: float, hashes: int, step: int = STEP, miss: float
     return out
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], key: list[str], rows: int) -> Iterator[pa.Table]:
-    """Tables of whole groups, of about so many rows at least, from rows that are sorted by their key."""
+def _grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups, of GATHER_ROWS or GATHER_BYTES about, from rows that are sorted by their key."""
     held: list[pa.RecordBatch] = []
+    rows = size = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        if sum(x.num_rows for x in held) < rows:
-            continue
-        whole = pa.Table.from_batches(held).combine_chunks()
-        change = _changes(whole, key)
-        if len(change) > 1:
-            yield whole.slice(0, int(change[-1]))
-            held = whole.slice(int(change[-1])).combine_chunks().to_batches()
-        else:
-            held = whole.to_batches()
+        for i in range(0, batch.num_rows, 100):
+            held.append(batch.slice(i, 100))
+            rows, size = rows + held[-1].num_rows, size + held[-1].nbytes
+            if rows < GATHER_ROWS and size < GATHER_BYTES:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks()
+            last = int(_changes(whole, key)[-1])
+            if last:
+                yield whole.slice(0, last)
+            held = whole.slice(last).combine_chunks().to_batches()
+            # a group that goes on is looked at again after as many rows
+            rows, size = (0, 0) if not last else (whole.num_rows - last, sum(x.nbytes for x in held))
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -181,98 +193,135 @@ def _changes(rows: pa.Table, key: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def surviving_pairs(members: DataFrame, num: int, den: int, hashes: int) -> DataFrame:
-    """``(u, v)`` of bucket mates whose signatures leave the threshold possible."""
-    bounds = least_matches(num / den, hashes)
+def _mates(first: np.ndarray, end: int, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs inside each group: all of them, or those of sides 0 and 1 where a group has both."""
+    sizes = np.diff(first, append=end)
+    two = np.maximum.reduceat(side, first) > 0
+    for size in np.unique(sizes[(sizes > 1) & ~two]).tolist():
+        i, j = np.triu_indices(size, 1)
+        starts = first[(sizes == size) & ~two]
+        step = max(1, (1 << 20) // len(i))
+        for s in range(0, len(starts), step):
+            at = starts[s : s + step, None]
+            yield (at + i).ravel(), (at + j).ravel()
+    for a, b in zip(first[two].tolist(), (first + sizes)[two].tolist(), strict=True):
+        i, j = (a + np.flatnonzero(side[a:b] == k) for k in (0, 1))
+        yield np.repeat(i, len(j)), np.tile(j, len(i))
+
+
+def survivors(a: np.ndarray, b: np.ndarray, n: np.ndarray, sig: np.ndarray, num: int, den: int, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose set sizes and signatures leave the threshold possible, the likeliest first."""
+    possible = den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b])
+    a, b = a[possible], b[possible]
+    same, done = np.zeros(len(a), np.int64), 0
+    for upto, least in bounds:
+        for s in range(0, len(a), 1 << 18):
+            c = slice(s, s + (1 << 18))
+            same[c] += (sig[a[c], done:upto] == sig[b[c], done:upto]).sum(axis=1)
+        stay = same >= least
+        a, b, same, done = a[stay], b[stay], same[stay], upto
+    order = np.argsort(-same, kind="stable")
+    return a[order], b[order]
+
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
+def verified(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs that are links, exactly; pairs that links join already are not looked at."""
+    label = np.arange(len(sets))
+    us, vs = [], []
+    while True:
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+        if not len(a):
+            return np.asarray(us, np.int64), np.asarray(vs, np.int64)
+        # one pair of each element at a time: most others are joined by what they find
+        _, now = np.unique(a, return_index=True)
+        for k in now.tolist():
+            x, y = sets[a[k]], sets[b[k]]
+            inner = common(x, y)
+            if den * inner >= num * (len(x) + len(y) - inner):
+                us.append(a[k])
+                vs.append(b[k])
+        rest = np.ones(len(a), bool)
+        rest[now] = False
+        a, b = a[rest], b[rest]
+        if us:
+            nodes, roots = forest(np.asarray(us, np.int64), np.asarray(vs, np.int64))
+            label = np.arange(len(sets))
+            label[nodes] = roots
+
+
+def _compare(rows: DataFrame, key: list[str], num: int, den: int, hashes: int) -> DataFrame:
+    """``(u, v)`` joining the nodes of each group of ``rows(.., node, n, sig, side[, shingles])`` that survive and, with sets, are links."""
+    bounds, exact = least_matches(num / den, hashes), "shingles" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _grouped(batches, ["band"], 4000):
-            first = _changes(rows, ["band"])
-            sizes = np.diff(first, append=rows.num_rows)
-            left, right = [], []
-            for size in np.unique(sizes[sizes > 1]).tolist():
-                at = first[sizes == size]
-                i, j = np.triu_indices(size, 1)
-                left.append((at[:, None] + i).ravel())
-                right.append((at[:, None] + j).ravel())
-            if not left:
-                continue
-            a, b = np.concatenate(left), np.concatenate(right)
-            n = rows.column("n").to_numpy()
-            sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-            possible = den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b])
-            a, b = a[possible], b[possible]
-            same, done = np.zeros(len(a), np.int64), 0
-            for upto, least in bounds:
-                for s in range(0, len(a), 1 << 18):
-                    c = slice(s, s + (1 << 18))
-                    same[c] += (sig[a[c], done:upto] == sig[b[c], done:upto]).sum(axis=1)
-                stay = same >= least
-                a, b, same, done = a[stay], b[stay], same[stay], upto
-            node = rows.column("node").to_numpy()
-            pair = np.unique(np.stack([node[a], node[b]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["u", "v"])
-
-    dealt = members.select("band", "node", "n", "sig").repartition("band").sortWithinPartitions("band", "node")
-    return dealt.mapInArrow(run, "u long, v long")
-
-
-def linked(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with den * common >= num * union, exactly."""
-    n = np.asarray([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(len(sets)), n)
-    values, at, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    column = np.where(many > 1, np.cumsum(many > 1) - 1, -1)[at]
-    owner, column = owner[column >= 0], column[column >= 0]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    width = int(column[-1]) + 1 if len(column) else 0
-    for c in range(0, width, _COLUMNS):
-        x, y = np.searchsorted(column, [c, c + _COLUMNS])
-        part = np.zeros((len(sets), min(_COLUMNS, width - c)), np.float32)
-        part[owner[x:y], column[x:y] - c] = 1
-        common += part @ part.T
-    inner = common.astype(np.int64)
-    union = n[:, None] + n[None, :] - inner
-    return np.nonzero(np.triu((den * inner >= num * union) & (inner > 0), 1))
-
-
-def exact_links(docs: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Spanning forests ``(u, v)`` of the links inside each candidate component ``groups(id, root)``."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _grouped(batches, key):
+            node, n, side = (part.column(c).to_numpy() for c in ("node", "n", "side"))
+            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+            sets = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()] if exact else []
+            for a, b in _mates(_changes(part, key), part.num_rows, side):
+                a, b = survivors(a, b, n, sig, num, den, bounds)
+                if exact:
+                    a, b = verified(a, b, sets, num, den)
+                if not len(a):
+                    continue
+                u, v = forest(node[a], node[b])
+                yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], ["u", "v"])
+        release()
+
+    return rows.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(run, "u long, v long")
+
+
+def joined_in_groups(rows: DataFrame, num: int, den: int, hashes: int, label: str) -> DataFrame:
+    """Staged ``(u, v)`` that join the nodes of each group of the staged ``rows(grp, node, n, sig[, shingles])`` as all its pairs would."""
+    size = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES if "shingles" in rows.columns else F.lit(0))
+    sizes = stage(rows.groupBy("grp").agg(F.count("*").alias("rows"), F.min("node").alias("pivot"), F.ceil(size).cast("long").alias("parts")).where("rows > 1"), f"{label}-sizes")
+    placed = rows.join(sizes.select("grp", "pivot", "parts"), "grp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    payload = [c for c in rows.columns if c != "grp"]
+    own = placed.select("grp", "part", *payload, F.lit(0).alias("side"))
+    large = sizes.where("parts > 1").count()
+    if large:
+        everywhere = placed.where("parts > 1 and node = pivot").withColumn("to", F.explode(F.expr("sequence(0, parts - 1)"))).where("to <> part")
+        own = own.union(everywhere.select("grp", F.col("to").alias("part"), *payload, F.lit(0).alias("side")))
+    links = stage(_compare(own, ["grp", "part"], num, den, hashes), label)
+    if not large:
+        return links
+    placed = placed.where("parts > 1")
+    inside = links.join(placed.select(F.col("node").alias("u")).distinct(), "u", "left_semi")
+    roots = stage(connected_components(inside, merge_limit=0), f"{label}-roots")
+    labelled = placed.select("grp", "node", "parts", "part").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = stage(labelled, f"{label}-labels")
+    major = labelled.groupBy("grp", "root").agg(F.count("*").alias("many")).groupBy("grp").agg(F.max(F.struct("many", "root")).alias("top")).select("grp", F.col("top.root").alias("major"))
+    minor = stage(labelled.join(major, "grp").where("root <> major").select("grp", "node", "parts").distinct(), f"{label}-minor")
+    columns = minor.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("columns"))
+    column = F.pmod(F.xxhash64("node", F.lit("column")), F.col("columns"))
+    apart = rows.join(minor.join(columns, "grp"), ["grp", "node"]).withColumn("column", column).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+    blocks = placed.join(columns, "grp").withColumn("column", F.explode(F.expr("sequence(0, columns - 1)")))
+    both = blocks.select("grp", "part", "column", *payload, F.lit(0).alias("side")).union(apart.select("grp", "part", "column", *payload, F.lit(1).alias("side")))
+    return stage(links.union(_compare(both, ["grp", "part", "column"], num, den, hashes)), f"{label}-all")
+
+
+def candidate_sets(docs: DataFrame, groups: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
+    """``(grp, node, n, sig, shingles)`` of each class in the candidate components ``groups(id, root)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(rows, bands)
         for batch in batches:
             made = [shingle_set(x.as_py(), k) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], ["root", "node", "n", "shingles"])
+            columns = [pa.array([len(x) for x in made], pa.int64()), pa.array([short(hasher.minima(x)) for x in made], pa.binary()), pa.array([x.tobytes() for x in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["grp", "node", "n", "sig", "shingles"])
         _WORDS.clear()
         release()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = ["root", "i", "j"]
-        for rows in _grouped(batches, key, 500):
-            first = _changes(rows, key)
-            node = rows.column("node").to_numpy()
-            held = rows.column("shingles")
-            us, vs = [], []
-            for a, b in zip(first.tolist(), [*first[1:].tolist(), rows.num_rows], strict=True):
-                u, v = linked([np.frombuffer(held[x].as_py(), np.uint64) for x in range(a, b)], num, den)
-                if len(u):
-                    u, v = forest(node[a:b][u], node[a:b][v])
-                    us.append(u[u != v])
-                    vs.append(v[u != v])
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-
     chosen = docs.join(groups, docs["doc_id"] == groups["id"]).select("root", "doc_id", "text")
-    chosen = stage(chosen.mapInArrow(sets, "root long, node long, n long, shingles binary"), "candidate-sets")
-    sizes = chosen.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("all")).where("rows > 1")
-    parts = F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("all") / BLOCK_SHINGLES)).cast("long")
-    placed = chosen.join(sizes.select("root", parts.alias("parts")), "root").withColumn("b", F.pmod(F.xxhash64("node"), F.col("parts")))
-    pairs = placed.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    pairs = pairs.select("root", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "node", "shingles").where("i < j or parts = 1")
-    dealt = pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return dealt.mapInArrow(run, "u long, v long")
+    return chosen.mapInArrow(run, "grp long, node long, n long, sig binary, shingles binary").where("n > 0")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: tuple[int, int] = (80, 100), rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -281,24 +330,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     every = stage(signatures(docs, words, rows, bands), "signatures")
     signed = every.where("doc_id is not null and n > 0")
-    classes = stage(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "classes")
-    named = signed.join(classes, ["k1", "k2"])
-    nodes = stage(named.where("doc_id = node").select("node", "n", "keys", "sig"), "class-signatures")
+    classes = stage(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("docs")), "classes")
+    named = join_unique(signed.select("doc_id", "k1", "k2"), classes, ["k1", "k2"], "docs")
+    # the least class of each document, and the classes that a repeated id joins
+    owners = stage(named.groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.count("*").alias("rows")), "owners")
+    same_id = named.join(owners.where("node <> last").select("doc_id", F.col("node").alias("first")), "doc_id").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
+    nodes = signed.join(classes.select(F.col("node").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").withColumnRenamed("doc_id", "node")
+    repeated = not owners.where("rows > 1").isEmpty()
+    if repeated:  # a class' node may then have several rows of its text
+        nodes = nodes.dropDuplicates(["k1", "k2"])
+    nodes = stage(nodes.select("node", "n", "keys", "sig"), "class-signatures")
     spread = nodes.select("node", F.explode("keys").alias("band"))
     buckets = spread.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("mark")).where("size > 1")
-    buckets = buckets.groupBy("size", "low", "mark").agg(F.min("band").alias("band"))
-    members = stage(spread.join(buckets.select("band", "size", "low"), "band"), "buckets")
-    small = members.where(F.col("size") <= BUCKET).join(nodes.select("node", "n", "sig"), "node")
-    large = members.where((F.col("size") > BUCKET) & (F.col("node") != F.col("low"))).select(F.col("low").alias("u"), F.col("node").alias("v"))
+    buckets = buckets.groupBy("size", "low", "mark").agg(F.min("band").alias("grp"))
+    members = nodes.select("node", "n", "sig", F.explode("keys").alias("grp")).join(buckets.select("grp"), "grp").select("grp", "node", "n", "sig")
     # written, so that no task runs two Python workers at once
-    pairs = stage(surviving_pairs(small, num, den, rows * bands).union(large), "pairs")
+    members = stage(members, "buckets")
+    pairs = joined_in_groups(members, num, den, rows * bands, "pairs")
     candidates = stage(connected_components(pairs, merge_limit=0), "candidates")
-    links = stage(exact_links(docs, candidates, words, num, den), "links")
-    # a document's rows are one vertex even where an id comes twice
-    own = named.where("doc_id <> node").select(F.col("node").alias("u"), F.col("doc_id").alias("v"))
-    roots = stage(connected_components(links.union(own), merge_limit=0), "components")
-    out = every.select("doc_id", F.col("n").alias("n_shingles")).join(roots.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left")
+    unstage(nodes, members, pairs)
+    sets = candidate_sets(docs, candidates, words, rows, bands)
+    sets = stage(sets.distinct() if repeated else sets, "candidate-sets")
+    links = joined_in_groups(sets, num, den, rows * bands, "links")
+    unstage(sets, candidates)
+    roots = stage(connected_components(links.union(same_id), merge_limit=0), "components")
+    unstage(links)
+    found = owners.select("doc_id", "node").join(roots.select(F.col("id").alias("node"), "root"), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    known = every.where("doc_id is not null").select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
+    nameless = every.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("root"))
     component = F.coalesce("root", "doc_id")
+    out = known.union(nameless)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 

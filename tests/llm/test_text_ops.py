@@ -135,27 +135,43 @@ def test_near_duplicates_by_brute_force(spark, documents, k, num):
     assert sorted(tuple(r) for r in got.collect()) == brute_components(rows, k, num, 100)
 
 
-def test_near_duplicates_in_large_groups(spark, monkeypatch):
-    """Buckets that are not pruned and components that are dealt as block pairs."""
-    monkeypatch.setattr(N, "BUCKET", 4)
+@pytest.mark.parametrize("most", [6, 16])
+def test_near_duplicates_in_large_groups(spark, monkeypatch, most):
+    """Buckets and components that are dealt in blocks, of copies that hang together and of ones that partly do."""
     monkeypatch.setattr(N, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(N, "GATHER_ROWS", 7)
     rng = np.random.default_rng(2)
     base = [f"w{i}" for i in range(80)]
     rows = []
     for d in range(120):
         w = list(base)
-        for at in rng.integers(0, 80, rng.integers(0, 6)):
+        for at in rng.integers(0, 80, rng.integers(0, most)):
             w[at] = f"y{d}"
         rows.append((d, " ".join(w)))
     got = N.near_duplicates(frame(spark, rows), words=3, threshold=(85, 100))
     assert sorted(tuple(r) for r in got.collect()) == brute_components(rows, 3, 85, 100)
 
 
+def test_links_are_verified_as_all_pairs_would_be():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.choice(60, 50)).astype(np.uint64) for _ in range(60)]
+    i, j = np.triu_indices(60, 1)
+    want = [(a, b) for a, b in zip(i, j, strict=True) if 100 * N.common(sets[a], sets[b]) >= 50 * len(np.union1d(sets[a], sets[b]))]
+    assert all(N.common(sets[a], sets[b]) == len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True))
+    u, v = N.verified(i, j, sets, 50, 100)
+    assert set(zip(u, v, strict=True)) <= set(want)
+    parts = [dict(zip(*map(list, N.forest(np.asarray(x), np.asarray(y))), strict=True)) for x, y in ((u, v), zip(*want, strict=True))]
+    assert parts[0] == parts[1] and len(u) <= 59
+
+
 def test_near_duplicates_null_and_repeated_ids(spark):
     text = "a b c d e f g h"
-    df = frame(spark, [(None, text, 1), (3, text, 2), (3, text, 3), (5, text, 4), (6, "z", 5)], "doc_id long, text string, root int")
+    other = text.replace("h", "h i j k l m n o p q r s t u v w x y z")
+    rows = [(None, text), (3, text), (3, text), (5, text), (6, "z"), (7, other), (3, None), (5, other), (8, None), (9, "q"), (9, other + " 1")]
+    df = frame(spark, [(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, root int")
     got = sorted((tuple(r) for r in N.near_duplicates(df).collect()), key=str)
-    assert got == sorted([(None, 4, None, True), (3, 4, 3, True), (3, 4, 3, True), (5, 4, 3, False), (6, 1, 6, True)], key=str)
+    want = [(None, 4, None, True), (3, 4, 3, True), (3, 4, 3, True), (5, 4, 3, False), (6, 1, 6, True), (7, 22, 3, False), (3, 0, 3, True), (5, 22, 3, False), (8, 0, 8, True), (9, 1, 3, False), (9, 23, 3, False)]
+    assert got == sorted(want, key=str)
     assert N.near_duplicates(df.limit(0)).count() == 0
 
 
