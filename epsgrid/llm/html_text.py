@@ -1,12 +1,20 @@
 """Main text of web pages by minimum-cut labelling.
 
 The html is cut into blocks of text with the names of their enclosing elements. A classifier gives
-each block its odds of being content: what the enclosing elements are called, plus a logistic model
-of the text itself (length, share of links, punctuation), fitted here on blocks whose enclosing
-elements leave no doubt. The costs of both labels are the capacities from and to the terminals;
-neighbouring blocks and blocks with one parent are joined by smoothness edges. A maximum flow
-separates content from the rest. Blocks whose own costs outweigh all their edges have one label in
-every minimum cut, so they are fixed first and the flow runs over what is left.
+each block its odds of being content. Element names and words in class, id and role are evidence,
+the innermost weighing most and each one above it half as much, so that an inner element can lift
+what a wrapper says. A logistic model of the text itself (length, share of links, punctuation) adds
+to it: its weights start at ``PRIOR`` and are fitted on blocks whose names leave little doubt. The
+text moves the odds by at most ``TEXT_LIMIT``: a heading in an article stays, and a well-written
+advert goes. On pages with an element for the article, what is outside it has lower odds.
+
+The costs of both labels are the capacities from and to the terminals; neighbouring blocks and
+blocks with one parent are joined by smoothness edges, strong where both have the same names around
+them. A maximum flow separates content from the rest. Blocks whose own costs outweigh all their
+edges have one label in every minimum cut, so they are fixed first and the flow runs over the rest.
+
+The text model learns from ``TRAIN_PAGES`` pages of at most ``TRAIN_CHARS`` characters, those with
+the least hashes, whatever the size of the table; every page is extracted whole.
 
 Defined results: null and empty html give an empty text; html that breaks off in a tag, comment or
 script loses only that; pages without any block are empty; repeated rows are extracted alike; an
@@ -17,7 +25,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,15 +35,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epsgrid.llm.common import small_batches, table
+from epsgrid.llm.common import draw, draw_below, small_batches, table
 
 #: Pages, and characters of each at most, whose blocks the text classifier learns from.
-TRAIN_PAGES, TRAIN_CHARS = 400, 200_000
-ADJACENT, SIBLING = 0.4, 0.6
-#: Log odds by enclosing element.
-CONTENT, LIKELY, UNTOLD, REST = 4.0, 1.5, 0.5, -6.0
+TRAIN_PAGES, TRAIN_CHARS = 400, 100_000
+#: Capacities of edges between blocks with the same names around them; others have a quarter.
+ADJACENT, SIBLING = 0.5, 1.0
+#: Log odds that an element's name or a word adds, and how much those above it count.
+CONTENT, LIKELY, UNTOLD, LAYOUT, HEADER, REST, ABOVE = 4.0, 2.5, 0.5, -1.5, -4.0, -6.0, 0.5
+#: A first heading in a page header, and blocks outside the element for the article.
+TITLE, OUTSIDE = 3.5, -2.5
+#: Names alone that leave little doubt.
+SURE = 3.0
 #: The text alone moves the odds by this at most.
-TEXT_LIMIT = 2.0
+TEXT_LIMIT = 3.0
+#: Weights of ``text_features`` without any page to learn from, and the weight of that belief.
+PRIOR, BELIEF = (-1.2, 0.5, -4.0, 0.5, 0.0, 1.0, 0.8, -0.5), 4.0
 
 _TOKEN = re.compile(
     r"""<!--(?:>|->|.*?(?:--!?>|\Z))"""
@@ -43,7 +58,7 @@ _TOKEN = re.compile(
     r"""|<[!?/][^>]*+(?:>|\Z)""",
     re.S,
 )
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NAMED = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 #: Element names and words in class, id and role.
 _RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "noembed", "noframes", "xmp", "svg", "math", "select", "object", "canvas", "audio", "video"}
@@ -53,9 +68,14 @@ _SPACES = {"br", "td", "th", "img", "wbr"}
 _REST_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "label", "legend", "search", "head"}
 _CONTENT_TAGS = {"article", "main"}
 _REST_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "complementary", "consent", "contentinfo", "cookie", "cookies", "discussion", "disqus", "footer", "gdpr", "login", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "overlay", "pagination", "popup", "promo", "promoted", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget"}
+_COMMENT_WORDS = {"comment", "comments", "commentlist", "discussion", "disqus", "replies", "reply", "respond"}
 _HEADER_WORDS = {"header", "masthead"}
+#: Words of parts of a layout, and words that name the whole layout by one of its parts.
+_PART_WORDS = {"banner", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "menu", "menubar", "nav", "navbar", "navigation", "sidebar", "toolbar", "topbar"}
+_LAYOUT_WORDS = {"container", "has", "layout", "no", "outer", "page", "site", "with", "without", "wrap", "wrapper"}
 _LIKELY_WORDS = {"article", "body", "content", "entry", "main", "post", "story", "text"}
 _SAME = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
+_TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 _CLOSES_P = _BLOCKS - {"button", "label", "caption", "legend", "summary", "body", "html", "head", "tbody", "thead", "tfoot", "tr"}
 
 
@@ -73,34 +93,55 @@ class _Open:
     tag: str
     number: int
     odds: float
+    #: Index of the nearest open element, itself included, that is neither paragraph nor heading.
+    base: int
 
 
-def _odds(tag: str, attrs: str, above: float) -> float:
-    """Log odds inside an element, from its name and those around it."""
-    if above <= REST:
-        return above
-    if tag in _REST_TAGS:
-        return REST
+def _evidence(tag: str, attrs: str, above: float) -> float:
+    """Log odds that an element's own name and words give; 0 where they say nothing."""
+    if tag in ("body", "html"):
+        return 0.0
     words: set[str] = set()
-    if attrs:
-        for m in _NAMED.finditer(attrs):
-            words.update(_SPLIT.split(html_lib.unescape(m[1] or m[2] or m[3] or "").lower()))
-    if words & _REST_WORDS and tag not in ("body", "html", "article", "main"):
-        return REST
-    if tag == "article" and words & {"comment", "comments", "reply"}:
+    weak = False
+    for m in _NAMED.finditer(attrs) if attrs else ():
+        if m[1].lower() == "id" and tag in _TEXT_TAGS:
+            continue  # an anchor, called after the text
+        for token in html_lib.unescape(m[2] or m[3] or m[4] or "").lower().split():
+            said = set(_SPLIT.split(token))
+            if said & _LAYOUT_WORDS and said & _PART_WORDS and not said & (_REST_WORDS - _PART_WORDS):
+                weak = True
+            else:
+                words |= said
+    if tag in _REST_TAGS:
         return REST
-    if (tag == "header" or words & _HEADER_WORDS) and above < CONTENT and tag not in ("body", "html"):
+    if tag in _CONTENT_TAGS:
+        return REST if words & _COMMENT_WORDS else CONTENT
+    if words & _REST_WORDS:
         return REST
-    if tag in _CONTENT_TAGS or words & {"article"} and tag in ("div", "section"):
+    if (tag == "header" or words & _HEADER_WORDS) and above < SURE:
+        return HEADER
+    if "article" in words and tag in ("div", "section"):
         return CONTENT
-    return max(above, LIKELY) if words & _LIKELY_WORDS and tag not in ("body", "html") else above
+    if words & _LIKELY_WORDS:
+        return LIKELY
+    return LAYOUT if weak else 0.0
+
+
+def _odds(tag: str, attrs: str, above: float, titled: bool) -> float:
+    """Log odds inside an element, from its name and those around it."""
+    own = _evidence(tag, attrs, above)
+    if not own and tag == "h1" and above < 0 and not titled:
+        own = TITLE
+    return own + ABOVE * above if own else above
 
 
 def blocks_of(html: str) -> list[Block]:
     """Blocks with text, in page order."""
     out: list[Block] = []
-    stack = [_Open("", 0, UNTOLD)]
+    stack = [_Open("", 0, UNTOLD, 0)]
+    open_tags: Counter[str] = Counter()
     number = linked = in_link = 0
+    titled = False
     parts: list[str] = []
     at = 0
 
@@ -114,6 +155,11 @@ def blocks_of(html: str) -> list[Block]:
                 out.append(Block(text, top.odds, holder.number, linked, top.tag))
         parts, linked = [], 0
 
+    def close(i: int) -> None:
+        for x in stack[i:]:
+            open_tags[x.tag] -= 1
+        del stack[i:]
+
     def said(raw: str) -> None:
         nonlocal linked
         text = html_lib.unescape(raw) if "&" in raw else raw
@@ -149,22 +195,18 @@ def blocks_of(html: str) -> list[Block]:
         if tag in _VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if open_tags[tag]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         if stack[-1].tag == "p" and tag in _CLOSES_P or stack[-1].tag in _SAME.get(tag, ()):
-            stack.pop()
-        elif tag in ("li", "tr", "dt", "dd"):  # the open one may hold unclosed elements
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in _SAME[tag]:
-                    del stack[i:]
-                    break
-                if stack[i].tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-                    break
+            close(len(stack) - 1)
+        elif tag in ("li", "tr", "dt", "dd") and stack[stack[-1].base].tag in _SAME[tag]:
+            close(stack[-1].base)  # the open one, with unclosed elements in it
         number += 1
-        stack.append(_Open(tag, number, _odds(tag, attrs, stack[-1].odds)))
+        base = stack[-1].base if tag in _TEXT_TAGS else len(stack)
+        stack.append(_Open(tag, number, _odds(tag, attrs, stack[-1].odds, titled), base))
+        open_tags[tag] += 1
+        titled |= tag == "h1"
     if at < len(html):
         said(html[at:])
     flush()
@@ -179,22 +221,22 @@ def text_features(block: Block) -> list[float]:
 
 
 def fit_text(pages: list[str]) -> np.ndarray:
-    """Logistic weights by reweighted least squares on blocks of certain elements; zeros where one kind is missing."""
+    """Logistic weights by reweighted least squares on blocks of sure names, drawn to PRIOR; PRIOR itself where one kind is missing."""
     rows, labels = [], []
     for page in pages:
         for b in blocks_of(page):
-            if b.odds >= CONTENT or b.odds <= REST:
+            if abs(b.odds) >= SURE:
                 rows.append(text_features(b))
                 labels.append(float(b.odds > 0))
-    size = len(text_features(Block("x", 0, 0, 0, "p")))
+    prior = np.asarray(PRIOR)
     if len(set(labels)) < 2:
-        return np.zeros(size)
-    x, y, w = np.asarray(rows), np.asarray(labels), np.zeros(size)
+        return prior
+    x, y, w = np.asarray(rows), np.asarray(labels), prior.copy()
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for _ in range(12):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = x.T @ (x * (weight * p * (1 - p))[:, None]) + np.eye(size)
-        w = w + np.linalg.solve(h, x.T @ (weight * (y - p)) - w)
+        h = x.T @ (x * (weight * p * (1 - p))[:, None]) + BELIEF * np.eye(len(w))
+        w = w + np.linalg.solve(h, x.T @ (weight * (y - p)) - BELIEF * (w - prior))
     return w
 
 
@@ -299,14 +341,17 @@ def extract(html: str | None, weights: np.ndarray) -> str:
     if not blocks:
         return ""
     text = np.clip(np.asarray([text_features(b) for b in blocks]) @ weights, -TEXT_LIMIT, TEXT_LIMIT)
-    odds = (np.asarray([b.odds for b in blocks]) + text).tolist()
+    names = np.asarray([b.odds for b in blocks])
+    if (names >= SURE).any():
+        names = np.where((names < SURE) & (names > 0), names + OUTSIDE, names)
+    odds = (names + text).tolist()
     edges: list[tuple[int, int, float]] = []
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if i:
             edges.append((i - 1, i, ADJACENT if b.odds == blocks[i - 1].odds else ADJACENT / 4))
         if b.parent in last:
-            edges.append((last[b.parent], i, SIBLING))
+            edges.append((last[b.parent], i, SIBLING if b.odds == blocks[last[b.parent]].odds else SIBLING / 4))
         last[b.parent] = i
     # -log P(rest) - -log P(content) is the log odds
     return "\n".join(b.text for b, keep in zip(blocks, label(odds, edges), strict=True) if keep)
@@ -314,10 +359,12 @@ def extract(html: str | None, weights: np.ndarray) -> str:
 
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` without the html, with ``text`` and ``n_chars``."""
-    n = small_batches(pages).count()
-    share = int(1_000_000 * min(1, TRAIN_PAGES / max(1, n)))
-    some = pages.select(F.col(f"`{html_col}`").cast("string").alias("h")).where(F.col("h").isNotNull() & (F.length("h") <= TRAIN_CHARS) & (F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < share))
-    weights = fit_text(sorted(r["h"] for r in some.limit(2 * TRAIN_PAGES).collect()))
+    html = F.col(f"`{html_col}`").cast("string")
+    able = small_batches(pages).select(html.alias("h")).where(F.length("h") <= TRAIN_CHARS).withColumn("draw", draw("h"))
+    some = able.where(F.col("draw") < draw_below(TRAIN_PAGES, able.count())).groupBy("draw").agg(F.count("*")).select("draw")
+    least = sorted(r["draw"] for r in some.collect())[:TRAIN_PAGES]  # numbers only, about four times as many
+    chosen = able.where(F.col("draw") <= least[-1]).groupBy("draw").agg(F.min("h").alias("h")).collect() if least else []
+    weights = fit_text([r["h"] for r in sorted(chosen, key=lambda r: r["draw"])])
     keep = [c for c in pages.columns if c not in ("text", "n_chars", html_col)]
     schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
