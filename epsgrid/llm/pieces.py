@@ -4,9 +4,10 @@ The model's protocol buffer is parsed here. Its normaliser, white-space marker,
 fallback are rebuilt as a tokenizer of that library: scores as they are for a unigram model, and
 as ranks of merges for a byte-pair model. No piece holds the marker behind another character (this
 is looked up in the model), so a text may be cut before each run of markers: every distinct
-segment is encoded once, in multithreaded batches, and held against the sentencepiece library and
-against its own decoding. Segments on which the two libraries differ keep sentencepiece's ids and
-are counted.
+segment is encoded once, in multithreaded batches, and held against the sentencepiece library.
+Models with other pieces are encoded by whole texts. The ids are always those of the rebuilt
+tokenizer; segments (or texts) for which the other library has other ids, or where it can't be asked
+for a segment alone, are counted in ``n_differ``. Ids are decoded by the rebuilt decoder.
 
 Defined results: null counts as empty; an empty text has no ids and decodes to an empty text; the
 marker itself in a text decodes to a space, as the format has it, and ``round_trip`` is false;
@@ -166,7 +167,6 @@ class PieceEncoder:
         self.by_segment = self.model.by_segment()
         self.plain = not self.model.charsmap and not self.model.remove_spaces
         self.known: dict[str, tuple[bytes, bool]] = {}
-        self.bytes_of = [bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(MARK, " ").encode() if self.model.escape else p.encode() for p, k in zip(self.model.pieces, self.model.kinds, strict=True)]
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
@@ -181,7 +181,7 @@ class PieceEncoder:
             return (MARK if self.model.dummy_prefix else "") + (text.replace(" ", MARK) if self.model.escape else text)
         return self.normalizer.normalize_str(text)
 
-    def _other_ids(self, segments: list[str]) -> list[list[int]]:
+    def _other_ids(self, segments: list[str]) -> list[list[int] | None]:
         """The sentencepiece library's ids of normalised segments; it writes its prefix itself."""
         first = self.model.dummy_prefix
         # its prefix stands for the first marker; it writes none before an empty text
@@ -189,11 +189,11 @@ class PieceEncoder:
         made = iter(self.other.encode([s[1:].replace(MARK, " ") for s, x in zip(segments, led, strict=True) if x], num_threads=1))
         return [next(made) if x else self._inner(s) for s, x in zip(segments, led, strict=True)]
 
-    def _inner(self, segment: str) -> list[int]:
-        """Ids of a segment that does not begin with the marker, by way of a line break before it."""
+    def _inner(self, segment: str) -> list[int] | None:
+        """Ids of a segment that does not begin with the marker, by way of a line break before it; None where that merges with it."""
         lead = self.other.encode("\n")
         made = self.other.encode("\n" + segment.replace(MARK, " "))
-        return made[len(lead) :] if made[: len(lead)] == lead else self.bare.encode(segment, add_special_tokens=False).ids
+        return made[len(lead) :] if made[: len(lead)] == lead else None
 
     def _learn(self, segments: list[str]) -> dict[str, tuple[bytes, bool]]:
         out = {}
@@ -201,8 +201,7 @@ class PieceEncoder:
             some = segments[i : i + LEARN_AT_ONCE]
             made = [e.ids for e in self.bare.encode_batch_fast(some, add_special_tokens=False)]
             for s, ids, other in zip(some, made, self._other_ids(some), strict=True):
-                same = ids == other
-                out[s] = np.asarray(other if not same else ids, "<u4").tobytes(), same
+                out[s] = np.asarray(ids, "<u4").tobytes(), ids == other
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, int]]:
@@ -210,7 +209,7 @@ class PieceEncoder:
         if not self.by_segment:
             made = self.whole.encode_batch(texts, add_special_tokens=False)
             other = self.other.encode(texts, num_threads=1)
-            return [(np.asarray(b, "<u4").tobytes(), int(a.ids != b)) for a, b in zip(made, other, strict=True)]
+            return [(np.asarray(a.ids, "<u4").tobytes(), int(a.ids != b)) for a, b in zip(made, other, strict=True)]
         split = [_SEGMENT.findall(self._normal(x)) for x in texts]
         new = list(set(itertools.chain.from_iterable(split)) - self.known.keys())
         fresh = self._learn(new) if new else {}
@@ -225,10 +224,9 @@ class PieceEncoder:
             out.append((b"".join([ids for ids, _ in found]), sum(not same for _, same in found)))
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of the ids: pieces and fallback bytes joined, markers as spaces, without the prefix."""
-        text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+    def decode(self, documents: list[np.ndarray]) -> list[str]:
+        """Texts of the ids: pieces and fallback bytes joined, markers as spaces, without the prefix."""
+        return self.whole.decode_batch([ids.tolist() for ids in documents], skip_special_tokens=False)
 
 
 RESULT = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("n_differ", T.LongType()), T.StructField("decoded", T.StringType()), T.StructField("round_trip", T.BooleanType())])
@@ -244,9 +242,8 @@ def encode_documents(docs: DataFrame, model: str, text_col: str = "text", result
         for batch in batches:
             texts = [x or "" for x in batch.column(len(keep)).to_pylist()]
             made: dict[str, list] = {c: [] for c in RESULT.names}
-            for text, (data, differ) in zip(texts, encoder.encode(texts), strict=True):
-                ids = np.frombuffer(data, "<u4")
-                decoded = encoder.decode(ids)
+            found = [(np.frombuffer(data, "<u4"), data, differ) for data, differ in encoder.encode(texts)]
+            for text, (ids, data, differ), decoded in zip(texts, found, encoder.decode([x for x, _, _ in found]), strict=True):
                 row = (ids.astype(np.int32), len(ids), zlib.crc32(data), differ, decoded, decoded == text)
                 for c, value in zip(RESULT.names, row, strict=True):
                     made[c].append(value)
