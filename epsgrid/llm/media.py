@@ -5,7 +5,8 @@ of its last 32 bytes has ``CUT_BITS`` leading zeros, within ``LEAST`` and ``MOST
 are named by their SHA-256, compressed, deduplicated by a Spark aggregation on the name and written
 in buckets of it; a payload keeps the ordered list of its chunks. Reading joins these lists to the
 chunks without moving the store, puts each file together in order as rows stream past, verifies its
-digest and computes features of the samples. Equal payloads are put together once.
+digest and computes features of the samples. Equal payloads are put together once. Chunks that a
+large share of all lists hold meet their lists by a broadcast of at most ``HOT_KEYS`` chunks.
 
 Defined results: null counts as empty; an empty payload is 64 zero bytes; payloads may share all of
 their chunks; repeated rows and ids each get a row; an empty table gives no rows; other columns are
@@ -26,7 +27,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epsgrid.llm.common import crc32, small_batches, table
+from epsgrid.llm.common import crc32, draw, draw_below, small_batches, table
+from epsgrid.operators.skew import HOT_KEYS, HOT_ROWS
 from epsgrid.staging import stage, stage_bucketed
 
 UNIT = 64
@@ -95,11 +97,12 @@ def _codec(dictionary: bytes | None) -> tuple[zstandard.ZstdCompressor, zstandar
 
 
 def train_dictionary(texts: DataFrame) -> bytes | None:
-    """From at most about DICTIONARY_ROWS texts; None where they are too few."""
-    n = texts.count()
-    share = int(1_000_000 * min(1, DICTIONARY_ROWS / max(1, n)))
-    rows = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select(F.substring("text", 1, MOST).alias("text")).limit(2 * DICTIONARY_ROWS).collect()
-    samples = [c for r in sorted(rows, key=lambda r: r["text"] or "") for c in chunks_of((r["text"] or "").encode())]
+    """From the DICTIONARY_ROWS texts of least hashes, of each a beginning; None where they are too few."""
+    drawn = texts.where("text is not null").withColumn("draw", draw("text"))
+    some = drawn.where(F.col("draw") < draw_below(DICTIONARY_ROWS, drawn.count())).groupBy("draw").agg(F.count("*")).select("draw")
+    least = sorted(r["draw"] for r in some.collect())[:DICTIONARY_ROWS]  # numbers only, about four times as many
+    chosen = drawn.where(F.col("draw") <= (least[-1] if least else -1)).groupBy("draw").agg(F.min(F.substring("text", 1, MOST)).alias("text")).collect()
+    samples = [c for r in sorted(chosen, key=lambda r: r["draw"]) for c in chunks_of(r["text"].encode())]
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
     if size < 1024 or len(samples) < 16:
         return None
@@ -159,10 +162,24 @@ def feature(payload: bytes) -> str:
     return f"mean={x.sum() / len(x):.4f};rms={rms:.4f};cross={crossings};low={x.min()};high={x.max()};hist={','.join(map(str, bins))}"
 
 
+def hot_digests(store: Store) -> list[int]:
+    """Hashes of the digests that more than one of HOT_KEYS equal shares of all lists' entries are, HOT_KEYS at most."""
+    counts = store.recipes.select(F.explode("digests").alias("digest")).groupBy(F.xxhash64("digest").alias("h")).agg(F.count("*").alias("n"))
+    total = store.recipes.agg(F.sum(F.size("digests")).alias("n")).first()["n"] or 0
+    return [r["h"] for r in counts.where(F.col("n") > max(HOT_ROWS, total // HOT_KEYS)).collect()]
+
+
 def assemble(store: Store) -> DataFrame:
     """``(media_sha, media_bytes, payload)`` summarised once for each distinct file, read back and verified."""
     lists = store.recipes.groupBy("media_sha").agg(F.first("digests").alias("digests"))
-    parts = lists.select("media_sha", F.posexplode("digests").alias("i", "digest")).join(store.chunks, "digest")
+    parts = lists.select("media_sha", F.posexplode("digests").alias("i", "digest"))
+    hot = hot_digests(store)
+    if hot:
+        common = F.xxhash64("digest").isin(hot)
+        held = stage(store.chunks.where(common), "media-hot", "uncompressed")
+        parts = parts.where(common).join(F.broadcast(held), "digest").unionByName(parts.where(~common).join(store.chunks, "digest"))
+    else:
+        parts = parts.join(store.chunks, "digest")
     dictionary = store.dictionary
     names = ["media_sha", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 

@@ -298,6 +298,18 @@ def test_media_by_brute_force(spark, documents):
     assert M.assemble(M.write_store(df.limit(0))).count() == 0
 
 
+def test_chunks_that_many_files_share(spark, monkeypatch):
+    monkeypatch.setattr(M, "HOT_ROWS", 5)
+    rng = random.Random(7)
+    big = "".join(rng.choice("abcdefgh \n") for _ in range(90_000))
+    rows = [(i, big + f" end {i}") for i in range(12)] + [(100 + i, f"text {i}") for i in range(30)]
+    store = M.write_store(frame(spark, rows).repartition(4))
+    assert M.hot_digests(store)
+    found = {r["media_sha256"]: r["payload_sha256"] for r in M.assemble(store).collect()}
+    payloads = [M.padded(t)[1] for _, t in rows]
+    assert found == {hashlib.sha256(M.to_media(x)).hexdigest(): hashlib.sha256(x).hexdigest() for x in payloads}
+
+
 def test_cut_points_cover_and_keep_their_bounds():
     data = np.random.default_rng(1).integers(0, 256, 300_000).astype(np.uint8).tobytes()
     for text in (data, bytes(200_000), b"", b"x", data[: M.LEAST + 1]):
