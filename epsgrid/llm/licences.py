@@ -7,8 +7,7 @@ template nearest to any of its lines or, for a licence file, to the whole, if th
 ``LEAST_COSINE``. Runs of neighbouring lines, as long as a template, are compared like lines, and with
 the full headers in ``HEADERS`` besides: where a run reaches a header, lines and runs that overlap it
 have no say, as licences share sentences. A GNU licence also needs its version in the line or run.
-Of a text none of whose lines can reach it, ``cosine`` is only a lower bound: there
-a term outside the templates weighs as one found nowhere. A text without a
+``cosine`` is that of the nearest of what can reach it, and null where nothing can. A text without a
 licence of its own inherits that of the nearest directory above it that holds a licence file with
 one: directories are joined to licensed directories by the paths of all their ancestors.
 
@@ -67,13 +66,17 @@ HEADERS = {
     "AGPL-3.0": [_GNU.format("Affero General Public License", "3"), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
     "BSD-2-Clause": [_BSD.format("")],
     "BSD-3-Clause": [_BSD.format("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ")],
+    "Apache-2.0": ["Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0"],
     "GPL-2.0": [_GNU.format("General Public License", "2"), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
     "GPL-3.0": [_GNU.format("General Public License", "3"), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
     "LGPL-2.1": [_GNU.format("Lesser General Public License", "2.1"), "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
     "LGPL-3.0": [_GNU.format("Lesser General Public License", "3"), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
 }
 #: Licences that a line or run has only with one of these words in it.
-NEEDS = {"AGPL-3.0": {"3", "3.0"}, "GPL-2.0": {"2", "2.0"}, "GPL-3.0": {"3", "3.0"}, "LGPL-2.1": {"2.1"}, "LGPL-3.0": {"3", "3.0"}}
+NEEDS = {"Apache-2.0": {"2.0", "2"}, "MPL-2.0": {"2.0"}, "AGPL-3.0": {"3", "3.0"}, "GPL-2.0": {"2", "2.0"}, "GPL-3.0": {"3", "3.0"}, "LGPL-2.1": {"2.1"}, "LGPL-3.0": {"3", "3.0"}}
+#: A claim of all rights ends there, or names who holds them; rights reserved to or for others are none.
+_CLAIM = re.compile(r"all rights reserved(?!\s+(?!by\b)[a-z])")
 #: Slots of the sieve of wanted terms, and terms that a task counts or remembers at once.
 SLOTS, TERMS_AT_ONCE = 1 << 22, 200_000
 _WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
@@ -91,6 +94,7 @@ class Matcher:
     def __init__(self, documents: int, frequency: dict[str, int]):
         self.rows = [(licence, notice) for licence in sorted(TEMPLATES) for notice in TEMPLATES[licence]]
         self.notices = len(self.rows)
+        self.claim = next(i for i, (licence, _) in enumerate(self.rows) if licence == "Proprietary")
         self.rows += [(licence, header) for licence in sorted(HEADERS) for header in HEADERS[licence]]
         counts = [Counter(terms(notice)) for _, notice in self.rows]
         vocabulary = sorted(set().union(*counts))
@@ -142,6 +146,8 @@ class Matcher:
         for i, needs in enumerate(self.needs):
             if needs and dots[i] and needs.isdisjoint(found):
                 dots[i] = 0.0
+        if dots[self.claim] and not _CLAIM.search(text):
+            dots[self.claim] = 0.0
         top = max(range(rows), key=lambda i: (dots[i], -i))
         return Unit(text, self.rows[top][0], dots[top], own, others, top >= self.notices, start, end)
 
@@ -173,21 +179,18 @@ class Matcher:
         made = (self.unit("\n".join(x for _, x, _ in lines[s : e + 1]), lines[s][0], lines[e][0], len(self.rows)) for s, e in sorted(spans))
         return [u for u in made if u.start < u.end or u.header]
 
-    def scan(self, text: str, whole: bool) -> tuple[float, list[Unit]]:
-        """Over the lines with a cue, the runs, and the whole where asked for: those that can reach
-        LEAST_COSINE, and the best cosine of the lines if their other terms are found nowhere."""
+    def scan(self, text: str, whole: bool) -> list[Unit]:
+        """Of the lines with a cue, the runs, and the whole where asked for, those that can reach LEAST_COSINE."""
         low = text.lower()
         runs = [u for u in self.runs(low) if u.can()]
         if not self.cue.search(low):
-            return 0.0, runs
+            return runs
         lines = [(i, x) for i, x in enumerate(low.split("\n")) if self.cue.search(x)]
         made = {x: self.unit(x, i, i, self.notices) for i, x in lines}
         near = [replace(made[x], start=i, end=i) for i, x in lines if made[x].can()]
-        units = [*made.values()]
         if whole:
-            units.append(self.unit(low, 0, low.count("\n"), self.notices))
-            near += [u for u in units[-1:] if u.can()]
-        return max((u.cosine(sum((n * self.other) ** 2 for n in u.others.values())) for u in units), default=0.0), near + runs
+            near += [u for u in [self.unit(low, 0, low.count("\n"), self.notices)] if u.can()]
+        return near + runs
 
 
 @dataclass
@@ -318,22 +321,24 @@ def scan_licences(docs: DataFrame, path_col: str = "path", text_col: str = "text
     docs = small_batches(docs).select(*[F.col(f"`{c}`") for c in docs.columns if c not in RESULT])
     matcher = Matcher(*term_counts(docs, text_col))
     keep = [c for c in docs.columns if not (drop_text and c == text_col)]
-    made = T.StructType([docs.schema[c] for c in keep] + [T.StructField("_own", T.StringType()), T.StructField("_cosine", T.DoubleType()), T.StructField("_file", T.BooleanType()), T.StructField("_dir", T.StringType()), T.StructField("_units", UNITS)])
+    # the other columns go along as one, so that no name of theirs can meet one of ours
+    whole = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("row"))
+    made = T.StructType([whole.schema["row"]] + [T.StructField("_own", T.StringType()), T.StructField("_cosine", T.DoubleType()), T.StructField("_file", T.BooleanType()), T.StructField("_dir", T.StringType()), T.StructField("_units", UNITS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, cosine, left = [], [], []
             for text, is_file in zip(batch.column("_in_text").to_pylist(), batch.column("_file").to_pylist(), strict=True):
-                least, near = matcher.scan(text or "", bool(is_file))
+                near = matcher.scan(text or "", bool(is_file))
                 later = any(u.others for u in near)
-                c, licence = decide([(u.cosine(0.0), u.licence, u.header, u.start, u.end) for u in near]) if near and not later else (least, None)
+                c, licence = decide([(u.cosine(0.0), u.licence, u.header, u.start, u.end) for u in near]) if near and not later else (None, None)
                 own.append(licence)
-                cosine.append(round(c, 6))
+                cosine.append(c if c is None else round(c, 6))
                 left.append([{"key": hashlib.md5(u.text.encode()).digest(), "licence": u.licence, "dot": u.dot, "own": u.own, "terms": list(u.others), "n": list(u.others.values()), "header": u.header, "start": u.start, "end": u.end} for u in near] if later else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(own, pa.string()), pa.array(cosine, pa.float64()), batch.column("_file"), batch.column("_dir"), pa.array(left, to_arrow_type(UNITS))], made.names)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(own, pa.string()), pa.array(cosine, pa.float64()), batch.column("_file"), batch.column("_dir"), pa.array(left, to_arrow_type(UNITS))], made.names)
 
     path = F.col(f"`{path_col}`")
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_in_text"), F.coalesce(path.rlike(licence_file), F.lit(False)).alias("_file"), F.regexp_replace(path, "/?[^/]*$", "").alias("_dir"))
+    given = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("_in_text"), F.coalesce(path.rlike(licence_file), F.lit(False)).alias("_file"), F.regexp_replace(path, "/?[^/]*$", "").alias("_dir"))
     scanned = stage(given.mapInArrow(run, made).withColumn("_row", F.monotonically_increasing_id()), "licence-scan")
     scanned = weighed(docs, text_col, scanned, matcher)
     licensed = scanned.where(F.col("_file") & F.col("_own").isNotNull() & F.col("_dir").isNotNull())
@@ -346,7 +351,7 @@ def scan_licences(docs: DataFrame, path_col: str = "path", text_col: str = "text
     out = scanned.join(nearest, "_dir", "left")
     owned = F.col("_own").isNotNull()
     return out.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *[F.col(f"row.`{c}`").alias(c) for c in keep],
         F.coalesce("_own", "near._given").alias("license"),
         F.col("_cosine").alias("cosine"),
         F.when(owned, "own").when(F.col("near").isNotNull(), "inherited").otherwise("none").alias("license_from"),
