@@ -2,6 +2,12 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that the one before it kept. All
 but the last return the columns of ``documents``; the last returns one row a document with its ids.
+
+Defined results: rows with a null or letterless text go in the first stage; nulls in other columns
+stay; rows with one id are one document and stay or go together where documents are judged by id
+(line dedup, near duplicates), otherwise each row by its text; rows without an id are never near
+duplicates; an empty table gives no rows at any stage; columns besides those of ``documents`` are left
+out; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -42,25 +48,25 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops repeated lines; documents of which nothing is left go."""
+    """Drops repeated lines; rows of which nothing but white space is left go."""
     kept = line_dedup.dedup_lines(docs.select(*COLUMNS))
     return kept.where(F.col("text").rlike(r"\S")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the smallest id. Rows without an id stay."""
+    """One document of each group of near copies stays: that of the smallest id, with all rows that have it. Rows without an id stay."""
     dropped = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that are contaminated by the benchmark."""
+    """Drops rows whose texts are contaminated by the benchmark; without items all stay."""
     found = decontamination.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return found.where(~F.col("contaminated")).select(*COLUMNS)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document, and whether they decode to its text."""
+    """The ids of every row, and whether they decode to its text."""
     return pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), results=("ids", "n_tokens", "ids_crc32", "n_differ", "round_trip"), keep=["doc_id", "lang", "source"])
 
 
