@@ -60,6 +60,13 @@ def test_language_stage_without_a_language_to_learn(spark, sf):
     assert sorted((r["doc_id"] or 0, r["text"], r["lang"]) for r in out.collect()) == [(0, "Wörter", None), (1, "words of a text", None), (held_out, "held out", "en")]
 
 
+def test_language_stage_rejects_what_is_in_no_language(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(90_001, "12 34 ½ !", "en", "s", 9), (90_002, None, None, "s", 0), (90_003, "", "en", "s", 0)]
+    out = corpus_pipeline.language_stage(spark, docs.select(*corpus_pipeline.COLUMNS).union(frame(spark, rows, SCHEMA)), sf)
+    assert {r["doc_id"] for r in docs.select("doc_id").collect()} == {r["doc_id"] for r in out.select("doc_id").collect()}
+
+
 def test_near_dup_stage_keeps_rows_without_an_id(spark, sf):
     rows = [(None, "words of a text", "en", None, 3), (None, "words of a text", "en", None, 3), (5, "words of a text", "en", "s", 9), (6, "words of a text", "en", "s", 9), (7, "quite another one", "en", "s", 9)]
     out = corpus_pipeline.near_dup_stage(spark, frame(spark, rows, SCHEMA), sf)
