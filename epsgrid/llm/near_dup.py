@@ -47,7 +47,7 @@ MISS = 1e-7
 #: Hashes compared at once.
 STEP = 40
 #: Classes and shingles of one block.
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 20
 #: Rows and bytes that a task gathers, at least, before it compares them.
 GATHER_ROWS, GATHER_BYTES = 4000, 16 << 20
 _WORDS_KEPT = 300_000
@@ -280,48 +280,52 @@ def _compare(rows: DataFrame, key: list[str], num: int, den: int, hashes: int) -
 
 
 def joined_in_groups(rows: DataFrame, num: int, den: int, hashes: int, label: str) -> DataFrame:
-    """Staged ``(u, v)`` that join the nodes of each group of the staged ``rows(grp, node, n, sig[, shingles])`` as all its pairs would."""
-    size = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES if "shingles" in rows.columns else F.lit(0))
-    sizes = stage(rows.groupBy("grp").agg(F.count("*").alias("rows"), F.min("node").alias("pivot"), F.ceil(size).cast("long").alias("parts")).where("rows > 1"), f"{label}-sizes")
-    placed = rows.join(sizes.select("grp", "pivot", "parts"), "grp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    payload = [c for c in rows.columns if c != "grp"]
+    """Staged ``(u, v)`` that join the nodes of each group as all its pairs would.
+
+    ``rows(grp, pivot, parts, node, n, sig[, shingles])`` are staged; ``pivot`` is a node of the group
+    and ``parts`` the number of its blocks.
+    """
+    placed = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    payload = [c for c in rows.columns if c not in ("grp", "pivot", "parts")]
     own = placed.select("grp", "part", *payload, F.lit(0).alias("side"))
-    large = sizes.where("parts > 1").count()
+    placed = placed.where("parts > 1")
+    large = not placed.isEmpty()
     if large:
-        everywhere = placed.where("parts > 1 and node = pivot").withColumn("to", F.explode(F.expr("sequence(0, parts - 1)"))).where("to <> part")
+        everywhere = placed.where("node = pivot").withColumn("to", F.explode(F.expr("sequence(0, parts - 1)"))).where("to <> part")
         own = own.union(everywhere.select("grp", F.col("to").alias("part"), *payload, F.lit(0).alias("side")))
     links = stage(_compare(own, ["grp", "part"], num, den, hashes), label)
     if not large:
         return links
-    placed = placed.where("parts > 1")
     inside = links.join(placed.select(F.col("node").alias("u")).distinct(), "u", "left_semi")
     roots = stage(connected_components(inside, merge_limit=0), f"{label}-roots")
-    labelled = placed.select("grp", "node", "parts", "part").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labelled = stage(labelled, f"{label}-labels")
-    major = labelled.groupBy("grp", "root").agg(F.count("*").alias("many")).groupBy("grp").agg(F.max(F.struct("many", "root")).alias("top")).select("grp", F.col("top.root").alias("major"))
-    minor = stage(labelled.join(major, "grp").where("root <> major").select("grp", "node", "parts").distinct(), f"{label}-minor")
+    labelled = placed.select("grp", "node", "parts").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = stage(labelled.distinct(), f"{label}-labels")
+    # only groups that are in several components are looked at again
+    major = labelled.groupBy("grp", "root").agg(F.count("*").alias("many")).groupBy("grp").agg(F.max(F.struct("many", "root")).alias("top"), F.count("*").alias("roots"))
+    major = major.where("roots > 1").select("grp", F.col("top.root").alias("major"))
+    minor = stage(labelled.join(major, "grp").where("root <> major").select("grp", "node", "parts"), f"{label}-minor")
     columns = minor.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("columns"))
     column = F.pmod(F.xxhash64("node", F.lit("column")), F.col("columns"))
-    apart = rows.join(minor.join(columns, "grp"), ["grp", "node"]).withColumn("column", column).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+    apart = rows.drop("parts").join(minor.join(columns, "grp"), ["grp", "node"]).withColumn("column", column).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
     blocks = placed.join(columns, "grp").withColumn("column", F.explode(F.expr("sequence(0, columns - 1)")))
     both = blocks.select("grp", "part", "column", *payload, F.lit(0).alias("side")).union(apart.select("grp", "part", "column", *payload, F.lit(1).alias("side")))
     return stage(links.union(_compare(both, ["grp", "part", "column"], num, den, hashes)), f"{label}-all")
 
 
 def candidate_sets(docs: DataFrame, groups: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
-    """``(grp, node, n, sig, shingles)`` of each class in the candidate components ``groups(id, root)``."""
+    """``(grp, pivot, parts, node, n, sig, shingles)`` of each class in the candidate components ``groups(id, root, pivot, parts)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(rows, bands)
         for batch in batches:
-            made = [shingle_set(x.as_py(), k) for x in batch.column(2)]
+            made = [shingle_set(x.as_py(), k) for x in batch.column(4)]
             columns = [pa.array([len(x) for x in made], pa.int64()), pa.array([short(hasher.minima(x)) for x in made], pa.binary()), pa.array([x.tobytes() for x in made], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["grp", "node", "n", "sig", "shingles"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], ["grp", "pivot", "parts", "node", "n", "sig", "shingles"])
         _WORDS.clear()
         release()
 
-    chosen = docs.join(groups, docs["doc_id"] == groups["id"]).select("root", "doc_id", "text")
-    return chosen.mapInArrow(run, "grp long, node long, n long, sig binary, shingles binary").where("n > 0")
+    chosen = docs.join(groups, docs["doc_id"] == groups["id"]).select("root", "pivot", "parts", "doc_id", "text")
+    return chosen.mapInArrow(run, "grp long, pivot long, parts long, node long, n long, sig binary, shingles binary").where("n > 0")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: tuple[int, int] = (80, 100), rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -342,17 +346,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = stage(nodes.select("node", "n", "keys", "sig"), "class-signatures")
     spread = nodes.select("node", F.explode("keys").alias("band"))
     buckets = spread.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("mark")).where("size > 1")
-    buckets = buckets.groupBy("size", "low", "mark").agg(F.min("band").alias("grp"))
-    members = nodes.select("node", "n", "sig", F.explode("keys").alias("grp")).join(buckets.select("grp"), "grp").select("grp", "node", "n", "sig")
+    buckets = buckets.groupBy("size", "low", "mark").agg(F.min("band").alias("band"))
+    buckets = buckets.select("band", F.col("low").alias("pivot"), F.ceil(F.col("size") / BLOCK_ROWS).cast("long").alias("parts"))
+    members = stage(spread.join(buckets, "band").select(F.col("band").alias("grp"), "pivot", "parts", "node"), "members")
     # written, so that no task runs two Python workers at once
-    members = stage(members, "buckets")
+    members = stage(members.join(nodes.select("node", "n", "sig"), "node").select("grp", "pivot", "parts", "node", "n", "sig"), "buckets")
     pairs = joined_in_groups(members, num, den, rows * bands, "pairs")
     candidates = stage(connected_components(pairs, merge_limit=0), "candidates")
-    unstage(nodes, members, pairs)
-    sets = candidate_sets(docs, candidates, words, rows, bands)
+    sized = candidates.join(nodes.select(F.col("node").alias("id"), "n"), "id")
+    size = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)
+    groups = candidates.join(sized.groupBy("root").agg(F.ceil(size).cast("long").alias("parts")), "root")
+    groups = stage(groups.select("id", "root", F.col("root").alias("pivot"), "parts"), "groups")
+    unstage(nodes, members, pairs, candidates)
+    sets = candidate_sets(docs, groups, words, rows, bands)
     sets = stage(sets.distinct() if repeated else sets, "candidate-sets")
     links = joined_in_groups(sets, num, den, rows * bands, "links")
-    unstage(sets, candidates)
+    unstage(sets, groups)
     roots = stage(connected_components(links.union(same_id), merge_limit=0), "components")
     unstage(links)
     found = owners.select("doc_id", "node").join(roots.select(F.col("id").alias("node"), "root"), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
