@@ -38,6 +38,8 @@ LEVEL = 15
 #: Rows from which the compression dictionary is trained, and its size.
 DICTIONARY_ROWS, DICTIONARY_BYTES = 1600, 1 << 19
 RATE = 8000
+#: Slots of digests that are counted first.
+SLOTS = 4 * HOT_KEYS
 _GEAR = np.random.default_rng(5).integers(0, 1 << 32, 256, np.uint64).astype(np.uint32)
 
 
@@ -165,9 +167,15 @@ def feature(payload: bytes) -> str:
 
 def hot_digests(store: Store) -> list[int]:
     """Hashes of the digests that more than one of HOT_KEYS equal shares of all lists' entries are, HOT_KEYS at most."""
-    counts = store.recipes.select(F.explode("digests").alias("digest")).groupBy(F.xxhash64("digest").alias("h")).agg(F.count("*").alias("n"))
+    entries = store.recipes.select(F.explode("digests").alias("digest")).select(F.xxhash64("digest").alias("h"))
     total = store.recipes.agg(F.sum(F.size("digests")).alias("n")).first()["n"] or 0
-    return [r["h"] for r in counts.where(F.col("n") > max(HOT_ROWS, total // HOT_KEYS)).collect()]
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    # digests are counted one by one only in the slots that hold enough entries for one of them to be hot
+    slot = F.pmod("h", F.lit(SLOTS))
+    slots = [r["slot"] for r in entries.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).where(F.col("n") > limit).collect()]
+    if not slots:
+        return []
+    return [r["h"] for r in entries.where(slot.isin(slots)).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > limit).collect()]
 
 
 def assemble(store: Store) -> DataFrame:
