@@ -228,7 +228,8 @@ def contained(texts: DataFrame, benchmark: DataFrame, item_col: str = "item_id",
     words = F.split("around", " ")
     near = seen.join(places, "key").where(F.col("offset") <= F.col("before")).withColumn("first", F.col("before") - F.col("offset"))
     near = near.where(F.col("first") + F.col("len") <= F.size(words))
-    near = near.select("a", "b", "at", "offset", "len", F.array_join(F.slice(words, F.col("first") + 1, F.col("len")), " ").alias("w"))
+    # the optimiser may spell w before the filters above are met, where first can be -1 and slice would raise
+    near = near.select("a", "b", "at", "offset", "len", F.array_join(F.slice(words, F.greatest(F.col("first") + 1, F.lit(1)), F.col("len")), " ").alias("w"))
     hits = stage(near.join(prefix.select("w", "len"), ["w", "len"]).select("a", "b", "w", "len", F.transform("at", lambda p: p - F.col("offset")).alias("starts")), "window-hits")
     spans = hits.select("a", "b", F.explode("starts").alias("start"), F.col("len").cast("long").alias("len")).distinct().withColumn("end", F.col("start") + F.col("len"))
     earlier = F.max("end").over(Over.partitionBy("a", "b").orderBy("start", "end").rowsBetween(Over.unboundedPreceding, -1))

@@ -219,6 +219,21 @@ def test_hits_by_brute_force(spark, sf, documents, bits, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == brute_hits(rows, [x for x in items if x[0] is not None])
 
 
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_texts_that_begin_inside_a_window(spark, broadcast):
+    """The rarest shingle stands nearer to the text's begin than to the window's, by one word and by more."""
+    words = [f"w{i}" for i in range(13)]
+    texts = [" ".join(words)] + [" ".join(words[i:] + ["x", "y"]) for i in range(1, 11)] + [" ".join(words[:11])] * 12
+    rows = list(enumerate(texts))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = D.decontaminate(frame(spark, rows), frame(spark, [(1, texts[0])], "item_id long, text string"), drop_text=True).select("doc_id", "n_words", "n_hit", "n_items", "items", "contaminated")
+        assert sorted(tuple(r) for r in got.collect()) == brute_hits(rows, [(1, texts[0])])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_words_by_piece(monkeypatch):
     monkeypatch.setattr(D, "PIECE", 64)
     rng = np.random.default_rng(3)
