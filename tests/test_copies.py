@@ -15,7 +15,7 @@ from tests.test_entry import rows
 
 SF, TIMES = "/root/testdata/sf0.001", 12
 #: By query: the most rows a staged table may have, as a multiple of the table's rows.
-STAGED = {"degree": 0.5, "border_last": 0.5, "clusters_last_rule": 0.9}
+STAGED = {"degree": 0.5, "border_last": 0.5, "clusters_last_rule": 0.9, "clusters_part_grid": 0.9}
 
 
 @pytest.fixture(scope="module")
