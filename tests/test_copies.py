@@ -15,7 +15,7 @@ from tests.test_entry import rows
 
 SF, TIMES = "/root/testdata/sf0.001", 12
 #: By query: the most rows a staged table may have, as a multiple of the table's rows.
-STAGED = {"degree": 0.5, "border_last": 0.5, "clusters_last_rule": 0.9, "clusters_part_grid": 0.9}
+STAGED = {"degree": 0.5, "border_last": 0.5, "clusters_last_rule": 0.9, "clusters_part_grid": 0.9, "clusters_part_brute": 0.9}
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +48,9 @@ def test_neighbors_of_copies_by_lists(spark, monkeypatch, strategy):
     edges = N.neighbors(table, 1.0, strategy)
     assert sorted(map(tuple, edges.collect())) == want
     assert strategy == "brute" or "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()  # of what explode has made nine of
+
+
+def test_brute_beyond_its_limit_gives_the_same_rows(spark, monkeypatch):
+    monkeypatch.setattr(N, "BRUTE_POINTS", 5)
+    table = spark.createDataFrame([(i, i * 0.5, 0.0) for i in range(30)], "id long, x float, y float")
+    assert sorted(map(tuple, N.neighbors(table, 1.0, "brute").collect())) == sorted(map(tuple, N.neighbors(table, 1.0).collect()))
