@@ -16,6 +16,13 @@ FINITE = "x is not null and y is not null and not isnan(x) and not isnan(y) and
 
 #: The one predicate by which a line is a point; its columns are those of ``_read``.
 POINT = f"n = 3 and id is not null and {FINITE}"
+#: A line's place in the file or folder, of ``_lines``.
+_ORDER = ["file", "split", "at"]
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(value, file, split, at)``. Tasks are given splits by size, so row numbers follow the lines only inside a split."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
 
 
 def _read(lines: DataFrame, value: str, double_precision: bool) -> DataFrame:
@@ -42,14 +49,13 @@ def read_points(spark: SparkSession, path: str, double_precision: bool = False,
 
     With ``by_row`` the ids in the file are ignored: a point's id is its place among the points, from 0.
     """
-    lines = spark.read.text(path)
+    lines = _lines(spark, path)
     points = parse_lines(lines, double_precision=double_precision)
     if by_row:
-        rows = lines.withColumn("at", F.monotonically_increasing_id())
-        rows = rows.select("at", F.expr("split(trim(value), '\\\\s+')").alias("p")).where(F.size("p") == 3)
+        rows = lines.select(*_ORDER, F.expr("split(trim(value), '\\\\s+')").alias("p")).where(F.size("p") == 3)
         kind = "double" if double_precision else "float"
-        rows = rows.select("at", F.expr(f"try_cast(p[1] as {kind})").alias("x"), F.expr(f"try_cast(p[2] as {kind})").alias("y")).where(FINITE)
-        points = prefix_sums(rows.withColumn("one", F.lit(1).cast("long")), ["at"], "one", "id").select("id", "x", "y")
+        rows = rows.select(*_ORDER, F.expr(f"try_cast(p[1] as {kind})").alias("x"), F.expr(f"try_cast(p[2] as {kind})").alias("y")).where(FINITE)
+        points = prefix_sums(rows.withColumn("one", F.lit(1).cast("long")), _ORDER, "one", "id").select("id", "x", "y")
     if strict_count:
         said = lines.where(F.size(F.split(F.trim("value"), r"\s+")) == 1).select(F.expr("try_cast(trim(value) as bigint)").alias("n")).where("n is not null").first()
         found = points.count()
@@ -60,9 +66,9 @@ def read_points(spark: SparkSession, path: str, double_precision: bool = False,
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """One label a line, in id order: ``(line, cluster_id)``."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.trim("value").cast("bigint").alias("cluster_id"))
+    rows = _lines(spark, path).select(*_ORDER, F.trim("value").cast("bigint").alias("cluster_id"))
     rows = rows.where("cluster_id is not null").withColumn("one", F.lit(1).cast("long"))
-    return prefix_sums(rows, ["at"], "one", "line").select("line", "cluster_id")
+    return prefix_sums(rows, _ORDER, "one", "line").select("line", "cluster_id")
 
 
 def from_dataframe(df: DataFrame, id_col: str | Column, x: str | Column, y: str | Column, double_precision: bool = False, on_bad: str = "drop", on_duplicate: str = "ignore") -> DataFrame:

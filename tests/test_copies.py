@@ -54,3 +54,14 @@ def test_brute_beyond_its_limit_gives_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr(N, "BRUTE_POINTS", 5)
     table = spark.createDataFrame([(i, i * 0.5, 0.0) for i in range(30)], "id long, x float, y float")
     assert sorted(map(tuple, N.neighbors(table, 1.0, "brute").collect())) == sorted(map(tuple, N.neighbors(table, 1.0).collect()))
+
+
+def test_lines_follow_the_parts_of_a_folder(spark, tmp_path):
+    at = 0
+    for part, n in enumerate((1, 40, 3, 200)):
+        (tmp_path / f"part-0000{part}").write_text("".join(f"{i} {i} 0\n" for i in range(at, at + n)))
+        (tmp_path / "labels").mkdir(exist_ok=True)
+        (tmp_path / "labels" / f"part-0000{part}").write_text("".join(f"{i}\n" for i in range(at, at + n)))
+        at += n
+    assert all(r["id"] == r["x"] for r in read_points(spark, f"{tmp_path}/part-*", by_row=True).collect())
+    assert all(r["line"] == r["cluster_id"] for r in read_labels(spark, f"{tmp_path}/labels").collect())
