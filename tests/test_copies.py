@@ -39,7 +39,7 @@ def test_no_pair_of_points_is_written(spark, copies, name):
     assert most <= STAGED[name] * n, table
 
 
-@pytest.mark.parametrize("strategy", ["grid", "l1_band", "brute"])
+@pytest.mark.parametrize("strategy", ["grid", "kd_tree", "l1_band", "brute"])
 def test_neighbors_of_copies_by_lists(spark, monkeypatch, strategy):
     monkeypatch.setattr(P, "MEMBERS", 2)
     table = spark.createDataFrame([(i, float(i % 4), float(i % 3)) for i in range(60)], "id long, x float, y float")
