@@ -15,7 +15,7 @@ from tests.test_entry import rows
 
 SF, TIMES = "/root/testdata/sf0.001", 12
 #: By query: the most rows a staged table may have, as a multiple of the table's rows.
-STAGED = {"degree": 0.5, "border_last": 0.5, "clusters_last_rule": 0.9, "clusters_part_grid": 0.9, "clusters_part_brute": 0.9, "clusters_part_cells": 0.5, "clusters_part": 0.5, "clusters_part_l1_band": 0.9, "components": 0.5, "core_points": 0.5, "foreign_ends": 0, "components_by_stars": 0.5, "csr_offsets": 1, "border_first": 0.5, "cluster_numbering": 0.5, "edge_total": 0.5, "csr_view": 1, "core_edges": 0.5}
+STAGED = {"degree": 0.5, "border_last": 0.5, "clusters_last_rule": 0.9, "clusters_part_grid": 0.9, "clusters_part_brute": 0.9, "clusters_part_cells": 0.5, "clusters_part": 0.5, "clusters_part_l1_band": 0.9, "components": 0.5, "core_points": 0.5, "foreign_ends": 0, "components_by_stars": 0.5, "csr_offsets": 1, "border_first": 0.5, "cluster_numbering": 0.5, "edge_total": 0.5, "csr_view": 1, "core_edges": 0.5, "adjacency_lists": 0.5}
 
 
 @pytest.fixture(scope="module")
