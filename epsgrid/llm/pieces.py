@@ -7,7 +7,9 @@ is looked up in the model), so a text may be cut before each run of markers: eve
 segment is encoded once, in multithreaded batches, and held against the sentencepiece library.
 Models with other pieces are encoded by whole texts. The ids are always those of the rebuilt
 tokenizer; segments (or texts) for which the other library has other ids, or where it can't be asked
-for a segment alone, are counted in ``n_differ``. Ids are decoded by the rebuilt decoder.
+for a segment alone, are counted in ``n_differ``. Ids are decoded by the rebuilt decoder,
+which is asked for each piece, and for each distinct run of fallback bytes, once: only such runs
+decode otherwise than piece by piece.
 
 Defined results: null counts as empty; an empty text has no ids and decodes to an empty text; the
 marker itself in a text decodes to a space, as the format has it, and ``round_trip`` is false;
@@ -34,15 +36,18 @@ from pyspark.sql import types as T
 from epsgrid.llm.common import release, small_batches, table
 
 MARK = "▁"
-#: Distinct segments whose ids a worker remembers.
+#: Distinct segments whose ids, and runs of fallback bytes whose texts, a worker remembers.
 KEPT = 400_000
 #: Segments that go to the libraries in one call.
 LEARN_AT_ONCE = 4000
+#: Segments of one marker that are encoded as one text and parted again by their markers.
+JOINED = 64
 #: Threads of the tokenizers library in each worker, unless the environment says otherwise.
 THREADS = "2"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_ONE = re.compile(f"{MARK}[^{MARK}]+")
 _LOADED: dict[str, PieceEncoder] = {}
 
 
@@ -155,7 +160,7 @@ class PieceEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import normalizers
+        from tokenizers import decoders, normalizers
 
         with open(path, "rb") as file:
             self.model = PieceModel.parse(file.read())
@@ -164,9 +169,18 @@ class PieceEncoder:
         self.normalizer = self.whole.normalizer
         self.bare = self.model.tokenizer()
         self.bare.normalizer = normalizers.Sequence([])
+        self.bare.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.by_segment = self.model.by_segment()
         self.plain = not self.model.charsmap and not self.model.remove_spaces
-        self.known: dict[str, tuple[bytes, bool]] = {}
+        self.known: dict[str, bytes] = {}
+        #: Those of the known segments that the libraries encode differently.
+        self.differ: set[str] = set()
+        pieces = self.model.pieces
+        self.begins = np.asarray([p.startswith(MARK) for p in pieces], bool)
+        #: By id: whether the decoder takes the piece for a byte; the texts of the others, and of the runs of bytes met so far.
+        self.byte = np.asarray([len(p.encode()) == 6 and p.startswith("<0x") and p.endswith(">") for p in pieces], bool)
+        self.texts = self.bare.decode_batch([[i] for i in range(len(pieces))], skip_special_tokens=False)
+        self.runs: dict[bytes, str] = {}
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
@@ -195,14 +209,29 @@ class PieceEncoder:
         made = self.other.encode("\n" + segment.replace(MARK, " "))
         return made[len(lead) :] if made[: len(lead)] == lead else None
 
-    def _learn(self, segments: list[str]) -> dict[str, tuple[bytes, bool]]:
-        out = {}
+    def _ids(self, segments: list[str]) -> list[list[int]]:
+        """The rebuilt tokenizer's ids of normalised segments."""
+
+        def ids(texts: list[str]) -> list[list[int]]:
+            return [e.ids for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)]
+
+        # no merge reaches over a marker, so byte-pair ids of joined segments are those of each
+        one = [s for s in segments if _ONE.fullmatch(s)] if self.model.model_type == BPE else []
+        flat = list(itertools.chain.from_iterable(ids(["".join(one[i : i + JOINED]) for i in range(0, len(one), JOINED)])))
+        cuts = np.flatnonzero(self.begins[np.asarray(flat, np.int64)]).tolist()
+        found = dict(zip(one, (flat[a:b] for a, b in itertools.pairwise([*cuts, len(flat)])), strict=True)) if len(cuts) == len(one) else {}
+        rest = [s for s in segments if s not in found]
+        found.update(zip(rest, ids(rest), strict=True))
+        return [found[s] for s in segments]
+
+    def _learn(self, segments: list[str]) -> None:
         for i in range(0, len(segments), LEARN_AT_ONCE):
             some = segments[i : i + LEARN_AT_ONCE]
-            made = [e.ids for e in self.bare.encode_batch_fast(some, add_special_tokens=False)]
-            for s, ids, other in zip(some, made, self._other_ids(some), strict=True):
-                out[s] = np.asarray(ids, "<u4").tobytes(), ids == other
-        return out
+            made = self._ids(some)
+            data = np.fromiter(itertools.chain.from_iterable(made), "<u4").tobytes()
+            ends = itertools.accumulate((4 * len(ids) for ids in made), initial=0)
+            self.known.update(zip(some, [data[a:b] for a, b in itertools.pairwise(ends)], strict=True))
+            self.differ.update(s for s, ids, other in zip(some, made, self._other_ids(some), strict=True) if ids != other)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, int]]:
         """Little-endian ids of each text and how many of its segments the libraries encode differently."""
@@ -212,21 +241,39 @@ class PieceEncoder:
             return [(np.asarray(a.ids, "<u4").tobytes(), int(a.ids != b)) for a, b in zip(made, other, strict=True)]
         split = [_SEGMENT.findall(self._normal(x)) for x in texts]
         new = list(set(itertools.chain.from_iterable(split)) - self.known.keys())
-        fresh = self._learn(new) if new else {}
-        if len(self.known) + len(fresh) > KEPT:
-            known = {s: self.known[s] for s in set(itertools.chain.from_iterable(split)) if s in self.known} | fresh
-        else:
-            self.known.update(fresh)
-            known = self.known
-        out = []
-        for words in split:
-            found = list(map(known.__getitem__, words))
-            out.append((b"".join([ids for ids, _ in found]), sum(not same for _, same in found)))
+        self._learn(new)
+        out = [(b"".join(map(self.known.__getitem__, words)), sum(w in self.differ for w in words) if self.differ else 0) for words in split]
+        if len(self.known) > KEPT:
+            _forget(self.known, new)
+            self.differ.difference_update(new)
         return out
 
     def decode(self, documents: list[np.ndarray]) -> list[str]:
         """Texts of the ids: pieces and fallback bytes joined, markers as spaces, without the prefix."""
-        return self.whole.decode_batch([ids.tolist() for ids in documents], skip_special_tokens=False)
+        out = [self._text(ids) for ids in documents]
+        if len(self.runs) > KEPT:
+            self.runs.clear()
+        return [x.removeprefix(" ") for x in out] if self.model.dummy_prefix else out
+
+    def _text(self, ids: np.ndarray) -> str:
+        byte = self.byte[ids]
+        if not byte.any():
+            return "".join(map(self.texts.__getitem__, ids.tolist()))
+        out = []
+        for a, b in itertools.pairwise([0, *(np.flatnonzero(byte[1:] != byte[:-1]) + 1).tolist(), len(ids)]):
+            if not byte[a]:
+                out.extend(map(self.texts.__getitem__, ids[a:b].tolist()))
+                continue
+            run = ids[a:b].tobytes()
+            if run not in self.runs:
+                self.runs[run] = self.bare.decode(ids[a:b].tolist(), skip_special_tokens=False)
+            out.append(self.runs[run])
+        return "".join(out)
+
+
+def _forget(known: dict, keys: list) -> None:
+    for key in keys:
+        del known[key]
 
 
 RESULT = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("n_differ", T.LongType()), T.StructField("decoded", T.StringType()), T.StructField("round_trip", T.BooleanType())])

@@ -234,6 +234,44 @@ def test_pieces_equal_the_other_library(spark, documents):
     assert P.encode_documents(frame(spark, rows).limit(0), PIECES).count() == 0
 
 
+def test_pieces_and_runs_of_bytes_are_decoded_once(documents, monkeypatch):
+    """Any ids decode as the whole sequence does; the decoder is not asked for every text anew."""
+    rng = np.random.default_rng(8)
+    encoder = P.PieceEncoder(PIECES)
+    n = len(encoder.model.pieces)
+    texts = [t or "" for _, t in documents] + ODD
+    sequences = [np.frombuffer(x, "<u4") for x, _ in encoder.encode(texts)]
+    sequences += [rng.integers(0, top, size).astype("<u4") for top in (n, 400) for size in range(40)]
+    want = encoder.whole.decode_batch([x.tolist() for x in sequences], skip_special_tokens=False)
+    assert encoder.decode(sequences) == want
+    met = len(encoder.runs)
+    assert encoder.decode(sequences[::-1]) == want[::-1]
+    assert 0 < len(encoder.runs) == met < len(sequences) * 20
+    monkeypatch.setattr(P, "KEPT", 5)
+    fresh = P.PieceEncoder(PIECES)
+    assert [x for s in range(0, len(sequences), 7) for x in fresh.decode(sequences[s : s + 7])] == want
+    assert [x for t in texts[:60] + ODD for x in fresh.encode([t])] == encoder.encode(texts[:60] + ODD)
+    assert len(fresh.runs) <= 5 and len(fresh.known) <= 5
+
+
+def test_joined_segments_have_the_ids_of_each(documents):
+    encoder = P.PieceEncoder(PIECES)
+    segments = sorted({s for t in [t or "" for _, t in documents] + ODD for s in P._SEGMENT.findall(encoder._normal(t))})
+    calls, alone = [], [encoder.bare.encode(s, add_special_tokens=False).ids for s in segments]
+    library = encoder.bare.encode_batch_fast
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            calls.extend(texts)
+            return library(texts, **more)
+
+    encoder.bare = Counted()
+    assert encoder._ids(segments) == alone
+    assert len(calls) < len(segments) / 10
+    encoder.begins[:] = False  # segments that can't be told apart again go one by one
+    assert encoder._ids(segments) == alone
+
+
 def _message(*fields):
     def number(n):
         out = b""
