@@ -50,6 +50,8 @@ STEP = 40
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 20
 #: Rows and bytes that a task gathers, at least, before it compares them.
 GATHER_ROWS, GATHER_BYTES = 4000, 16 << 20
+#: Forest rows that one task merges (16 bytes a row, as many as every task's buffer); more go through star rounds.
+MERGED = 1_000_000
 _WORDS_KEPT = 300_000
 _WORDS: dict[bytes, int] = {}
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -297,7 +299,7 @@ def joined_in_groups(rows: DataFrame, num: int, den: int, hashes: int, label: st
     if not large:
         return links
     inside = links.join(placed.select(F.col("node").alias("u")).distinct(), "u", "left_semi")
-    roots = stage(connected_components(inside, merge_limit=0), f"{label}-roots")
+    roots = stage(connected_components(inside, merge_limit=MERGED), f"{label}-roots")
     labelled = placed.select("grp", "node", "parts").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = stage(labelled.distinct(), f"{label}-labels")
     # only groups that are in several components are looked at again
@@ -352,7 +354,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # written, so that no task runs two Python workers at once
     members = stage(members.join(nodes.select("node", "n", "sig"), "node").select("grp", "pivot", "parts", "node", "n", "sig"), "buckets")
     pairs = joined_in_groups(members, num, den, rows * bands, "pairs")
-    candidates = stage(connected_components(pairs, merge_limit=0), "candidates")
+    candidates = stage(connected_components(pairs, merge_limit=MERGED), "candidates")
     sized = candidates.join(nodes.select(F.col("node").alias("id"), "n"), "id")
     size = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)
     groups = candidates.join(sized.groupBy("root").agg(F.ceil(size).cast("long").alias("parts")), "root")
@@ -362,7 +364,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stage(sets.distinct() if repeated else sets, "candidate-sets")
     links = joined_in_groups(sets, num, den, rows * bands, "links")
     unstage(sets, groups)
-    roots = stage(connected_components(links.union(same_id), merge_limit=0), "components")
+    roots = stage(connected_components(links.union(same_id), merge_limit=MERGED), "components")
     unstage(links)
     found = owners.select("doc_id", "node").join(roots.select(F.col("id").alias("node"), "root"), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     known = every.where("doc_id is not null").select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")

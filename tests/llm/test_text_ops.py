@@ -16,6 +16,7 @@ from epsgrid.llm import decontaminate as D
 from epsgrid.llm import licences as C
 from epsgrid.llm import line_dedup as L
 from epsgrid.llm import near_dup as N
+from epsgrid.operators import components as M
 from tests.llm.conftest import frame
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -152,6 +153,18 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch, most):
     assert sorted(tuple(r) for r in got.collect()) == brute_components(rows, 3, 85, 100)
 
 
+@pytest.mark.parametrize("merged", [0, N.MERGED])
+def test_rounds_are_for_large_forests_only(spark, documents, monkeypatch, merged):
+    rounds, stars = [], M._star_rounds
+    monkeypatch.setattr(M, "_star_rounds", lambda edges: rounds.append(1) or stars(edges))
+    monkeypatch.setattr(N, "MERGED", merged)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 10)
+    rows = documents[:300] + [(10_000 + i, " ".join(f"w{j}" for j in range(60 + i % 40))) for i in range(80)]
+    got = N.near_duplicates(frame(spark, rows), words=3, threshold=(85, 100))
+    assert sorted(tuple(r) for r in got.collect()) == brute_components(rows, 3, 85, 100)
+    assert bool(rounds) == (merged == 0)
+
+
 def test_links_are_verified_as_all_pairs_would_be():
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.choice(60, 50)).astype(np.uint64) for _ in range(60)]
