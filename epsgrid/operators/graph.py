@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epsgrid.functions.scalars import cell
-from epsgrid.operators.neighbors import grid_pairs, grid_width, pairs_between
-from epsgrid.operators.places import at_points, members, places
+from epsgrid.operators.neighbors import grid_pairs, grid_width, near_lists, pairs_between
+from epsgrid.operators.places import at_points, places
 from epsgrid.operators.prefix import prefix_sums
 from epsgrid.operators.skew import dealt
 
@@ -43,24 +43,39 @@ def radius_start_positions(points: DataFrame, eps: float) -> DataFrame:
     return prefix_sums(radius_degrees(points, eps), ["id"], "num_nbs", "start_pos")
 
 
-def _place_lists(points: DataFrame, eps: float) -> DataFrame:
-    """``(x, y, near)``: the ascending ids of all points within eps of a place, its own included."""
-    u = places(points).select(F.col("id").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"))
-    near = grid_pairs(u, members(points, "v"), eps, itself=True)
-    return near.groupBy(F.col("ux").alias("x"), F.col("uy").alias("y")).agg(F.array_sort(F.flatten(F.collect_list("v"))).alias("near"))
+#: Ids in a piece of a list's text.
+PIECE = 64
 
 
-def radius_adjacency(points: DataFrame, eps: float) -> DataFrame:
+def _at_each(lists: DataFrame, text: bool) -> DataFrame:
+    """The points of ``near_lists`` with their other columns, ``num_nbs`` and ``neighbours``, which leave out the point.
+
+    As ``text`` a list is ids joined by commas: written once a place, in pieces, of which a point rewrites the one that it is in.
+    """
+    if not text:
+        each = lists.select(F.explode("u").alias("u"), "near").select("u.*", "near")
+        each = each.withColumn("neighbours", F.array_remove("near", F.col("id"))).drop("near")
+        return each.withColumn("num_nbs", F.size("neighbours").cast("long"))
+    join = lambda ids: F.array_join(ids.cast("array<string>"), ",")
+    part = lambda i: F.slice("near", i, PIECE)
+    pieces = F.transform(F.sequence(F.lit(1), F.size("near"), F.lit(PIECE)), lambda i: F.struct(F.element_at(part(i), 1).alias("low"), F.element_at(part(i), -1).alias("high"), join(part(i)).alias("text")))
+    each = lists.select("u", F.size("near").alias("n"), pieces.alias("pieces")).select(F.explode("u").alias("u"), "n", "pieces").select("u.*", "n", "pieces")
+    rest = lambda p: F.array_remove(F.split(p["text"], ","), F.col("id").cast("string"))
+    own = lambda p: F.when((p["low"] > F.col("id")) | (p["high"] < F.col("id")), p["text"]).when(F.size(rest(p)) > 0, F.array_join(rest(p), ","))
+    each = each.withColumn("neighbours", F.array_join(F.transform("pieces", own), ",")).drop("pieces")
+    return each.withColumn("num_nbs", (F.col("n") - 1).cast("long")).drop("n")
+
+
+def radius_adjacency(points: DataFrame, eps: float, text: bool = False) -> DataFrame:
     """As ``adjacency`` of the radius graph: each place's list is built once, and a point leaves itself out."""
-    out = at_points(points, _place_lists(points, eps)).select("id", F.array_remove("near", F.col("id")).alias("neighbours"))
-    return out.select("id", F.size("neighbours").cast("long").alias("num_nbs"), "neighbours")
+    return _at_each(near_lists(points, eps), text).select("id", "num_nbs", "neighbours")
 
 
-def radius_csr(points: DataFrame, eps: float) -> DataFrame:
+def radius_csr(points: DataFrame, eps: float, text: bool = False) -> DataFrame:
     """As ``csr`` of the radius graph; positions come first, so that no point's list is moved for them."""
     counted = at_points(points, place_degrees(places(points), eps)).select("id", "x", "y", "num_nbs")
     placed = prefix_sums(counted, ["id"], "num_nbs", "start_pos")
-    return at_points(placed, _place_lists(points, eps)).select("id", "num_nbs", "start_pos", F.array_remove("near", F.col("id")).alias("neighbours"))
+    return _at_each(near_lists(placed, eps, "start_pos"), text).select("id", "num_nbs", "start_pos", "neighbours")
 
 
 def radius_foreign_ends(points: DataFrame, known: DataFrame, eps: float) -> DataFrame:

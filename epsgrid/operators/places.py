@@ -22,9 +22,9 @@ def places(points: DataFrame) -> DataFrame:
     return stage(points.groupBy("x", "y").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "x", "y", "n"), "places")
 
 
-def members(points: DataFrame, a: str) -> DataFrame:
-    """``(a, ax, ay)``: the ids of each place in ``a``, at most MEMBERS a row."""
-    lists = points.groupBy("x", "y").agg(F.collect_list("id").alias("ids"))
+def members(points: DataFrame, a: str, *fields: str) -> DataFrame:
+    """``(a, ax, ay)``: the ids of each place in ``a``, at most MEMBERS a row; with ``fields``, structs of those columns."""
+    lists = points.groupBy("x", "y").agg(F.collect_list(F.struct(*fields) if fields else F.col("id")).alias("ids"))
     start = F.explode(F.sequence(F.lit(1), F.size("ids"), F.lit(MEMBERS)))
     return lists.select("x", "y", "ids", start.alias("_from")).select(F.slice("ids", F.col("_from"), MEMBERS).alias(a), F.col("x").alias(f"{a}x"), F.col("y").alias(f"{a}y"))
 

@@ -24,6 +24,8 @@ _TABLES: dict[str, str] = {}
 #: Shuffle files of a finished staging write are of no further use.
 _STAGING_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
+_CODEC = "spark.sql.parquet.compression.codec"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
@@ -51,6 +53,16 @@ def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def far_copies(spark: SparkSession) -> None:
+    """Parquet that the session writes is zstd from now on, unless the session names a codec.
+
+    For results whose rows repeat what stands more than 64 KB before them, which is as far as snappy,
+    the default, looks back. It stays, since a result is written after its query has returned.
+    """
+    if spark.conf.get(_CODEC, None) is None:
+        spark.conf.set(_CODEC, "zstd")
+
+
 def place(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, deleted by ``clear``."""
     _STAGED.append(f"{shared_dir(spark)}/epsgrid-{label}-{uuid.uuid4().hex[:12]}")

@@ -3,10 +3,12 @@
 import os
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__  # noqa: F401
 from epsgrid import staging
+from epsgrid.operators import graph as G
 from epsgrid.operators import neighbors as N
 from epsgrid.operators import places as P
 from epsgrid.plans.catalogue import QUERIES, SQL
@@ -50,6 +52,48 @@ def test_neighbors_of_copies_by_lists(spark, monkeypatch, strategy):
     assert strategy == "brute" or "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()  # of what explode has made nine of
 
 
+CODEC = "spark.sql.parquet.compression.codec"
+#: By query: points of one place, and the most bytes of the written result.
+WRITTEN = {"csr_view": (2000, 1_000_000)}
+
+
+@pytest.mark.parametrize("name", WRITTEN)
+def test_lists_of_one_place_are_written_once(spark, tmp_path, name):
+    n, most = WRITTEN[name]
+    db = duckdb.connect()
+    for table, row in (("customer", f"SELECT CAST(i AS BIGINT) AS c_custkey, 1.5::DOUBLE AS c_acctbal, 3 AS c_nationkey FROM range({n}) t(i)"), ("events", f"SELECT CAST(i AS BIGINT) AS event_id, TIMESTAMP '2024-01-02 03:04:05' AS ts, 1.5::DOUBLE AS value FROM range({n}) t(i)")):
+        db.sql(f"COPY ({row}) TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
+    before = spark.conf.get(CODEC, None)
+    spark.conf.unset(CODEC)
+    try:
+        QUERIES[name](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+        assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) <= most
+        spark.conf.set(CODEC, "snappy")  # a codec that the session names stays
+        QUERIES[name](spark, SF)
+        assert spark.conf.get(CODEC) == "snappy"
+    finally:
+        spark.conf.unset(CODEC) if before is None else spark.conf.set(CODEC, before)
+    files = [f for f in (tmp_path / "out").glob("*.parquet") if pq.read_metadata(f).num_rows]
+    assert sum(pq.read_metadata(f).num_rows for f in files) in (n, n * (n - 1))
+
+
+@pytest.mark.parametrize("eps", [0.0, 1.0])
+def test_lists_as_text_and_as_arrays(spark, monkeypatch, eps):
+    """Pieces and rows of members that end inside a list, a point with no neighbour, negative ids and ids of other lengths."""
+    monkeypatch.setattr(P, "MEMBERS", 2)
+    monkeypatch.setattr(G, "PIECE", 3)
+    data = [(i * 7 - 100, float(i % 4), float(i % 3)) for i in range(60)] + [(10**12, 50.0, 50.0)]
+    table = spark.createDataFrame(data, "id long, x float, y float")
+    near = {u: sorted(v for v, c, d in data if u != v and (a - c) ** 2 + (b - d) ** 2 <= eps * eps) for u, a, b in data}
+    starts, total = {}, 0
+    for u in sorted(near):
+        starts[u], total = total, total + len(near[u])
+    want = {u: (len(v), starts[u], ",".join(map(str, v))) for u, v in near.items()}
+    assert {r["id"]: (r["num_nbs"], r["start_pos"], r["neighbours"]) for r in G.radius_csr(table, eps, text=True).collect()} == want
+    assert {r["id"]: (r["num_nbs"], r["start_pos"], r["neighbours"]) for r in G.radius_csr(table, eps).collect()} == {u: (len(v), starts[u], v) for u, v in near.items()}
+    assert {r["id"]: (r["num_nbs"], r["neighbours"]) for r in G.radius_adjacency(table, eps, text=True).collect()} == {u: (len(v), ",".join(map(str, v))) for u, v in near.items()}
+
+
 def test_brute_beyond_its_limit_gives_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr(N, "BRUTE_POINTS", 5)
     table = spark.createDataFrame([(i, i * 0.5, 0.0) for i in range(30)], "id long, x float, y float")
