@@ -53,15 +53,15 @@ def test_neighbors_of_copies_by_lists(spark, monkeypatch, strategy):
 
 
 CODEC = "spark.sql.parquet.compression.codec"
-#: By query: points of one place, and the most bytes of the written result.
-WRITTEN = {"csr_view": (2000, 1_000_000), "adjacency_lists": (2000, 1_000_000)}
+#: By query: points, of one place or of 40 near ones, and the most bytes of the written result.
+WRITTEN = {"csr_view": (2000, 1_000_000), "adjacency_lists": (2000, 1_000_000), "neighbors_grid": (2000, 500_000)}
 
 
 @pytest.mark.parametrize("name", WRITTEN)
-def test_lists_of_one_place_are_written_once(spark, tmp_path, name):
+def test_written_results_follow_the_places(spark, tmp_path, name):
     n, most = WRITTEN[name]
     db = duckdb.connect()
-    for table, row in (("customer", f"SELECT CAST(i AS BIGINT) AS c_custkey, 1.5::DOUBLE AS c_acctbal, 3 AS c_nationkey FROM range({n}) t(i)"), ("events", f"SELECT CAST(i AS BIGINT) AS event_id, TIMESTAMP '2024-01-02 03:04:05' AS ts, 1.5::DOUBLE AS value FROM range({n}) t(i)")):
+    for table, row in (("customer", f"SELECT CAST(i AS BIGINT) AS c_custkey, 1.5::DOUBLE AS c_acctbal, 3 AS c_nationkey FROM range({n}) t(i)"), ("events", f"SELECT CAST(i AS BIGINT) AS event_id, TIMESTAMP '2024-01-02 03:04:05' + INTERVAL (i % 40) SECOND AS ts, 1.5::DOUBLE AS value FROM range({n}) t(i)")):
         db.sql(f"COPY ({row}) TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
     before = spark.conf.get(CODEC, None)
     spark.conf.unset(CODEC)
