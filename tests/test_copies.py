@@ -54,7 +54,7 @@ def test_neighbors_of_copies_by_lists(spark, monkeypatch, strategy):
 
 CODEC = "spark.sql.parquet.compression.codec"
 #: By query: points, of one place or of 40 near ones, and the most bytes of the written result.
-WRITTEN = {"csr_view": (2000, 1_000_000), "adjacency_lists": (2000, 1_000_000), "neighbors_grid": (2000, 500_000), "neighbors_l1_band": (2000, 500_000)}
+WRITTEN = {"csr_view": (2000, 1_000_000), "adjacency_lists": (2000, 1_000_000), "neighbors_grid": (2000, 500_000), "neighbors_l1_band": (2000, 500_000), "core_edges": (2000, 500_000)}
 
 
 @pytest.mark.parametrize("name", WRITTEN)
